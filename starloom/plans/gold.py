@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.calendar import calendar_columns
-from starloom.operators.cleaning import dedupe_by_key, first_by_key
+from starloom.operators.cleaning import dedupe_by_key
 from starloom.operators.joins import join_many_to_one
 
 
@@ -22,15 +22,13 @@ def dim_customer(customers: DataFrame, geolocation: DataFrame) -> DataFrame:
 
     Each zip prefix is brought down to one point before the join, so the join adds no rows.
     """
-    point = geolocation.groupBy("geolocation_zip_code_prefix").agg(
-        first_by_key(["geolocation_lat", "geolocation_lng"]).alias("point")
-    )
-    by_zip = point.select(
+    points = geolocation.select(
         F.col("geolocation_zip_code_prefix").alias("customer_zip_code_prefix"),
-        F.col("point.geolocation_lat").alias("customer_lat"),
-        F.col("point.geolocation_lng").alias("customer_lng"),
+        F.col("geolocation_lat").alias("customer_lat"),
+        F.col("geolocation_lng").alias("customer_lng"),
     )
-    located = join_many_to_one(customers, by_zip, "customer_zip_code_prefix", "left")
+    point = dedupe_by_key(points, ["customer_zip_code_prefix"])
+    located = join_many_to_one(customers, point, "customer_zip_code_prefix", "left")
     return dedupe_by_key(located.drop("customer_zip_code_prefix"), ["customer_id"])
 
 

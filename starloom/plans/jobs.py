@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from starloom.plans import bronze, gold, silver
@@ -13,6 +14,15 @@ logger = logging.getLogger(__name__)
 
 LoadRecords = list[dict[str, Any]]
 
+# Tables of a layer that do not read each other are loaded this many at a time, so that
+# the last tasks of one leave no executors idle.
+TABLES_AT_ONCE = 4
+
+
+def _load(load: Callable[[str], dict[str, Any]], tables: Iterable[str]) -> LoadRecords:
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return list(pool.map(load, tables))
+
 
 def run_bronze(
     lake: Lakehouse,
@@ -23,18 +33,21 @@ def run_bronze(
     """Ingest the nine sources; `types` overrides column types by source name."""
     lake.create_layer("bronze")
     types = types or {}
-    return [
-        bronze.ingest(lake, name, source_dir, types.get(name), infer_schema) for name in bronze.SOURCES
-    ]
+    return _load(
+        lambda name: bronze.ingest(lake, name, source_dir, types.get(name), infer_schema),
+        bronze.SOURCES,
+    )
 
 
 def run_silver(lake: Lakehouse) -> LoadRecords:
     """Clean the bronze tables."""
     lake.create_layer("silver")
-    return [
-        lake.write("silver", table, build(lake.read("bronze", bronze.SOURCES[source].table)))
-        for table, (build, source) in silver.TABLES.items()
-    ]
+
+    def load(table: str) -> dict[str, Any]:
+        build, source = silver.TABLES[table]
+        return lake.write("silver", table, build(lake.read("bronze", bronze.SOURCES[source].table)))
+
+    return _load(load, silver.TABLES)
 
 
 def run_gold(lake: Lakehouse, partition_fact_by: Sequence[str] = ()) -> LoadRecords:
@@ -44,12 +57,13 @@ def run_gold(lake: Lakehouse, partition_fact_by: Sequence[str] = ()) -> LoadReco
     it pays off when a day's sales fill at least a file.
     """
     lake.create_layer("gold")
-    records = []
-    for table, (build, inputs) in gold.TABLES.items():
-        df = build(*[lake.read(*name) for name in inputs])
-        partition_by = partition_fact_by if table == "fact_sales" else ()
-        records.append(lake.write("gold", table, df, partition_by))
-    return records
+
+    def load(table: str, partition_by: Sequence[str] = ()) -> dict[str, Any]:
+        build, inputs = gold.TABLES[table]
+        return lake.write("gold", table, build(*[lake.read(*name) for name in inputs]), partition_by)
+
+    dimensions = _load(load, [table for table in gold.TABLES if table != "fact_sales"])
+    return [*dimensions, load("fact_sales", partition_fact_by)]
 
 
 def run_all(

@@ -46,16 +46,18 @@ def products(bronze: DataFrame) -> DataFrame:
 
 
 def order_items(bronze: DataFrame) -> DataFrame:
-    """Money to the cent, then distinct complete rows."""
-    rounded = bronze.withColumns({c: round_money(c) for c in ("price", "freight_value")})
-    return distinct_rows(drop_nulls(rounded))
+    """Distinct complete rows, with money to the cent.
+
+    Nulls go first: rounding makes none, and a null check on rounded columns would round twice.
+    """
+    money = {c: round_money(c) for c in ("price", "freight_value")}
+    return distinct_rows(drop_nulls(bronze).withColumns(money))
 
 
 def payments(bronze: DataFrame) -> DataFrame:
     """One row per order; the payment type is that of the lowest payment number."""
-    df = bronze.withColumn("payment_value", round_money("payment_value"))
-    df = drop_nulls(df.withColumns(int_columns(df, ["payment_installments"])))
-    per_order = df.groupBy("order_id").agg(
+    df = drop_nulls(bronze.withColumns(int_columns(bronze, ["payment_installments"])))
+    per_order = df.withColumn("payment_value", round_money("payment_value")).groupBy("order_id").agg(
         sum_money("payment_value").alias("payment_value"),
         F.max("payment_installments").alias("payment_installments"),
         first_by_key(["payment_sequential", "payment_type"]).alias("first"),

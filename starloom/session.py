@@ -9,15 +9,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution is what splits hot join keys and merges small shuffle blocks at run time.
-# The broadcast threshold is a checked bound: Spark compares it with the size of the side,
+# Adaptive execution splits hot join keys and merges small shuffle blocks at run time. Nothing is
+# broadcast by hint: Spark does it where the side's size is below its threshold, which it checks
 # before the query starts and again from the real shuffle sizes.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.autoBroadcastJoinThreshold": "64m",
 }
 
 

@@ -69,8 +69,8 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey AS product_id",
         "l_suppkey AS seller_id",
         "l_extendedprice AS price",
-        "cast(cast(l_extendedprice AS decimal(12,2)) * cast(l_tax AS decimal(4,2)) AS double)"
-        " AS freight_value",
+        # exact product of two amounts of two decimal places
+        "rint(l_extendedprice * 100) * rint(l_tax * 100) / 10000D AS freight_value",
     )
     return rows.unionAll(rows.filter("order_id % 50 = 0"))
 

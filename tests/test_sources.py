@@ -1,0 +1,176 @@
+"""CSV files, layer tables, load jobs, session."""
+
+import logging
+import os
+import subprocess
+import sys
+
+import pytest
+
+from starloom.plans import bronze, gold, jobs, silver
+from starloom.session import scratch_dir, shuffle_partitions
+from starloom.sources import csv_files
+from starloom.sources.csv_files import read_csv, table_name_of
+from starloom.sources.tables import Lakehouse
+from testbed.lake import new_lakehouse, write_source
+from testbed.raw import RAW
+
+SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def values(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+REVIEWS = 'review_id,order_id,review_score,review_comment_message\nr1,o1,5,"two\nlines"\nr2,o2,4,"said ""good"""\n'
+REVIEW_TYPES = {"review_score": "string"}
+
+
+def test_quoted_line_breaks_and_quotes(spark, tmp_path):
+    path = tmp_path / "reviews.csv"
+    path.write_text(REVIEWS)
+    got = read_csv(spark, str(path), REVIEW_TYPES, multiline=True)
+    assert values(got) == [("r1", "o1", "5", "two\nlines"), ("r2", "o2", "4", 'said "good"')]
+
+
+def test_single_line_mode_breaks_such_records(spark, tmp_path):
+    path = tmp_path / "reviews.csv"
+    path.write_text(REVIEWS)
+    assert read_csv(spark, str(path), REVIEW_TYPES).count() == 3
+
+
+def test_types_by_name_and_unlisted_columns_as_text(spark, tmp_path):
+    path = tmp_path / "zips.csv"
+    path.write_text("city,zip,extra\nx,01310,007\ny,,1\n")
+    df = read_csv(spark, str(path), {"zip": "int"}, required=["zip"])
+    assert df.dtypes == [("city", "string"), ("zip", "int"), ("extra", "string")]
+    assert values(df) == [("x", 1310, "007"), ("y", None, "1")]
+
+
+def test_inferred_types(spark, tmp_path):
+    path = tmp_path / "zips.csv"
+    path.write_text("city,zip,price\nx,01310,2.5\n")
+    assert [t for _, t in read_csv(spark, str(path), infer_schema=True).dtypes] == ["string", "int", "double"]
+
+
+def test_missing_column_is_reported(spark, tmp_path):
+    path = tmp_path / "products.csv"
+    path.write_text("product_id,product_name_lenght\np,3\n")
+    with pytest.raises(ValueError, match="product_name_length"):
+        read_csv(spark, str(path), required=["product_id", "product_name_length"])
+
+
+def test_files_with_another_column_order_are_refused(spark, tmp_path):
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x,y\n1,2\n")
+    (folder / "b.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(folder)).collect()
+
+
+def test_large_multi_line_file_is_reported(spark, tmp_path, monkeypatch, caplog):
+    path = tmp_path / "reviews.csv"
+    path.write_text(REVIEWS)
+    monkeypatch.setattr(csv_files, "LARGE_UNSPLITTABLE_BYTES", 10)
+    with caplog.at_level(logging.WARNING):
+        read_csv(spark, str(path), REVIEW_TYPES, multiline=True)
+    assert "one task's work" in caplog.text
+
+
+def test_table_name():
+    assert table_name_of("/a/b/olist_orders_dataset.csv") == "olist_orders_dataset"
+    assert table_name_of("s3a://x/orders.csv/") == "orders"
+
+
+@pytest.fixture
+def lake(spark, request):
+    lake = new_lakehouse(spark, request.node.name.replace("[", "_").replace("]", ""))
+    lake.create_layer("silver")
+    lake.create_layer("silver")
+    return lake
+
+
+def test_write_replaces_rows_and_schema(spark, lake):
+    first = lake.write("silver", "t", spark.range(5))
+    assert first == {"table": "t", "row_count": 5, "column_count": 1, "columns": ["id"]}
+    second = lake.write("silver", "t", spark.sql("SELECT 'x' AS a, 1 AS b"))
+    assert (second["row_count"], second["columns"]) == (1, ["a", "b"])
+    assert values(lake.read("silver", "t")) == [("x", 1)]
+    assert values(lake.audit([("silver", "t")])) == [("silver", "t", 1, 2, "a,b")]
+
+
+def test_failed_count_is_recorded_as_minus_one(spark, lake, monkeypatch):
+    real = spark.table
+
+    class Broken:
+        def count(self):
+            raise RuntimeError("no count")
+
+    monkeypatch.setattr(type(spark), "table", lambda self, name: Broken())
+    assert lake.write("silver", "t", spark.range(5))["row_count"] == -1
+    monkeypatch.undo()
+    assert real(lake.table_name("silver", "t")).count() == 5
+
+
+def test_partitioned_write(spark, lake):
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 1 ELSE id % 7 END AS day")
+    lake.write("silver", "p", df, ["day"])
+    assert values(lake.read("silver", "p").select("id", "day")) == values(df)
+    plan = lake.read("silver", "p").filter("day = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_names_with_catalog_and_prefix(spark):
+    assert Lakehouse(spark, catalog="iceberg").table_name("gold", "t") == "`iceberg`.`gold`.`t`"
+    assert Lakehouse(spark, prefix="x_").table_name("gold", "t") == "`x_gold`.`t`"
+
+
+def test_all_jobs(spark, lake):
+    source_dir = f"{lake.location}/csv"
+    types = {name: write_source(spark, SF, name, source_dir) for name in RAW}
+    records = jobs.run_all(lake, source_dir, types=types, partition_fact_by=["date_key"])
+    assert [r["table"] for r in records["bronze"]] == [s.table for s in bronze.SOURCES.values()]
+    assert [r["table"] for r in records["silver"]] == list(silver.TABLES)
+    assert [r["table"] for r in records["gold"]] == list(gold.TABLES)
+    assert {r["table"]: r["row_count"] for r in records["gold"]}["fact_sales"] == 836
+    by_month = spark.sql(
+        f"SELECT count(*) FROM {lake.table_name('gold', 'fact_sales')} f"
+        f" JOIN {lake.table_name('gold', 'dim_date')} d ON f.date_key = d.date_key WHERE d.year = 1997"
+    )
+    assert "dynamicpruning" in by_month._jdf.queryExecution().executedPlan().toString()
+
+
+def test_failed_layer_stops_the_run(spark, lake, caplog):
+    with pytest.raises(Exception, match="(?i)path"):
+        jobs.run_all(lake, "/no/such/folder")
+    assert "The bronze layer failed" in caplog.text
+
+
+def test_command_line(spark, tmp_path):
+    for name in RAW:
+        write_source(spark, SF, name, str(tmp_path / "data"))
+    done = subprocess.run(
+        [sys.executable, "-m", "starloom", "all", "--source", str(tmp_path / "data"), "--location", str(tmp_path / "lake")],
+        cwd=tmp_path,
+        env={**os.environ, "PYTHONPATH": ROOT, "PYSPARK_SUBMIT_ARGS": "--conf spark.ui.enabled=false pyspark-shell"},
+        capture_output=True,
+        text=True,
+        timeout=300,
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "gold.dim_date: 2405 rows" in done.stderr
+
+
+def test_scratch_folder_is_under_the_session_setting(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    one, two = scratch_dir(spark), scratch_dir(spark)
+    assert one != two
+    assert one.startswith(base) and two.startswith(base)
+
+
+def test_shuffle_partitions():
+    assert shuffle_partitions(1 << 30) == 200
+    assert shuffle_partitions(10 << 40) == 40_960
+    assert shuffle_partitions(1 << 60) == 100_000
