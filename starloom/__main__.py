@@ -19,6 +19,7 @@ def main() -> None:
     parser.add_argument("--format", default="parquet", help="table format")
     parser.add_argument("--infer-schema", action="store_true", help="have Spark infer column types")
     parser.add_argument("--shuffle-gb", type=int, help="size of the largest shuffle expected")
+    parser.add_argument("--order-buckets", type=int, help="buckets of the tables with one row per order")
     parser.add_argument("--partition-fact", action="store_true", help="partition the fact by day")
     args = parser.parse_args()
 
@@ -32,6 +33,7 @@ def main() -> None:
             args.source,
             ["bronze", "silver", "gold"] if args.layer == "all" else [args.layer],
             infer_schema=args.infer_schema,
+            order_buckets=args.order_buckets,
             partition_fact_by=["date_key"] if args.partition_fact else (),
         )
     finally:

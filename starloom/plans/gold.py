@@ -82,21 +82,22 @@ def fact_sales(
     """One row per item of an order that is paid, reviewed and known in every dimension.
 
     Customers and sellers are unique by key and give no column, so they only filter. The order
-    dimension would filter nothing more than the join with payments does. Orders are completed
-    first, all on the order key, and meet the items, the largest side, in one last join.
+    dimension would filter nothing more than the join with payments does. Orders, payments and
+    reviews, all one row per order, are joined first on one partitioning (none has to be shuffled
+    where the tables are bucketed); the items, the largest side, come in by one last join.
     """
-    placed = orders.select(
-        "order_id", "customer_id", F.col("order_purchase_timestamp").cast("date").alias("date")
-    )
-    placed = join_many_to_one(placed, dim_customer.select("customer_id"), "customer_id", "left_semi")
     placed = (
-        join_many_to_one(placed, dim_date.select("date", "date_key"), "date")
+        orders.select(
+            "order_id", "customer_id", F.col("order_purchase_timestamp").cast("date").alias("date")
+        )
+        .join(order_reviews.select("order_id", "review_id"), "order_id")
         .join(
             payments.select("order_id", "payment_value", "payment_installments", "payment_sequential"),
             "order_id",
         )
-        .join(order_reviews.select("order_id", "review_id"), "order_id")
     )
+    placed = join_many_to_one(placed, dim_customer.select("customer_id"), "customer_id", "left_semi")
+    placed = join_many_to_one(placed, dim_date.select("date", "date_key"), "date")
     sold = order_items.select(
         "order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"
     )

@@ -39,13 +39,23 @@ def run_bronze(
     )
 
 
-def run_silver(lake: Lakehouse) -> LoadRecords:
-    """Clean the bronze tables."""
+def run_silver(lake: Lakehouse, order_buckets: int | None = None) -> LoadRecords:
+    """Clean the bronze tables.
+
+    `order_buckets` buckets the tables that have one row per order by it, so that gold joins them
+    without a shuffle. Take the number of shuffle partitions, or none where files would be tiny.
+    """
     lake.create_layer("silver")
 
     def load(table: str) -> dict[str, Any]:
         build, source = silver.TABLES[table]
-        return lake.write("silver", table, build(lake.read("bronze", bronze.SOURCES[source].table)))
+        bucketed = order_buckets and table in silver.ONE_ROW_PER_ORDER
+        return lake.write(
+            "silver",
+            table,
+            build(lake.read("bronze", bronze.SOURCES[source].table)),
+            bucket_by=(order_buckets, "order_id") if bucketed else None,
+        )
 
     return _load(load, silver.TABLES)
 
@@ -72,12 +82,13 @@ def run_all(
     layers: Sequence[str] = ("bronze", "silver", "gold"),
     types: Mapping[str, Mapping[str, str]] | None = None,
     infer_schema: bool = False,
+    order_buckets: int | None = None,
     partition_fact_by: Sequence[str] = (),
 ) -> dict[str, LoadRecords]:
     """Run the layers in order; a failure is logged and stops the run."""
     steps = {
         "bronze": lambda: run_bronze(lake, source_dir, types, infer_schema),
-        "silver": lambda: run_silver(lake),
+        "silver": lambda: run_silver(lake, order_buckets),
         "gold": lambda: run_gold(lake, partition_fact_by),
     }
     records = {}

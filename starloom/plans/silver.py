@@ -119,3 +119,5 @@ TABLES = {
     "date": (date, "orders"),
     "geolocation": (geolocation, "geolocation"),
 }
+
+ONE_ROW_PER_ORDER = ("orders", "payments", "order_reviews")

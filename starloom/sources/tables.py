@@ -45,20 +45,32 @@ class Lakehouse:
         return self.spark.table(self.table_name(layer, table))
 
     def write(
-        self, layer: str, table: str, df: DataFrame, partition_by: Sequence[str] = ()
+        self,
+        layer: str,
+        table: str,
+        df: DataFrame,
+        partition_by: Sequence[str] = (),
+        bucket_by: tuple[int, str] | None = None,
     ) -> dict[str, Any]:
         """Replace the table by `df` and return its load record.
 
-        With `partition_by`, rows are first rebalanced on those columns: adaptive execution
-        then writes few files per partition and splits a partition that is far larger than the rest.
+        `partition_by`: folders by these columns. Rows are first rebalanced on them: adaptive
+        execution then writes few files per folder and splits one far larger than the rest.
+        `bucket_by`: (n, column), for a column without hot values. Tables with the same buckets
+        join on it without a shuffle. One file per bucket; where `df` is already hashed on the
+        column into n partitions, Spark leaves the repartitioning out.
         """
         name = self.table_name(layer, table)
         logger.info("Writing %s (%d columns)", name, len(df.columns))
         if partition_by:
             df = df.hint("rebalance", *partition_by)
+        if bucket_by:
+            df = df.repartition(*bucket_by)
         writer = df.write.format(self.fmt).mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
+        if bucket_by:
+            writer = writer.bucketBy(*bucket_by)
         writer.saveAsTable(name)
 
         try:

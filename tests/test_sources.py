@@ -122,6 +122,44 @@ def test_partitioned_write(spark, lake):
     assert "PartitionFilters: [isnotnull(day" in plan
 
 
+def test_bucketed_orders_join_without_a_shuffle(spark, lake):
+    lake.create_layer("bronze")
+    for source in ("orders", "order_items", "payments", "order_reviews"):
+        lake.write("bronze", bronze.SOURCES[source].table, RAW[source](spark, SF))
+    for table in silver.ONE_ROW_PER_ORDER:
+        build, source = silver.TABLES[table]
+        df = build(lake.read("bronze", bronze.SOURCES[source].table))
+        written = lake.write("silver", table, df, bucket_by=(8, "order_id"))  # 8 shuffle partitions
+        assert written["row_count"] == build(RAW[source](spark, SF)).count()
+        repartitioned = df.repartition(8, "order_id")._jdf.queryExecution().executedPlan().toString()
+        assert repartitioned.count("Exchange") == 1
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders, payments, reviews = (lake.read("silver", t) for t in silver.ONE_ROW_PER_ORDER)
+        joined = gold.dim_order(orders, payments).join(reviews, "order_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2
+        assert "Exchange" not in plan
+        assert joined.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_purchase_times_as_in_the_sources(spark, tmp_path):
+    path = tmp_path / "olist_orders_dataset.csv"
+    path.write_text(
+        "order_id,customer_id,order_status,order_purchase_timestamp\n"
+        "e481f51c,9ef432eb,delivered,2017-10-02 10:56:33\n"
+        "53cdb2fc,b0830fb4,delivered,2018-07-24T20:41:37\n"
+        "47770eb9,41ce2a54,delivered,\n"
+    )
+    source = bronze.SOURCES["orders"]
+    df = read_csv(spark, str(path), source.types, source.required)
+    days = [r[0] for r in df.selectExpr("cast(cast(order_purchase_timestamp AS date) AS string)").collect()]
+    assert days == ["2017-10-02", "2018-07-24", None]
+
+
 def test_names_with_catalog_and_prefix(spark):
     assert Lakehouse(spark, catalog="iceberg").table_name("gold", "t") == "`iceberg`.`gold`.`t`"
     assert Lakehouse(spark, prefix="x_").table_name("gold", "t") == "`x_gold`.`t`"
@@ -130,7 +168,7 @@ def test_names_with_catalog_and_prefix(spark):
 def test_all_jobs(spark, lake):
     source_dir = f"{lake.location}/csv"
     types = {name: write_source(spark, SF, name, source_dir) for name in RAW}
-    records = jobs.run_all(lake, source_dir, types=types, partition_fact_by=["date_key"])
+    records = jobs.run_all(lake, source_dir, types=types, order_buckets=8, partition_fact_by=["date_key"])
     assert [r["table"] for r in records["bronze"]] == [s.table for s in bronze.SOURCES.values()]
     assert [r["table"] for r in records["silver"]] == list(silver.TABLES)
     assert [r["table"] for r in records["gold"]] == list(gold.TABLES)
