@@ -26,6 +26,7 @@ from starloom.operators.cleaning import (  # noqa: E402
     first_by_key,
     within_box,
 )
+from starloom.operators.joins import left_join_one_to_many  # noqa: E402
 from starloom.plans import ask, bronze, gold, jobs, silver, star  # noqa: E402
 from testbed import oracle  # noqa: E402
 from testbed.lake import (  # noqa: E402
@@ -95,11 +96,9 @@ def join_inner_using(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_left_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = given(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    orders = given(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(
-        "c_custkey", "c_mktsegment", "o_orderkey"
-    )
+    orders = given(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    lines = given(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag")
+    return left_join_one_to_many(orders, lines, "o_orderkey", "l_orderkey").drop("l_orderkey")
 
 
 def join_on_date_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,8 +412,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT o_orderkey AS order_id, o_orderstatus, l_linenumber, l_quantity
             FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
         "join_left_outer": """
-            SELECT c_custkey, c_mktsegment, o_orderkey
-            FROM customer LEFT JOIN orders ON c_custkey = o_custkey""",
+            SELECT o_orderkey, o_orderstatus, l_quantity, l_returnflag
+            FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""",
         "join_on_date_expr": sql("""
             SELECT o.order_id, d.date_key, d.is_weekend
             FROM r_orders o JOIN dim_date d ON CAST(o.order_purchase_timestamp AS DATE) = d.date"""),

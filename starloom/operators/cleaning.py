@@ -28,7 +28,7 @@ def dedupe_by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not rest:
         return df.dropDuplicates()
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))
-    return df.withColumn("rank_in_key", rank).filter("rank_in_key = 1").drop("rank_in_key")
+    return df.withColumn("_rank_in_key", rank).filter("_rank_in_key = 1").drop("_rank_in_key")
 
 
 def first_by_key(order: Sequence[str]) -> Column:

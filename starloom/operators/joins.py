@@ -1,4 +1,4 @@
-"""Many-to-one equi-joins that stay balanced when one key holds a large share of the rows."""
+"""Equi-joins that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
@@ -21,7 +21,19 @@ def join_many_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "inne
         return many.join(one, key, how)  # equal keys might hash differently
     key_hash = F.xxhash64(key)
     return (
-        many.withColumn("key_hash", key_hash)
-        .join(one.withColumn("key_hash", key_hash), [key, "key_hash"], how)
-        .drop("key_hash")
+        many.withColumn("_key_hash", key_hash)
+        .join(one.withColumn("_key_hash", key_hash), [key, "_key_hash"], how)
+        .drop("_key_hash")
     )
+
+
+def left_join_one_to_many(one: DataFrame, many: DataFrame, one_key: str, many_key: str) -> DataFrame:
+    """Left outer join to `many`, the side with possibly a hot key; the key names differ.
+
+    Spark cannot split the right side of a left outer join. So the matches come from an inner
+    join, where it can, and the rows without a match from the keys of `many`, made distinct first.
+    """
+    matched = one.join(many, F.col(one_key) == F.col(many_key), "inner")
+    keys = many.select(many_key).distinct()
+    unmatched = one.join(keys, F.col(one_key) == F.col(many_key), "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cache
 from zlib import crc32
 
@@ -55,6 +56,8 @@ def loaded_lakehouse(spark: SparkSession, sf_dir: str) -> Lakehouse:
 def _loaded(app: str, spark: SparkSession, sf_dir: str) -> Lakehouse:
     lake = new_lakehouse(spark, f"all_{crc32(sf_dir.rstrip('/').encode()):08x}")
     source_dir = f"{lake.location}/csv"
-    types = {source: write_source(spark, sf_dir, source, source_dir) for source in RAW}
+    with ThreadPoolExecutor(4) as pool:
+        written = pool.map(lambda source: write_source(spark, sf_dir, source, source_dir), RAW)
+        types = dict(zip(RAW, written, strict=True))
     jobs.run_all(lake, source_dir, types=types)
     return lake

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators.joins import join_many_to_one
+from starloom.operators.joins import join_many_to_one, left_join_one_to_many
 from starloom.plans import gold, silver, star
 from testbed.raw import RAW
 
@@ -177,6 +177,23 @@ def test_many_to_one_equals_a_plain_join(spark, how):
         assert values(got) == values(want)
 
 
+def test_one_to_many_equals_a_left_outer_join(spark):
+    one = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
+    many = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "m int, w string")
+    got = left_join_one_to_many(one, many, "k", "m")
+    want = one.join(many, F.col("k") == F.col("m"), "left")
+    assert got.columns == want.columns
+    assert values(got) == values(want)
+
+
+def test_hot_key_on_the_right_of_a_left_outer_join_is_split(spark, conf):
+    conf({**SPLIT_SMALL, "spark.sql.shuffle.partitions": "16"})
+    one = spark.range(30_000).select(F.col("id").alias("o"))
+    joined = left_join_one_to_many(one, hot(spark, 300_000, 7, 20_000), "o", "k")
+    assert joined.count() == 310_000
+    assert "SortMergeJoin(skew=true)" in plan_after_run(joined)
+
+
 def hot(spark, rows, hot_key, other_keys):
     """`rows` rows, a third of them with the one key."""
     key = F.when(F.col("id") % 3 == 0, hot_key).otherwise(F.col("id") % other_keys)
@@ -244,6 +261,27 @@ def test_fact_with_a_hot_order_and_a_hot_seller(spark, conf):
     assert any("seller_id" in line for line in skewed)
 
 
+def test_customers_with_a_hot_zip(spark, conf):
+    conf({**SPLIT_SMALL, "spark.sql.shuffle.partitions": "16"})
+    customers = hot(spark, 300_000, 7, 20_000).select(
+        F.col("id").alias("customer_id"),
+        F.col("k").cast("int").alias("customer_zip_code_prefix"),
+        F.lit("x").alias("customer_city"),
+    )
+    points = spark.range(40_000).select(
+        (F.col("id") % 20_000).cast("int").alias("geolocation_zip_code_prefix"),
+        (-F.col("id") / 1000).alias("geolocation_lat"),
+        F.lit(-50.0).alias("geolocation_lng"),
+        F.lit("c").alias("geolocation_city"),
+        F.lit("s").alias("geolocation_state"),
+    )
+    located = gold.dim_customer(customers, points)
+    total = located.agg(F.count("*"), F.count("customer_lat"), F.countDistinct("customer_id"))
+    assert tuple(total.first()) == (300_000, 300_000, 300_000)
+    skewed = [line for line in plan_after_run(located).splitlines() if "skew=true" in line]
+    assert any("customer_zip_code_prefix" in line for line in skewed)
+
+
 def test_star_queries_sum_before_they_join(layers):
     fact, orders = layers["gold", "fact_sales"], layers["gold", "dim_order"]
     plan = star.revenue_by_payment_type(fact, orders)._jdf.queryExecution().optimizedPlan().toString()

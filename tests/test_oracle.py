@@ -41,6 +41,14 @@ def test_query(spark, connection, name):
     assert got == want, f"too many {list((got - want).items())[:3]}, missing {list((want - got).items())[:3]}"
 
 
+def test_payments_summed_over_items_would_be_too_high(spark):
+    sf_dir = f"{TESTDATA}/sf{SCALE}"
+    months = entry.queries()["q_payment_total_per_month"](spark, sf_dir).collect()
+    assert round(sum(r.payments for r in months), 2) == 619_303_499.40
+    fact = entry.queries()["fact_sales"](spark, sf_dir)
+    assert round(fact.agg({"payment_value": "sum"}).first()[0], 2) == 2_140_139_888.53
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["year", "month", "month_name", "revenue", "items"]
