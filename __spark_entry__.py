@@ -26,7 +26,7 @@ from starloom.operators.cleaning import (  # noqa: E402
     first_by_key,
     within_box,
 )
-from starloom.operators.joins import left_join_one_to_many  # noqa: E402
+from starloom.operators.joins import join_many_to_one, left_join_one_to_many  # noqa: E402
 from starloom.plans import ask, bronze, gold, jobs, silver, star  # noqa: E402
 from testbed import oracle  # noqa: E402
 from testbed.lake import (  # noqa: E402
@@ -92,7 +92,7 @@ def join_inner_using(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = given(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS order_id", "l_linenumber", "l_quantity"
     )
-    return orders.join(lines, "order_id", "inner")
+    return join_many_to_one(lines, orders, "order_id", "inner")
 
 
 def join_left_outer(spark: SparkSession, sf_dir: str) -> DataFrame:

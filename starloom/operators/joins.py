@@ -4,36 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
 
+# A key with more rows than this is split, into parts of about this many rows.
+HOT_ROWS = 10_000_000
 
-def join_many_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join `many` (any number of rows per key, possibly a hot one) to `one` (few rows per key).
 
-    Adaptive execution splits a hot partition of `many` over several tasks, but only when both
-    sides of the join are freshly shuffled for it. Where `one` is itself the result of a join or
-    an aggregate on the same key, Spark would chain this join onto that and could not split.
-    So the hash of the key is a second join key: it changes no result, and it has `one` shuffled
-    anew. A side below the broadcast threshold is still broadcast, and `many` not shuffled at all.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than `hot_rows` rows, with the number of parts to split each into.
+
+    At most `count(df) / hot_rows` keys: some 100,000 in 10^12 rows, so fit to be broadcast.
+    Counts are exact, so that every evaluation of the result is the same.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > hot_rows)
+    return counts.select(key, F.ceil(F.col("rows") / hot_rows).alias("_parts"))
+
+
+def join_many_to_one(
+    many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None
+) -> DataFrame:
+    """Join `many`, whose `key` may have hot values, to `one`, which has few rows per key.
+
+    Where `one` is below the broadcast threshold this is a plain join. Otherwise the rows of a hot
+    key are spread over parts, by a hash of the row, and the key's rows in `one` are copied to each
+    part. `hot` comes from `hot_keys`; give it where `many` is costly, from the table it came from.
+
+    Keys below the limit stay whole. As the part is a second join key, both sides are shuffled for
+    this very join, and so adaptive execution can split what is still uneven.
     """
-    key_type = many.schema[key].dataType
-    if key_type != one.schema[key].dataType or isinstance(key_type, (FloatType, DoubleType)):
-        return many.join(one, key, how)  # equal keys might hash differently
-    key_hash = F.xxhash64(key)
-    return (
-        many.withColumn("_key_hash", key_hash)
-        .join(one.withColumn("_key_hash", key_hash), [key, "_key_hash"], how)
-        .drop("_key_hash")
-    )
+    if _is_broadcast(one):
+        return many.join(one, key, how)
+    parts = F.broadcast(hot_keys(many, key) if hot is None else hot)
+    one_part = F.lit(1).cast("long")
+    n = F.coalesce("_parts", one_part)
+    spread = many.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(*many.columns), n))
+    copied = one.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(one_part - 1, n - 1)))
+    return spread.drop("_parts").join(copied.drop("_parts"), [key, "_part"], how).drop("_part")
+
+
+def _is_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's estimate of the size is below its broadcast threshold."""
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= threshold
 
 
 def left_join_one_to_many(one: DataFrame, many: DataFrame, one_key: str, many_key: str) -> DataFrame:
     """Left outer join to `many`, the side with possibly a hot key; the key names differ.
 
-    Spark cannot split the right side of a left outer join. So the matches come from an inner
-    join, where it can, and the rows without a match from the keys of `many`, made distinct first.
+    The right side of a left outer join cannot be split. So the matches come from an inner join,
+    which can be, and the rows without a match from the keys of `many`, made distinct first.
     """
-    matched = one.join(many, F.col(one_key) == F.col(many_key), "inner")
-    keys = many.select(many_key).distinct()
-    unmatched = one.join(keys, F.col(one_key) == F.col(many_key), "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    matched = join_many_to_one(many.withColumn(one_key, F.col(many_key)), one, one_key)
+    keys = many.select(F.col(many_key).alias(one_key)).distinct()
+    unmatched = one.join(keys, one_key, "left_anti")
+    return matched.select(*one.columns, *many.columns).unionByName(unmatched, allowMissingColumns=True)

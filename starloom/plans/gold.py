@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.calendar import calendar_columns
 from starloom.operators.cleaning import dedupe_by_key
-from starloom.operators.joins import join_many_to_one
+from starloom.operators.joins import hot_keys, join_many_to_one
 
 
 def dim_order(orders: DataFrame, payments: DataFrame) -> DataFrame:
@@ -96,14 +96,25 @@ def fact_sales(
             "order_id",
         )
     )
-    placed = join_many_to_one(placed, dim_customer.select("customer_id"), "customer_id", "left_semi")
-    placed = join_many_to_one(placed, dim_date.select("date", "date_key"), "date")
+    placed = join_many_to_one(
+        placed,
+        dim_customer.select("customer_id"),
+        "customer_id",
+        "left_semi",
+        hot_keys(orders, "customer_id"),
+    )
+    placed = placed.join(dim_date.select("date", "date_key"), "date")
     sold = order_items.select(
         "order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"
     )
-    sold = join_many_to_one(sold, dim_product.select("product_id"), "product_id")
-    sold = join_many_to_one(sold, dim_seller.select("seller_id"), "seller_id", "left_semi")
-    return join_many_to_one(sold, placed, "order_id").select(
+    hot = {key: hot_keys(order_items, key) for key in ("product_id", "seller_id", "order_id")}
+    sold = join_many_to_one(
+        sold, dim_product.select("product_id"), "product_id", "inner", hot["product_id"]
+    )
+    sold = join_many_to_one(
+        sold, dim_seller.select("seller_id"), "seller_id", "left_semi", hot["seller_id"]
+    )
+    return join_many_to_one(sold, placed, "order_id", "inner", hot["order_id"]).select(
         "order_id",
         "order_item_id",
         "customer_id",

@@ -9,14 +9,15 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution splits hot join keys and merges small shuffle blocks at run time. Nothing is
-# broadcast by hint: Spark does it where the side's size is below its threshold, which it checks
-# before the query starts and again from the real shuffle sizes.
+# Adaptive execution splits uneven join partitions and merges small ones at run time. Beyond 2000
+# shuffle partitions Spark records average block sizes, in which it cannot see uneven ones,
+# unless told to record blocks so much larger than the median exactly.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.shuffle.accurateBlockSkewedFactor": "5",
 }
 
 
@@ -35,7 +36,9 @@ def get_spark(
     """Build (or fetch) a session.
 
     `shuffle_bytes` is the size of the largest shuffle expected; it sets how many partitions
-    a shuffle starts with, which adaptive execution then merges down where they are small.
+    a shuffle starts with, which adaptive execution then merges down where they are small. From
+    1 TB on, scans read 512 MB at a time, as the driver keeps track of each scan task's output
+    for each shuffle partition.
     """
     conf = dict(DEFAULT_CONF)
     if executor_memory:
@@ -50,6 +53,8 @@ def get_spark(
         conf["spark.jars.packages"] = ",".join(jar_packages)
     if shuffle_bytes:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions(shuffle_bytes))
+        if shuffle_bytes >= 1 << 40:
+            conf["spark.sql.files.maxPartitionBytes"] = "512m"
     conf.update(spark_conf or {})
 
     builder = SparkSession.builder.appName(app_name)
@@ -63,8 +68,8 @@ def get_spark(
 
 
 def shuffle_partitions(shuffle_bytes: int, target_bytes: int = 256 << 20) -> int:
-    """Partitions of about `target_bytes` each, within 200 and 100,000."""
-    return min(max(math.ceil(shuffle_bytes / target_bytes), 200), 100_000)
+    """Partitions of about `target_bytes` each, within 200 and 50,000."""
+    return min(max(math.ceil(shuffle_bytes / target_bytes), 200), 50_000)
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators.joins import join_many_to_one, left_join_one_to_many
+from starloom.operators.joins import hot_keys, join_many_to_one, left_join_one_to_many
 from starloom.plans import gold, silver, star
 from testbed.raw import RAW
 
@@ -167,16 +167,46 @@ def test_payment_total_counts_an_order_once(spark):
 # ---- joins and hot keys
 
 
+@pytest.mark.parametrize("hot_rows", [1, 100])
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_many_to_one_equals_a_plain_join(spark, how):
+def test_many_to_one_equals_a_plain_join(spark, conf, how, hot_rows):
+    conf({"spark.sql.autoBroadcastJoinThreshold": "-1"})
     many = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k bigint, v string")
-    one = spark.createDataFrame([(1, "x"), (3, "y"), (None, "z")], "k bigint, w string")
+    one = spark.createDataFrame([(1, "x"), (1, "xx"), (3, "y"), (None, "z")], "k bigint, w string")
     for other in (one, one.withColumn("k", F.col("k").cast("int")), one.withColumn("k", F.col("k").cast("double"))):
-        got, want = join_many_to_one(many, other, "k", how), many.join(other, "k", how)
+        hot = hot_keys(many, "k", hot_rows)
+        got, want = join_many_to_one(many, other, "k", how, hot), many.join(other, "k", how)
         assert got.columns == want.columns
         assert values(got) == values(want)
 
 
+def test_small_side_is_broadcast_and_nothing_counted(spark):
+    many, one = hot(spark, 1000, 7, 100), spark.range(100).select(F.col("id").alias("k"))
+    plan = join_many_to_one(many, one, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert "Aggregate" not in plan
+
+
+def test_hot_key_is_spread_without_adaptive_execution(spark, conf):
+    conf(
+        {
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.enabled": "false",
+            "spark.sql.shuffle.partitions": "16",
+        }
+    )
+    many = hot(spark, 300_000, 7, 20_000)
+    one = spark.range(20_000).select(F.col("id").alias("k"), F.lit("w").alias("w"))
+    limits = hot_keys(many, "k", hot_rows=5_000)
+    assert limits.count() == 1
+    joined = join_many_to_one(many, one, "k", hot=limits)
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 300_000
+    assert max(sizes) < 2 * 300_000 / 16
+    plain = many.join(one, "k").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in plain.collect()) > 100_000
+
+
 def test_one_to_many_equals_a_left_outer_join(spark):
     one = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
     many = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "m int, w string")

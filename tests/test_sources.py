@@ -211,4 +211,4 @@ def test_scratch_folder_is_under_the_session_setting(spark):
 def test_shuffle_partitions():
     assert shuffle_partitions(1 << 30) == 200
     assert shuffle_partitions(10 << 40) == 40_960
-    assert shuffle_partitions(1 << 60) == 100_000
+    assert shuffle_partitions(1 << 60) == 50_000
