@@ -23,9 +23,10 @@ def _root(app: str, spark: SparkSession) -> str:
     return scratch_dir(spark)
 
 
-def new_lakehouse(spark: SparkSession, name: str) -> Lakehouse:
-    """An empty lakehouse whose schemas are named after `name`; one per name and application."""
+def new_lakehouse(spark: SparkSession, name: str, sf_dir: str = "") -> Lakehouse:
+    """An empty lakehouse, one per application, name and input folder."""
     root = _root(_app(spark), spark)
+    name = f"{name}_{crc32(sf_dir.rstrip('/').encode()):08x}"
     prefix = f"{root.rsplit('-', 1)[1][:8]}_{name}_"
     return Lakehouse(spark, location=f"{root}/{name}", prefix=prefix)
 
@@ -54,7 +55,7 @@ def loaded_lakehouse(spark: SparkSession, sf_dir: str) -> Lakehouse:
 
 @cache
 def _loaded(app: str, spark: SparkSession, sf_dir: str) -> Lakehouse:
-    lake = new_lakehouse(spark, f"all_{crc32(sf_dir.rstrip('/').encode()):08x}")
+    lake = new_lakehouse(spark, "all", sf_dir)
     source_dir = f"{lake.location}/csv"
     with ThreadPoolExecutor(4) as pool:
         written = pool.map(lambda source: write_source(spark, sf_dir, source, source_dir), RAW)

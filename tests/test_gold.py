@@ -333,6 +333,8 @@ def test_scans_read_only_the_columns_needed(spark):
     import __spark_entry__ as entry
 
     plan = entry.queries()["dim_review"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<event_id:bigint,event_type:string,props:string>" in plan
+    assert "ReadSchema: struct<review_id:bigint,review_score:int>" in plan
+    plan = entry.queries()["q_revenue_by_month"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<date_key:int,price:double>" in plan
     box = entry.queries()["silver_geolocation"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<s_suppkey:bigint,s_name:string,s_nationkey:int,s_acctbal:double>" in box
