@@ -39,6 +39,11 @@ from testbed.lake import (  # noqa: E402
 )
 from testbed.raw import RAW, given  # noqa: E402
 
+try:  # the training-data operators, present or not
+    from starloom.llm import queries as llm
+except ImportError:
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -384,6 +389,7 @@ def queries() -> dict[str, Query]:
         ),
         "q_weekend_split": gold_query(star.weekend_split, "dim_date"),
         "q_payment_total_per_month": gold_query(star.payment_total_per_month, "dim_date"),
+        **(llm.QUERIES if llm else {}),
     }
 
 
@@ -493,4 +499,5 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT order_id, date_key, payment_value FROM fact_sales) o
             JOIN dim_date d ON o.date_key = d.date_key
             GROUP BY d.year, d.month"""),
+        **(llm.ORACLE_SQL if llm else {}),
     }
