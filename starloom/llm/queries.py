@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import mixing, packing, token_records
+from starloom.llm import language_id, mixing, packing, pii, token_records
 from starloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,10 +84,33 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, cut, CAPACITY)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    of_kinds = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(listed(of_kinds(*pii.BASE)), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out("doc_id")))
+    predicted = language_id.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_records": op2_token_records,
     "op3_mix_sources": op3_mix_sources,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_personal_data": op8_personal_data,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
