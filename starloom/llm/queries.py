@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import language_id, mixing, packing, pii, token_records
+from starloom.llm import language_id, line_dedup, mixing, packing, pii, token_records
 from starloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WEIGHTS, TOTAL_SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, 7
+LINE_EDITS, LINE_CHARS = 2, 20
 CAPACITY = 2048
 
 
@@ -77,6 +78,12 @@ FROM p
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = line_dedup.dedupe_lines(docs, Scratch(spark, "op5"), LINE_EDITS, LINE_CHARS)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
     docs = table(spark, sf_dir, "documents")
@@ -108,6 +115,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_records": op2_token_records,
     "op3_mix_sources": op3_mix_sources,
+    "op5_line_dedup": op5_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_personal_data": op8_personal_data,
     "op10_language_id": op10_language_id,
