@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import language_id, line_dedup, mixing, packing, pii, token_records
+from starloom.llm import jaccard_join, language_id, line_dedup, mixing, packing, pii, token_records
 from starloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WEIGHTS, TOTAL_SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, 7
+SIMILAR = jaccard_join.Similarity(width=3, under=90, over=100)
 LINE_EDITS, LINE_CHARS = 2, 20
 CAPACITY = 2048
 
@@ -23,6 +24,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return jaccard_join.group_similar(docs, Scratch(spark, "op1"), SIMILAR)
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op2")
     docs = table(spark, sf_dir, "documents")
@@ -113,6 +119,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_token_records": op2_token_records,
     "op3_mix_sources": op3_mix_sources,
     "op5_line_dedup": op5_line_dedup,
