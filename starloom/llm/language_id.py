@@ -32,7 +32,8 @@ _KEEP[0x61:0x7B] = np.arange(0x61, 0x7B)
 
 @dataclass(frozen=True)
 class Settings:
-    """`rows_per_language` bounds the sample: the labelled rows first in a seeded random order."""
+    """`rows_per_language` bounds the sample: of each language the labelled rows that come first in
+    a seeded random order."""
 
     rows_per_language: int = 1000
     dimensions: int = 16
@@ -89,18 +90,16 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     The sample's features reach the driver as counts per bucket, so a row is small however long its text is.
     Without any labelled row the model has no language and rejects everything.
     """
-    order = F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.md5(F.concat_ws(":", F.lit(settings.seed), "doc_id")), "doc_id")
-    )
     labelled = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    # numbers first and texts only for the rows chosen: long texts are not sorted
-    chosen = (
-        labelled.select("doc_id", "lang")
-        .withColumn("_n", order)
-        .filter(F.col("_n") <= settings.rows_per_language)
-        .select("doc_id", "lang")
-        .distinct()
-    )
+    ids = labelled.select("doc_id", "lang").withColumn("_h", F.xxhash64(F.lit(settings.seed), "doc_id"))
+    # about twice the rows wanted come below a level of the hash, so few rows are ranked
+    per_language = ids.groupBy("lang").agg(F.count("*").alias("_rows"))
+    ids = ids.join(F.broadcast(per_language), "lang")
+    share = F.pmod("_h", F.lit(1 << 30)) / (1 << 30)
+    ids = ids.filter(share * F.col("_rows") <= 2 * settings.rows_per_language)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
+    chosen = ids.withColumn("_n", order).filter(F.col("_n") <= settings.rows_per_language)
+    chosen = chosen.select("doc_id", "lang").distinct()
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most the sample's rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
