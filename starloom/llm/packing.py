@@ -31,8 +31,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer_path)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
                 ids, at = encoder.encode(batch.column("text"))
                 n = np.diff(at) + 1
                 count = (n + capacity - 1) // capacity

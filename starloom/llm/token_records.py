@@ -84,8 +84,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer_path)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
                 ids, at = encoder.encode(batch.column("text"))
                 end = np.array([end_id], np.uint32)
                 records = [

@@ -13,9 +13,9 @@ from starloom.llm import words
 
 #: A worker keeps the ids of so many distinct words (40 bytes each) in so many slots (12 bytes
 #: each); a word whose slot another has taken is encoded again.
-KEPT_WORDS = 1_500_000
-SLOTS = 1 << 22
-WORDS_AT_ONCE = 500_000
+KEPT_WORDS = 700_000
+SLOTS = 1 << 21
+WORDS_AT_ONCE = 250_000
 
 
 class WordEncoder:
