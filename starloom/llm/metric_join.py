@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.common import Scratch
 from starloom.llm.components import components
 from starloom.llm.jaccard_join import connected
-from starloom.llm.top_k import usable
 
 #: A label gets a pivot for so many vectors, and all labels together at most MOST_PIVOTS, those with
 #: the most vectors first. The pivots go to every task, so their number is bounded; without one a
@@ -49,8 +49,7 @@ def group_near(vectors: DataFrame, scratch: Scratch, threshold: float) -> DataFr
     spark = scratch.spark
     v = F.transform("embedding", lambda x: x.cast("double"))
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", v.alias("v"))
-    fit = usable(given, "v").filter("vec_id IS NOT NULL AND label IS NOT NULL")
-    fit = fit.filter(F.exists("v", lambda x: x != 0))
+    fit = given.filter(_fits())
     classes = fit.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
 
@@ -76,7 +75,7 @@ def group_near(vectors: DataFrame, scratch: Scratch, threshold: float) -> DataFr
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("v")
-            width = np.asarray(pa.compute.list_value_length(lists))
+            width = np.asarray(pc.list_value_length(lists))
             labels = batch.column("label").to_pylist()
             groups: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(labels, width.tolist(), strict=True)):
@@ -133,7 +132,7 @@ def group_near(vectors: DataFrame, scratch: Scratch, threshold: float) -> DataFr
             {
                 "rep": np.concatenate([rep[row][some], a]),
                 "n": pa.array(np.concatenate([n[some], a * 0]), pa.int64()),
-                "other": pa.array(np.concatenate([a[:0].repeat(0), rep[row][some], b])),
+                "other": np.concatenate([rep[row][some], b]),
             }
         )
 
@@ -158,7 +157,7 @@ def group_near(vectors: DataFrame, scratch: Scratch, threshold: float) -> DataFr
     return done.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _fits():
+def _fits() -> Column:
     """The conditions of a row that can be linked, never null."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     nonzero = F.exists("v", lambda x: F.coalesce(x != 0, F.lit(False)))

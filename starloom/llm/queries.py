@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import jaccard_join, language_id, line_dedup, mixing, packing, pii, token_records
+from starloom.llm import jaccard_join, language_id, line_dedup, metric_join, mixing, packing, pii, token_records, top_k
 from starloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 WEIGHTS, TOTAL_SHARE, MAX_EPOCHS, SEED = (5, 2, 1), 1.5, 2, 7
 SIMILAR = jaccard_join.Similarity(width=3, under=90, over=100)
 LINE_EDITS, LINE_CHARS = 2, 20
+NEIGHBOURS, NEAR_COSINE = 10, 0.98
 CAPACITY = 2048
 
 
@@ -84,12 +85,54 @@ FROM p
 """
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = top_k.usable(table(spark, sf_dir, "embeddings"), "embedding").filter("vec_id IS NOT NULL")
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024))
+    vectors = rows.select("vec_id", whole.alias("v"))
+    return top_k.top_k(vectors, vectors.filter("vec_id % 100 = 0"), Scratch(spark, "op4"), NEIGHBOURS)
+
+
+OP4_SQL = f"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= {NEIGHBOURS}
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = line_dedup.dedupe_lines(docs, Scratch(spark, "op5"), LINE_EDITS, LINE_CHARS)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.group_near(table(spark, sf_dir, "embeddings"), Scratch(spark, "op6"), NEAR_COSINE)
+
+
+OP6_SQL = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND label IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+l AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id != b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= {NEAR_COSINE}),
+r AS (
+    SELECT a, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON r.a = l.a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.c, e.vec_id) AS component_id,
+       e.vec_id = coalesce(m.c, e.vec_id) AS kept
+FROM embeddings e
+LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id
+LEFT JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = e.vec_id
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
     docs = table(spark, sf_dir, "documents")
@@ -122,7 +165,9 @@ QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_records": op2_token_records,
     "op3_mix_sources": op3_mix_sources,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_line_dedup": op5_line_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_personal_data": op8_personal_data,
     "op10_language_id": op10_language_id,
@@ -130,4 +175,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": OP3_SQL,
+    "op4_exact_top_k": OP4_SQL,
+    "op6_embedding_near_dedup": OP6_SQL,
 }

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import Scratch
 
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 
 
 def usable(vectors: DataFrame, column: str) -> DataFrame:
@@ -75,11 +75,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int, list
     asked = scratch.keep(queries.select(F.col("vec_id").cast("long").alias("vec_id"), "v"), "queries")
 
     query_blocks, n_query = _blocks(asked, "vec_id", QUERY_BLOCK, "qb")
-    vector_blocks, _ = _blocks(classes.select("rep", "v"), "rep", VECTOR_BLOCK, "vb")
+    vector_blocks, n_vector = _blocks(classes.select("rep", "v"), "rep", VECTOR_BLOCK, "vb")
     query_blocks = scratch.keep(query_blocks, "query_blocks")
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long")))
-    vector_blocks = scratch.keep(vector_blocks.withColumn("qb", each), "vector_blocks")
-    met = vector_blocks.join(query_blocks.withColumnsRenamed({"ids": "q_ids", "values": "q_values"}), "qb")
+    vector_blocks = scratch.keep(vector_blocks, "vector_blocks")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def meet(query_blocks: DataFrame) -> DataFrame:
+        """Each block of queries with each of candidates, a row per pair, dealt by pair."""
+        asking = query_blocks.withColumnsRenamed({"ids": "q_ids", "values": "q_values"}).withColumn("vb", upto(n_vector))
+        return vector_blocks.withColumn("qb", upto(n_query)).join(asking, ["qb", "vb"])
 
     # the query's own class can take one of the places
     deep = k + 1
@@ -96,25 +100,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int, list
                 reps = np.array(batch.column("ids")[row].as_py(), np.int64)
                 q = _matrix(batch.column("q_values"), row, len(q_ids))
                 x = _matrix(batch.column("values"), row, len(reps))
-                by_rep = np.argsort(reps)
-                reps, x = reps[by_rep], x[by_rep]
                 for p, of in enumerate(parts(x.shape[1])):
                     score = _product(q[:, of], x[:, of])
-                    top = np.argsort(-score, axis=1, kind="stable")[:, :deep]
+                    few = min(deep, len(reps))
+                    top = np.argpartition(-score, few - 1, axis=1)[:, :few]
                     least = score.min(1)
                     n = top.shape[1]
+                    unseen = np.repeat([False, True], [len(q_ids) * n, len(q_ids)])
                     yield pa.record_batch(
                         [
                             pa.array(np.concatenate([np.repeat(q_ids, n), q_ids])),
                             pa.array(np.full(len(q_ids) * (n + 1), p), pa.int32()),
-                            pa.array(np.concatenate([reps[top].ravel(), q_ids * 0]), mask=np.repeat([False, True], [len(q_ids) * n, len(q_ids)])),
+                            pa.array(np.concatenate([reps[top].ravel(), q_ids * 0]), mask=unseen),
                             pa.array(np.concatenate([np.take_along_axis(score, top, 1).ravel(), least])),
                         ],
                         names=["query_id", "part", "rep", "score"],
                     )
 
     gathered = scratch.keep(
-        met.mapInArrow(local, "query_id long, part int, rep long, score long"), "local_scores"
+        meet(query_blocks).mapInArrow(local, "query_id long, part int, rep long, score long"), "local_scores"
     )
     lowest = gathered.filter("rep IS NULL").groupBy("query_id", "part").agg(F.min("score").alias("lowest"))
     shifts = lowest.groupBy("query_id").agg(
@@ -167,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int, list
                     names=["query_id", "rep", "score"],
                 )
 
-    found = met.join(per_block, "qb").mapInArrow(resolve, "query_id long, rep long, score long")
+    found = meet(query_blocks.join(per_block, "qb")).mapInArrow(resolve, "query_id long, rep long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     found = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= deep)
     members = found.join(classes.select("rep", "vec_ids"), "rep").select(
