@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import jaccard_join, language_id, line_dedup, metric_join, mixing, packing, pii, token_records, top_k
+from starloom.llm import jaccard_join, language_id, line_dedup, metric_join, mixing, packing, pii, substring_dedup, token_records, top_k
 from starloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ SIMILAR = jaccard_join.Similarity(width=3, under=90, over=100)
 LINE_EDITS, LINE_CHARS = 2, 20
 NEIGHBOURS, NEAR_COSINE = 10, 0.98
 CAPACITY = 2048
+PASSAGE_WORDS = 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -154,6 +155,13 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.dedupe_passages(docs, Scratch(spark, "op9"), PASSAGE_WORDS).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256", "removed"
+    )
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.filter(~language_id.held_out("doc_id")))
@@ -170,6 +178,7 @@ QUERIES: dict[str, Query] = {
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_personal_data": op8_personal_data,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
 }
 
