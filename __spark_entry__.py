@@ -39,10 +39,11 @@ from testbed.lake import (  # noqa: E402
 )
 from testbed.raw import RAW, given  # noqa: E402
 
-try:  # the training-data operators, present or not
+try:  # the training-data operators and their pipeline, present or not
+    import corpus_pipeline
     from starloom.llm import queries as llm
 except ImportError:
-    llm = None
+    corpus_pipeline = llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -389,7 +390,7 @@ def queries() -> dict[str, Query]:
         ),
         "q_weekend_split": gold_query(star.weekend_split, "dim_date"),
         "q_payment_total_per_month": gold_query(star.payment_total_per_month, "dim_date"),
-        **(llm.QUERIES if llm else {}),
+        **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }
 
 
