@@ -64,6 +64,11 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
 
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """`df`, a table cheap to count, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def with_running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, name: str
 ) -> DataFrame:

@@ -197,13 +197,14 @@ def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.
     return found, score
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(
+    docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")
+) -> DataFrame:
     """`docs` with lang_pred, score (0 to 1) and accepted: whether the model is sure enough of it.
 
-    Only the text counts. A null or letterless text is UNDETERMINED, with score 0, and not accepted.
+    They take the place of columns of these `names`. Only the text counts. A null or letterless text is UNDETERMINED, with score 0, and not accepted.
     """
-    added = ("lang_pred", "score", "accepted")
-    keep = [c for c in docs.columns if c not in added]
+    keep = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -213,9 +214,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 accepted = [x != UNDETERMINED and s >= model.threshold for x, s in zip(found, score, strict=True)]
                 yield pa.record_batch(
                     [*batch.columns, pa.array(found), pa.array(score), pa.array(accepted, pa.bool_())],
-                    names=[*keep, *added],
+                    names=[*keep, *names],
                 )
 
     frame = docs.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    return frame.mapInArrow(run, f"{fields}, lang_pred string, score double, accepted boolean")
+    language, score, accepted = names
+    return frame.mapInArrow(run, f"{fields}, `{language}` string, `{score}` double, `{accepted}` boolean")

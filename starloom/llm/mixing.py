@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import WORD_PATTERN, with_running_sum
+from starloom.llm.common import WORD_PATTERN, small, with_running_sum
+
+#: Up to so many sources (some 100 bytes each) their rates are broadcast; beyond, joined.
+MOST_SOURCES = 200_000
 
 
 def n_words(text: Column | str) -> Column:
@@ -59,23 +62,39 @@ def source_targets(
     return s.select("source", "source_size", target.alias("target"))
 
 
-def sample(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """Add source_size, target and `copies`, the times the mix takes each row of `sizes`
-    (doc_id, source, size, and any others).
+def place(doc_id: Column | str, seed: int) -> Column:
+    """Seeded random order of documents, as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+
+
+def rates(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """Per source: source_size, target, `whole` and `until`, for `with_copies`.
 
     The rate of a source is target / source_size. Each row is taken floor(rate) times, and the rows that
     come first in a seeded random order of the source once more, until their sizes have the rest of the
     rate; the row at the border goes where the total is nearer to the target. So a source misses its
-    target by at most half a row, and reruns agree. A source without words has rate 0. `sizes` must
-    be a written table: it is read several times.
+    target by at most half a row, and reruns agree. `until` is the place of the last such row, null
+    if there is none. A source without words has rate 0. `sizes` (doc_id, source, size) must be a written
+    table: it is read several times.
     """
-    t = targets.withColumnRenamed("source", "_source")
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    order = sizes.withColumn("_seed", F.lit(seed))
-    placed = with_running_sum(order, ["source"], ["_seed", "doc_id"], F.col("size"), "_before")
-    rated = placed.join(t, same).drop("_source", "_seed")
-    whole = F.floor(F.col("target") / F.col("source_size"))
-    rest = F.col("target") - whole * F.col("source_size")
-    again = F.col("_before") + F.col("size") / 2 <= rest
-    copies = F.when(F.col("source_size") > 0, whole + again.cast("long")).otherwise(0)
-    return rated.withColumn("copies", copies.cast("int")).drop("_before")
+    seeded = sizes.select("source", "size", "doc_id", F.lit(str(seed)).alias("_seed"))
+    placed = with_running_sum(seeded, ["source"], ["_seed", "doc_id"], F.col("size"), "_before")
+    t = targets.withColumn("whole", F.floor(F.col("target") / F.nullif("source_size", F.lit(0))))
+    t = t.withColumn("_rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    renamed = t.withColumnRenamed("source", "_source")
+    again = placed.join(renamed, F.col("source").eqNullSafe(F.col("_source"))).filter(
+        F.col("_before") + F.col("size") / 2 <= F.col("_rest")
+    )
+    last = again.groupBy(F.col("source").alias("_source")).agg(F.max(place("doc_id", seed)).alias("until"))
+    joined = t.join(last, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.select("source", "source_size", "target", "whole", "until")
+
+
+def with_copies(docs: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
+    """`docs` (doc_id, source, and any others) with the times the mix takes each row (`copies`) and its
+    source's source_size and target. `per_source`, from `rates`, is best a written table."""
+    r = small(per_source.withColumnRenamed("source", "_source"), MOST_SOURCES)
+    joined = docs.join(r, F.col("source").eqNullSafe(F.col("_source")))
+    again = F.coalesce(place("doc_id", seed) <= F.col("until"), F.lit(False))
+    copies = F.coalesce(F.col("whole") + again.cast("long"), F.lit(0)).cast("int")
+    return joined.select(*[docs[c] for c in docs.columns], "source_size", "target", copies.alias("copies"))

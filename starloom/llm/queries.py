@@ -44,9 +44,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = scratch.keep(docs.select("doc_id", "source", mixing.n_words("text").alias("size")), "sizes")
     targets = mixing.source_targets(sizes, WEIGHTS, TOTAL_SHARE, MAX_EPOCHS)
-    mixed = mixing.sample(sizes, targets, SEED)
-    taken = F.col("copies") * F.col("size")
-    return mixed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    rates = scratch.keep(mixing.rates(sizes, targets, SEED), "rates")
+    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    mixed = mixing.with_copies(sizes, rates, SEED)
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "source")
 
 
 OP3_SQL = f"""
