@@ -307,11 +307,12 @@ def group_similar(docs: DataFrame, scratch: Scratch, similarity: Similarity) ->
             yield pa.record_batch([batch.column("doc_id"), lists], names=["doc_id", "grams"])
 
     needed = stars.select(F.explode(F.array("center", "doc")).alias("doc_id")).distinct()
-    spelled = usable.join(needed, "doc_id").mapInArrow(spell, "doc_id long, grams array<long>")
+    # joined by shuffles whatever the sizes, so that the plan is the one of large inputs on small ones too
+    spelled = usable.join(needed.hint("merge"), "doc_id").mapInArrow(spell, "doc_id long, grams array<long>")
     spelled = scratch.keep(spelled.dropDuplicates(["doc_id"]), "spelled")
     compared = (
-        stars.join(spelled.select(F.col("doc_id").alias("doc"), F.col("grams").alias("mine")), "doc")
-        .join(spelled.select(F.col("doc_id").alias("center"), F.col("grams").alias("theirs")), "center")
+        stars.join(spelled.select(F.col("doc_id").alias("doc"), F.col("grams").alias("mine")).hint("merge"), "doc")
+        .join(spelled.select(F.col("doc_id").alias("center"), F.col("grams").alias("theirs")).hint("merge"), "center")
         .select(
             "center",
             "doc",
