@@ -4,8 +4,11 @@ Two lines within `edits` edits (signs inserted, deleted or replaced) share a pie
 edits + 1 segments, and one of them stands unchanged in the other, moved by at most the edits next to
 it. So each line is entered under its segments and looked up under the substrings that can equal a
 segment of a line as long as it or up to `edits` shorter; positions further off are skipped, as they
-would leave too many edits on one side. Pairs found are verified by Spark's levenshtein with a
-threshold, which computes only the diagonals within `edits` of the main one.
+would leave too many edits on one side. Lines that share a segment are a pair only if 64 parity bits of
+their words differ in few places: an edit changes at most three words' counts, so lines further apart
+in this are further than `edits` apart. That keeps lines with a long part in common from making
+pairs by the square of their number. Pairs are verified by Spark's levenshtein with a threshold,
+which computes only the diagonals within `edits` of the main one.
 
 Which line came before is by (doc_id, line number). A line goes if an equal one, or one whose first
 occurrence is earlier than its own first and that is within `edits`, came before. All lines are
@@ -37,11 +40,13 @@ def lookups(edits: int) -> list[tuple[int, int, int]]:
 
 
 def keys(lines: DataFrame, edits: int) -> DataFrame:
-    """Of `lines` (h1, line, n_chars): h1, key, and whether it is one of the line's own segments."""
+    """Of `lines` (h1, line, n_chars, parity): h1, parity, key, and whether it is one of the line's own
+    segments."""
     k = edits + 1
     wanted = F.array(*[F.struct(*map(F.lit, x)) for x in lookups(edits)])
     wanted = wanted.cast("array<struct<shorter: int, i: int, move: int>>")
-    each = lines.select("h1", "line", "n_chars", F.explode(wanted).alias("w")).select("h1", "line", "n_chars", "w.*")
+    columns = ["h1", "parity", "line", "n_chars"]
+    each = lines.select(*columns, F.explode(wanted).alias("w")).select(*columns, "w.*")
     # of n signs the first segments have n div k, the last n mod k of them one more
     target = F.col("n_chars") - F.col("shorter")
     base, longer = F.expr(f"(n_chars - shorter) div {k}").cast("int"), target % k
@@ -54,11 +59,18 @@ def keys(lines: DataFrame, edits: int) -> DataFrame:
     piece = F.substring("line", F.col("start"), F.col("size"))
     return each.select(
         "h1",
+        "parity",
         F.xxhash64(piece, "target", "i").alias("key"),
         ((F.col("shorter") == 0) & (F.col("move") == 0)).alias("entered"),
     )
 
 
+def parity(line: Column) -> Column:
+    """64 bits: whether the words (between single spaces) of each hash occur an odd number of times."""
+    bit = lambda word: F.shiftleft(F.lit(1).cast("long"), F.pmod(F.xxhash64(word), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, word: bits.bitwiseXOR(bit(word)))
+
+
 def _order(doc_id: Column, line_no: Column) -> Column:
     """Documents without an id come last."""
     return F.coalesce(doc_id.cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)")) * F.lit(
@@ -98,10 +110,11 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, edits: int, min_chars: int)
     total = firsts.agg(F.sum("n")).first()[0] or 0
     hot = firsts.filter(F.col("n") > total * HOT_SHARE).select("h1", "h2", F.col("first").alias("only"))
     searched = lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter("only IS NULL OR place = only")
-    entries = keys(searched, edits)
+    entries = keys(searched.withColumn("parity", parity(F.col("line"))), edits)
     a, b = entries.alias("a"), entries.alias("b")
     share = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1"))
-    pairs = a.join(b, share & (F.col("a.entered") | F.col("b.entered")))
+    apart = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity")))
+    pairs = a.join(b, share & (F.col("a.entered") | F.col("b.entered")) & (apart <= 3 * edits))
     pairs = pairs.select(F.col("a.h1").alias("x"), F.col("b.h1").alias("y")).distinct()
     pairs = scratch.keep(pairs, "pairs")
 
