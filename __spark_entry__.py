@@ -29,7 +29,7 @@ from starloom.operators.cleaning import (  # noqa: E402
 )
 from starloom.operators.joins import join_many_to_one, left_join_one_to_many  # noqa: E402
 from starloom.plans import ask, bronze, gold, jobs, silver, star  # noqa: E402
-from testbed import oracle  # noqa: E402
+from testbed import dirty, oracle  # noqa: E402
 from testbed.lake import (  # noqa: E402
     column_types,
     loaded_lakehouse,
@@ -374,6 +374,11 @@ def queries() -> dict[str, Query]:
         "read_layer_table": read_layer_table,
         "write_read_roundtrip": write_read_roundtrip,
         "load_audit": load_audit,
+        # files with values that are not of their columns' types
+        "bronze_payments_dirty": dirty.bronze_payments,
+        "silver_payments_dirty": dirty.silver_payments,
+        "silver_order_items_dirty": dirty.silver_order_items,
+        "dim_customer_text_zip": dirty.dim_customer,
         # layers
         **{f"silver_{table}": silver_table(table) for table in silver.TABLES},
         **{table: gold_table(table) for table in gold.TABLES},
@@ -450,6 +455,29 @@ def oracle_sql() -> dict[str, str]:
             FROM orders""",
         "csv_ingest": "SELECT * FROM documents",
         **{f"bronze_{k}": sql(f"SELECT * FROM {v}") for k, v in SOURCE_ORACLE.items()},
+        "bronze_payments_dirty": sql("""
+            SELECT CAST(order_id AS VARCHAR) AS order_id, payment_sequential, payment_type,
+                   payment_installments, payment_value,
+                   (SELECT count(*) FROM x_payments WHERE payment_value IS NULL) AS rejected_values
+            FROM x_payments"""),
+        "silver_payments_dirty": sql("""
+            SELECT order_id, CAST(sum(CAST(payment_value AS DECIMAL(18,2))) AS DOUBLE) AS payment_value,
+                   max(CAST(trunc(CAST(payment_installments AS DOUBLE)) AS INTEGER)) AS payment_installments,
+                   first(payment_type ORDER BY payment_sequential, payment_type) AS payment_type,
+                   max(payment_sequential) AS payment_sequential, count(*) AS num_payments, mode
+            FROM x_payments, modes
+            WHERE payment_type IS NOT NULL AND payment_value IS NOT NULL AND payment_installments <> 'n/a'
+            GROUP BY order_id, mode"""),
+        "silver_order_items_dirty": sql("SELECT s_items.*, mode FROM s_items, modes WHERE product_id % 29 <> 0"),
+        "dim_customer_text_zip": sql("""
+            SELECT customer_id, customer_city, customer_lat, customer_lng, mode
+            FROM (SELECT c.customer_id, c.customer_city, g.geolocation_lat AS customer_lat,
+                         g.geolocation_lng AS customer_lng,
+                         row_number() OVER (PARTITION BY c.customer_id
+                            ORDER BY c.customer_city, g.geolocation_lat NULLS FIRST,
+                                     g.geolocation_lng NULLS FIRST) AS n
+                  FROM x_customers c LEFT JOIN s_geo g ON c.zip = g.geolocation_zip_code_prefix), modes
+            WHERE n = 1"""),
         "read_layer_table": sql("SELECT * FROM s_orders"),
         "write_read_roundtrip": "SELECT * FROM lineitem",
         "load_audit": oracle.audit(AUDIT_TABLES),

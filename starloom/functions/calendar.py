@@ -13,7 +13,7 @@ def date_key(day: Column | str) -> Column:
 
 def calendar_columns(day: Column | str) -> dict[str, Column]:
     """Columns of the date dimension; weeks are ISO weeks and days count from Monday = 1."""
-    day_of_week = (F.weekday(day) + 1).cast("int")
+    day_of_week = F.weekday(day) + 1
     return {
         "date_key": date_key(day),
         "year": F.year(day),

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from starloom.sources.csv_files import read_csv, table_name_of
+from pyspark.sql import functions as F
+
+from starloom.functions.casts import typed_columns
+from starloom.sources.csv_files import infer_csv, table_name_of, text_csv
 from starloom.sources.tables import Lakehouse
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Source:
     """A source file `<table>.csv`: the types of its columns and the columns later layers need.
 
-    Columns without a type here are kept as strings. A column that may be malformed
-    (the review score) is a string too, and is cast in silver.
+    Columns without a type here are kept as text: also those that silver or gold casts or compares
+    by their digits (review score, installments, zip prefixes). Whole numbers may be
+    written with decimals. A value that is not of its type becomes null, and the load record has the
+    number of these for each column.
     """
 
     table: str
@@ -28,12 +36,12 @@ class Source:
 SOURCES = {
     "customers": Source(
         "olist_customers_dataset",
-        {"customer_zip_code_prefix": "int"},
+        {},
         ("customer_id", "customer_zip_code_prefix", "customer_city"),
     ),
     "sellers": Source(
         "olist_sellers_dataset",
-        {"seller_zip_code_prefix": "int"},
+        {},
         ("seller_id", "seller_city"),
     ),
     "products": Source(
@@ -71,7 +79,7 @@ SOURCES = {
     ),
     "payments": Source(
         "olist_order_payments_dataset",
-        {"payment_sequential": "int", "payment_installments": "int", "payment_value": "double"},
+        {"payment_sequential": "int", "payment_value": "double"},
         ("order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"),
     ),
     "order_reviews": Source(
@@ -88,7 +96,6 @@ SOURCES = {
     "geolocation": Source(
         "olist_geolocation_dataset",
         {
-            "geolocation_zip_code_prefix": "int",
             "geolocation_lat": "double",
             "geolocation_lng": "double",
         },
@@ -111,9 +118,26 @@ def ingest_csv(
     multiline: bool = False,
     infer_schema: bool = False,
 ) -> dict[str, Any]:
-    """Replace the bronze table named after the file by the file's rows."""
-    df = read_csv(lake.spark, path, types, required, multiline, infer_schema)
-    return lake.write("bronze", table_name_of(path), df)
+    """Replace the bronze table named after the file by the file's rows.
+
+    The load record's `rejected` counts the values of each typed column that were not of its type.
+    """
+    if infer_schema:
+        return lake.write("bronze", table_name_of(path), infer_csv(lake.spark, path, required, multiline))
+    text = text_csv(lake.spark, path, required, multiline)
+    typed = typed_columns(types or {}, text.columns)
+    rejected = {
+        c: F.count(F.when(F.col(f"`{c}`").isNotNull() & typed[c].isNull(), 1))
+        for c in text.columns
+        if (types or {}).get(c, "string") != "string"
+    }
+    record = lake.write(
+        "bronze", table_name_of(path), text, count=rejected, then=[v.alias(c) for c, v in typed.items()]
+    )
+    for column, n in record["rejected"].items():
+        if n:
+            logger.warning("%s: %d values of %s are not of type %s", path, n, column, types[column])
+    return record
 
 
 def ingest(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.calendar import calendar_columns
+from starloom.functions.casts import zip_text
 from starloom.operators.cleaning import dedupe_by_key
 from starloom.operators.joins import hot_keys, join_many_to_one
 
@@ -20,16 +21,18 @@ def dim_order(orders: DataFrame, payments: DataFrame) -> DataFrame:
 def dim_customer(customers: DataFrame, geolocation: DataFrame) -> DataFrame:
     """One row per customer, with a coordinate of its zip prefix where there is one.
 
-    Each zip prefix is brought down to one point before the join, so the join adds no rows.
+    Each zip prefix is brought down to one point before the join, so the join adds no rows. Zips are
+    compared as text without zeros in front, so that either side may hold numbers or text.
     """
     points = geolocation.select(
-        F.col("geolocation_zip_code_prefix").alias("customer_zip_code_prefix"),
+        zip_text("geolocation_zip_code_prefix").alias("_zip"),
         F.col("geolocation_lat").alias("customer_lat"),
         F.col("geolocation_lng").alias("customer_lng"),
     )
-    point = dedupe_by_key(points, ["customer_zip_code_prefix"])
-    located = join_many_to_one(customers, point, "customer_zip_code_prefix", "left")
-    return dedupe_by_key(located.drop("customer_zip_code_prefix"), ["customer_id"])
+    point = dedupe_by_key(points, ["_zip"])
+    keyed = customers.withColumn("_zip", zip_text("customer_zip_code_prefix"))
+    located = join_many_to_one(keyed, point, "_zip", "left")
+    return dedupe_by_key(located.drop("_zip", "customer_zip_code_prefix"), ["customer_id"])
 
 
 def dim_seller(sellers: DataFrame) -> DataFrame:

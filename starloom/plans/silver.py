@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.functions.casts import int_columns
+from starloom.functions.casts import double_columns, int_columns
 from starloom.functions.money import round_money, sum_money
 from starloom.operators.cleaning import (
     dedupe_by_key,
@@ -18,6 +18,7 @@ from starloom.operators.cleaning import (
 # The bounding box of the coordinates, and the columns made whole numbers.
 LAT_RANGE = (-33.75116944, 5.27438888)
 LNG_RANGE = (-73.98283055, -34.79314722)
+MONEY_COLUMNS = ("price", "freight_value")
 PRODUCT_INT_COLUMNS = (
     "product_description_length",
     "product_length_cm",
@@ -48,15 +49,17 @@ def products(bronze: DataFrame) -> DataFrame:
 def order_items(bronze: DataFrame) -> DataFrame:
     """Distinct complete rows, with money to the cent.
 
-    Nulls go first: rounding makes none, and a null check on rounded columns would round twice.
+    Amounts that are no number become null and go. Rounding a number makes no null, so the null
+    check can come before it.
     """
-    money = {c: round_money(c) for c in ("price", "freight_value")}
-    return distinct_rows(drop_nulls(bronze).withColumns(money))
+    numbers = bronze.withColumns(double_columns(bronze, MONEY_COLUMNS))
+    return distinct_rows(drop_nulls(numbers).withColumns({c: round_money(c) for c in MONEY_COLUMNS}))
 
 
 def payments(bronze: DataFrame) -> DataFrame:
     """One row per order; the payment type is that of the lowest payment number."""
-    df = drop_nulls(bronze.withColumns(int_columns(bronze, ["payment_installments"])))
+    numbers = int_columns(bronze, ["payment_installments"]) | double_columns(bronze, ["payment_value"])
+    df = drop_nulls(bronze.withColumns(numbers))
     per_order = df.withColumn("payment_value", round_money("payment_value")).groupBy("order_id").agg(
         sum_money("payment_value").alias("payment_value"),
         F.max("payment_installments").alias("payment_installments"),

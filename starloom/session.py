@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
@@ -18,58 +18,28 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.shuffle.accurateBlockSkewedFactor": "5",
+    "spark.log.level": "WARN",
 }
 
 
 def get_spark(
-    app_name: str,
-    master_url: str | None = None,
-    executor_cores: int | None = None,
-    executor_memory: str | None = None,
-    driver_memory: str | None = None,
-    num_executors: int | None = None,
-    jar_packages: Sequence[str] = (),
-    spark_conf: Mapping[str, str] | None = None,
-    log_level: str = "WARN",
-    shuffle_bytes: int | None = None,
+    app_name: str, conf: Mapping[str, str] | None = None, shuffle_bytes: int | None = None
 ) -> SparkSession:
-    """Build (or fetch) a session.
+    """A session with `DEFAULT_CONF`, then `conf` over it: master, memory, packages and whatever
+    else Spark takes as a setting.
 
-    `shuffle_bytes` is the size of the largest shuffle expected; it sets how many partitions
-    a shuffle starts with, which adaptive execution then merges down where they are small. From
-    1 TB on, scans read 512 MB at a time, as the driver keeps track of each scan task's output
-    for each shuffle partition.
+    `shuffle_bytes`, the size of the largest shuffle expected, sets how many partitions a shuffle
+    starts with; adaptive execution merges those that turn out small.
     """
-    conf = dict(DEFAULT_CONF)
-    if executor_memory:
-        conf["spark.executor.memory"] = executor_memory
-    if executor_cores:
-        conf["spark.executor.cores"] = str(executor_cores)
-    if driver_memory:
-        conf["spark.driver.memory"] = driver_memory
-    if num_executors:
-        conf["spark.executor.instances"] = str(num_executors)
-    if jar_packages:
-        conf["spark.jars.packages"] = ",".join(jar_packages)
+    settings = dict(DEFAULT_CONF)
     if shuffle_bytes:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions(shuffle_bytes))
-        if shuffle_bytes >= 1 << 40:
-            conf["spark.sql.files.maxPartitionBytes"] = "512m"
-    conf.update(spark_conf or {})
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions(shuffle_bytes))
+    return SparkSession.builder.appName(app_name).config(map=settings | dict(conf or {})).getOrCreate()
 
-    builder = SparkSession.builder.appName(app_name)
-    if master_url:
-        builder = builder.master(master_url)
-    for key, value in conf.items():
-        builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel(log_level)
-    return spark
 
-
-def shuffle_partitions(shuffle_bytes: int, target_bytes: int = 256 << 20) -> int:
-    """Partitions of about `target_bytes` each, within 200 and 50,000."""
-    return min(max(math.ceil(shuffle_bytes / target_bytes), 200), 50_000)
+def shuffle_partitions(shuffle_bytes: int, partition_bytes: int = 256 << 20) -> int:
+    """Partitions of `partition_bytes` each, whatever their number."""
+    return max(1, math.ceil(shuffle_bytes / partition_bytes))
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -1,4 +1,4 @@
-"""CSV scan with types given by column name."""
+"""CSV scan: all columns as text, typed by column name, or with inferred types."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.functions.casts import typed_columns
+
 logger = logging.getLogger(__name__)
 
-# A multi-line file cannot be split, so it is read by one task. Above this size say so.
+# A multi-line file cannot be split, so it is read by one task. Files above this size are reported.
 LARGE_UNSPLITTABLE_BYTES = 1 << 30
 
 
@@ -20,43 +22,58 @@ def table_name_of(path: str) -> str:
     return os.path.splitext(os.path.basename(path.rstrip("/")))[0]
 
 
-def read_csv(
-    spark: SparkSession,
-    path: str,
-    types: Mapping[str, str] | None = None,
-    required: Iterable[str] = (),
-    multiline: bool = False,
-    infer_schema: bool = False,
-) -> DataFrame:
-    """Read headed CSV file(s).
-
-    Column names come from the header and types from `types` (columns not listed stay strings),
-    so the data is read once. `infer_schema=True` has Spark work the types out instead, at the
-    price of a second pass. With `multiline`, quoted fields may hold line breaks and doubled quotes.
-    """
+def _options(spark: SparkSession, path: str, multiline: bool) -> dict[str, object]:
     options: dict[str, object] = {"header": True}
     if multiline:
         options |= {"multiLine": True, "escape": '"'}
         _warn_of_large_files(spark, path)
+    return options
 
-    if infer_schema:
-        df = spark.read.options(**options, inferSchema=True).csv(path)
-    else:
-        types = types or {}
-        header = spark.read.options(**options).csv(path).columns
-        schema = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header)
-        # enforceSchema=False checks each file's header against the schema
-        df = spark.read.schema(schema).options(**options, enforceSchema=False).csv(path)
 
+def _with_required(df: DataFrame, path: str, required: Iterable[str]) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}; it has {df.columns}")
     return df
 
 
+def text_csv(spark: SparkSession, path: str, required: Iterable[str] = (), multiline: bool = False) -> DataFrame:
+    """Headed CSV file(s) with every column as text. With `multiline`, quoted fields may hold line
+    breaks and doubled quotes."""
+    options = _options(spark, path, multiline)
+    header = spark.read.options(**options).csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in header)
+    # enforceSchema=False checks each file's header against the schema
+    return _with_required(spark.read.schema(schema).options(**options, enforceSchema=False).csv(path), path, required)
+
+
+def infer_csv(spark: SparkSession, path: str, required: Iterable[str] = (), multiline: bool = False) -> DataFrame:
+    """The same with types that Spark works out, at the price of a second pass."""
+    df = spark.read.options(**_options(spark, path, multiline), inferSchema=True).csv(path)
+    return _with_required(df, path, required)
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    types: Mapping[str, str] | None = None,
+    required: Iterable[str] = (),
+    multiline: bool = False,
+) -> DataFrame:
+    """Headed CSV file(s), types by column name; columns not listed stay text. The data is read once.
+
+    A value that is not of its type is null; `bronze.ingest_csv` counts these.
+    """
+    text = text_csv(spark, path, required, multiline)
+    return text.select(*[v.alias(c) for c, v in typed_columns(types or {}, text.columns).items()])
+
+
 def _warn_of_large_files(spark: SparkSession, path: str) -> None:
-    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
-    for row in sizes.filter(F.col("length") > LARGE_UNSPLITTABLE_BYTES).limit(20).collect():
+    sizes = spark.read.format("binaryFile").load(path).filter(F.col("length") > LARGE_UNSPLITTABLE_BYTES)
+    n, total, largest = sizes.agg(F.count("*"), F.sum("length"), F.max_by("path", "length")).first()
+    if n:
         logger.warning(
-            "%s (%d bytes) is one task's work, deliver it as several files", row["path"], row["length"]
-        )
+            "%d file(s) of %s, %d bytes together, are one task's work each; the largest is %s. Deliver"
+            " them as several files",
+            n, path, total, largest,
+        )

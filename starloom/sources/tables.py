@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 logger = logging.getLogger(__name__)
 
+#: Formats whose tables are plain files: replacing one in place would first drop it.
+FILE_FORMATS = ("parquet", "orc", "csv", "json")
+
 
 @dataclass(frozen=True)
 class Lakehouse:
@@ -51,6 +55,8 @@ class Lakehouse:
         df: DataFrame,
         partition_by: Sequence[str] = (),
         bucket_by: tuple[int, str] | None = None,
+        count: Mapping[str, Column] | None = None,
+        then: Sequence[Column] = (),
     ) -> dict[str, Any]:
         """Replace the table by `df` and return its load record.
 
@@ -59,9 +65,17 @@ class Lakehouse:
         `bucket_by`: (n, column), for a column without hot values. Tables with the same buckets
         join on it without a shuffle. One file per bucket; where `df` is already hashed on the
         column into n partitions, Spark leaves the repartitioning out.
+        `count`: aggregates over `df` for the record's `rejected`; `then`: columns to write instead
+        of all.
+
+        The rows are counted as they are written. A table of files is written under another name
+        first, so that readers have the old one until the new one is whole and a failed load leaves it.
         """
-        name = self.table_name(layer, table)
-        logger.info("Writing %s (%d columns)", name, len(df.columns))
+        observed = Observation()
+        counts = [F.count(F.lit(1)).alias("rows"), *[c.alias(f"rejected.{k}") for k, c in (count or {}).items()]]
+        df = df.observe(observed, *counts)
+        if then:
+            df = df.select(*then)
         if partition_by:
             df = df.hint("rebalance", *partition_by)
         if bucket_by:
@@ -71,20 +85,27 @@ class Lakehouse:
             writer = writer.partitionBy(*partition_by)
         if bucket_by:
             writer = writer.bucketBy(*bucket_by)
-        writer.saveAsTable(name)
-
-        try:
-            # counted from the written files, whose footers hold the row counts
-            row_count = self.spark.table(name).count()
-        except Exception as error:  # the table is written; a failed count must not fail the load
-            logger.warning("No row count for %s: %s", name, error)
-            row_count = -1
-        return {
+
+        name = self.table_name(layer, table)
+        beside = self.fmt in FILE_FORMATS and self.spark.catalog.tableExists(name)
+        if beside:
+            new = self.table_name(layer, f"{table}_{uuid.uuid4().hex[:12]}")
+            writer.saveAsTable(new)
+            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+        else:
+            writer.saveAsTable(name)
+        metrics = observed.get
+        logger.info("%s now has %s rows in %d columns", name, metrics.get("rows"), len(df.columns))
+        record = {
             "table": table,
-            "row_count": row_count,
+            "row_count": metrics.get("rows", -1),  # -1: Spark reported no metrics
             "column_count": len(df.columns),
             "columns": df.columns,
         }
+        if count is not None:
+            record["rejected"] = {k: metrics.get(f"rejected.{k}") for k in count}
+        return record
 
     def audit(self, tables: Iterable[tuple[str, str]]) -> DataFrame:
         """One row per (layer, table): its row count, column count and column names."""

@@ -77,6 +77,20 @@ TABLES = {
                s_name AS geolocation_city, 'XX' AS geolocation_state
         FROM (SELECT * FROM supplier
               UNION ALL SELECT * FROM supplier WHERE s_suppkey % 4 = 0)""",
+    # ---- sources with values that are not of their type
+    "x_payments": """
+        SELECT order_id, payment_sequential, payment_type,
+               CASE WHEN order_id % 13 = 0 THEN concat(payment_installments, '.9')
+                    WHEN order_id % 17 = 0 THEN concat(payment_installments, '.0')
+                    WHEN order_id % 19 = 0 THEN 'n/a'
+                    ELSE CAST(payment_installments AS VARCHAR) END AS payment_installments,
+               CASE WHEN payment_sequential = 7 THEN NULL ELSE payment_value END AS payment_value
+        FROM r_payments""",
+    "x_customers": """
+        SELECT DISTINCT customer_id, customer_city,
+               CASE WHEN customer_id % 11 <> 0 THEN customer_zip_code_prefix END AS zip
+        FROM r_customers WHERE customer_city IS NOT NULL""",
+    "modes": "SELECT unnest(['declared', 'inferred']) AS mode",
     # ---- silver
     "s_customers": """
         SELECT DISTINCT * FROM r_customers

@@ -20,15 +20,15 @@ def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     session = get_spark(
         "tests",
-        master_url="local[8]",
-        driver_memory="8g",
-        spark_conf={
+        {
+            "spark.master": "local[8]",
+            "spark.driver.memory": "8g",
+            "spark.log.level": "ERROR",
             "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.checkpoint.dir": str(folder / "checkpoint"),
             "spark.sql.warehouse.dir": str(folder / "warehouse"),
         },
-        log_level="ERROR",
     )
     yield session
     session.stop()

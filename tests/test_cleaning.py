@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from starloom.functions.calendar import calendar_columns, date_key
-from starloom.functions.casts import int_columns, int_from_text
-from starloom.functions.money import EXACT_BELOW, round_money, sum_money
+from starloom.functions.casts import int_columns, int_from_text, zip_text
+from starloom.functions.money import round_money, sum_money
 from starloom.operators.cleaning import (
     dedupe_by_key,
     distinct_rows,
@@ -87,23 +87,45 @@ def test_sum_money_is_exact_and_independent_of_row_order(spark):
     assert df.repartition(7).agg(sum_money("x")).first()[0] == 10_000.0
 
 
-def test_sum_money_outside_the_exact_range(spark):
+def test_sum_money_of_large_amounts(spark):
     def total(*amounts):
         df = spark.createDataFrame([(x,) for x in amounts], "x double")
         return df.agg(sum_money("x")).first()[0]
 
-    assert total(1.5, EXACT_BELOW * 10) == EXACT_BELOW * 10 + 1.5
-    assert total(EXACT_BELOW * 10) == EXACT_BELOW * 10
+    assert total(1.5, 1e14) == 1e14 + 1.5
+    assert total(-0.01, -1e15, 1e15, 0.03) == 0.02
     assert total(1.0, math.inf) == math.inf
+    assert total(1e18, 1e18, 1.0) == 2e18
     assert total(None, 2.25) == 2.25
     assert total(None) is None
+    assert spark.range(20_000).agg(sum_money(F.lit(9.9e12))).first()[0] == 1.98e17
+    df = spark.range(7000).select((F.lit(1e13) + F.col("id") / 7).cast("decimal(20,2)").cast("double").alias("x"))
+    assert df.agg(sum_money("x")).first() == df.orderBy(F.desc("x")).repartition(7).agg(sum_money("x")).first()
+
+
+def test_zip_text(spark):
+    df = spark.createDataFrame([("01310",), ("1310",), (" 1310 ",), ("0131A",), ("000",), ("1310.0",), (None,)], "z string")
+    assert [r[0] for r in df.select(zip_text("z")).collect()] == ["1310", "1310", "1310", "0131A", "0", "1310", None]
+    assert spark.range(7, 8).select(zip_text("id")).first()[0] == "7"
+
+
+def test_amounts_that_are_no_number_go(spark, ansi):
+    items = spark.createDataFrame(
+        [("a", "1.005", "2"), ("b", "n/a", "2"), ("c", None, "2")], "order_id string, price string, freight_value string"
+    )
+    assert values(silver.order_items(items)) == [("a", 1.01, 2.0)]
+    payments = spark.createDataFrame(
+        [("o", 1, "card", "3.9", "5"), ("o", 2, "card", ".5", "10"), ("p", 1, "card", "1.0", "7"), ("q", 1, "card", "1", "n/a")],
+        "order_id string, payment_sequential int, payment_type string, payment_installments string, payment_value string",
+    )
+    assert values(silver.payments(payments)) == [("o", 15.0, 3, "card", 2, 2), ("p", 7.0, 1, "card", 1, 1)]
 
 
 def test_int_casts(spark, ansi):
-    texts = ["5", " 7 ", "+4", "-3.9", "3.9", "3.", "abc", "3.x", "1.2.3", "", "99999999999", None]
+    texts = ["5", " 7 ", "+4", "-3.9", "3.9", "3.", "abc", "3.x", "1.2.3", "", "99999999999", None, ".5", "-.5", ".", "+", "-"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(int_from_text("t")).collect()]
-    assert got == [5, 7, 4, -3, 3, 3, None, None, None, None, None, None]
+    assert got == [5, 7, 4, -3, 3, 3, None, None, None, None, None, None, 0, 0, 0, None, None]
     doubles = spark.createDataFrame([(3.9, "2"), (-3.9, "x"), (NAN, "0"), (1e12, "1")], "d double, s string")
     cast = doubles.withColumns(int_columns(doubles, ["d", "s", "absent"]))
     assert [tuple(r) for r in cast.collect()] == [(3, 2), (-3, None), (None, 0), (None, 1)]

@@ -10,7 +10,7 @@ import pytest
 from starloom.plans import bronze, gold, jobs, silver
 from starloom.session import scratch_dir, shuffle_partitions
 from starloom.sources import csv_files
-from starloom.sources.csv_files import read_csv, table_name_of
+from starloom.sources.csv_files import infer_csv, read_csv, table_name_of
 from starloom.sources.tables import Lakehouse
 from testbed.lake import new_lakehouse, write_source
 from testbed.raw import RAW
@@ -51,7 +51,7 @@ def test_types_by_name_and_unlisted_columns_as_text(spark, tmp_path):
 def test_inferred_types(spark, tmp_path):
     path = tmp_path / "zips.csv"
     path.write_text("city,zip,price\nx,01310,2.5\n")
-    assert [t for _, t in read_csv(spark, str(path), infer_schema=True).dtypes] == ["string", "int", "double"]
+    assert [t for _, t in infer_csv(spark, str(path)).dtypes] == ["string", "int", "double"]
 
 
 def test_missing_column_is_reported(spark, tmp_path):
@@ -77,6 +77,7 @@ def test_large_multi_line_file_is_reported(spark, tmp_path, monkeypatch, caplog)
     with caplog.at_level(logging.WARNING):
         read_csv(spark, str(path), REVIEW_TYPES, multiline=True)
     assert "one task's work" in caplog.text
+    assert f"1 file(s) of {path}, {len(REVIEWS)} bytes together" in caplog.text
 
 
 def test_table_name():
@@ -101,17 +102,30 @@ def test_write_replaces_rows_and_schema(spark, lake):
     assert values(lake.audit([("silver", "t")])) == [("silver", "t", 1, 2, "a,b")]
 
 
-def test_failed_count_is_recorded_as_minus_one(spark, lake, monkeypatch):
-    real = spark.table
+def test_missing_metrics_are_recorded_as_minus_one(spark, lake, monkeypatch):
+    monkeypatch.setattr("starloom.sources.tables.Observation.get", {})
+    assert lake.write("silver", "t", spark.range(5))["row_count"] == -1
+    assert lake.read("silver", "t").count() == 5
 
-    class Broken:
-        def count(self):
-            raise RuntimeError("no count")
 
-    monkeypatch.setattr(type(spark), "table", lambda self, name: Broken())
-    assert lake.write("silver", "t", spark.range(5))["row_count"] == -1
-    monkeypatch.undo()
-    assert real(lake.table_name("silver", "t")).count() == 5
+def test_a_failed_load_leaves_the_old_table(spark, lake):
+    lake.write("silver", "t", spark.range(5))
+    with pytest.raises(Exception, match="(?i)zero"):
+        lake.write("silver", "t", spark.range(5).selectExpr("id / (id - 3) AS x, raise_error('zero')"))
+    assert lake.read("silver", "t").count() == 5
+
+
+def test_rejected_values_are_counted(spark, lake, tmp_path, caplog):
+    lake.create_layer("bronze")
+    path = tmp_path / "t.csv"
+    path.write_text("a,b,c\n1,2.5,x\n3.0,n/a,y\nbad,,z\n,1e3,\n")
+    with caplog.at_level(logging.WARNING):
+        record = bronze.ingest_csv(lake, str(path), {"a": "int", "b": "double"})
+    assert (record["row_count"], record["rejected"]) == (4, {"a": 1, "b": 1})
+    assert "1 values of a are not of type int" in caplog.text
+    assert values(lake.read("bronze", "t")) == sorted(
+        [(1, 2.5, "x"), (3, None, "y"), (None, None, "z"), (None, 1000.0, None)], key=repr
+    )
 
 
 def test_partitioned_write(spark, lake):
@@ -209,6 +223,7 @@ def test_scratch_folder_is_under_the_session_setting(spark):
 
 
 def test_shuffle_partitions():
-    assert shuffle_partitions(1 << 30) == 200
-    assert shuffle_partitions(10 << 40) == 40_960
-    assert shuffle_partitions(1 << 60) == 50_000
+    assert shuffle_partitions(1) == 1
+    assert shuffle_partitions(1 << 30) == 4
+    assert shuffle_partitions(100 << 40) == 409_600
+    assert shuffle_partitions(1 << 30, partition_bytes=128 << 20) == 8
