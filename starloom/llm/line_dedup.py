@@ -65,10 +65,9 @@ def keys(lines: DataFrame, edits: int) -> DataFrame:
     )
 
 
-def parity(line: Column) -> Column:
-    """64 bits: whether the words (between single spaces) of each hash occur an odd number of times."""
-    bit = lambda word: F.shiftleft(F.lit(1).cast("long"), F.pmod(F.xxhash64(word), F.lit(64)).cast("int"))
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda bits, word: bits.bitwiseXOR(bit(word)))
+#: Of the column `line`, 64 bits: whether its words (between single spaces) of each hash are odd in number.
+PARITY = """aggregate(split(line, ' '), 0L,
+    (bits, word) -> bits ^ shiftleft(1L, cast(pmod(xxhash64(word), 64) AS int)))"""
 
 
 def _order(doc_id: Column, line_no: Column) -> Column:
@@ -110,7 +109,7 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, edits: int, min_chars: int)
     total = firsts.agg(F.sum("n")).first()[0] or 0
     hot = firsts.filter(F.col("n") > total * HOT_SHARE).select("h1", "h2", F.col("first").alias("only"))
     searched = lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter("only IS NULL OR place = only")
-    entries = keys(searched.withColumn("parity", parity(F.col("line"))), edits)
+    entries = keys(searched.withColumn("parity", F.expr(PARITY)), edits)
     a, b = entries.alias("a"), entries.alias("b")
     share = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1"))
     apart = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity")))
