@@ -241,6 +241,26 @@ def result_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.capped(ask.gold_sql(loaded_lakehouse(spark, sf_dir), CAP_SQL))
 
 
+ROWS_SQL = "SELECT order_id, order_item_id, product_id, seller_id, review_id, price FROM fact_sales"
+
+
+def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of an answer, as a table again."""
+    lake = loaded_lakehouse(spark, sf_dir)
+    answer = ask.answer(lake, ROWS_SQL)
+    return spark.createDataFrame(answer["rows"], ask.gold_sql(lake, ROWS_SQL).schema)
+
+
+LITERAL_SQL = """
+SELECT 'iceberg.gold.fact_sales' AS a_name, 'it''s; -- iceberg.silver.x' AS a_text, count(*) AS n
+FROM {gold}fact_sales"""
+
+
+def gold_sql_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = LITERAL_SQL.format(gold="`iceberg`.gold.").replace("''", "\\'")
+    return ask.gold_sql(loaded_lakehouse(spark, sf_dir), sql)
+
+
 # Source -> its name in the oracle; silver table -> its name there; column lists for the audit.
 SOURCE_ORACLE = {
     "customers": "r_customers",
@@ -384,6 +404,8 @@ def queries() -> dict[str, Query]:
         **{table: gold_table(table) for table in gold.TABLES},
         # queries on the star schema
         "gold_sql": gold_sql,
+        "gold_sql_literal": gold_sql_literal,
+        "answer_rows": answer_rows,
         "result_row_cap": result_row_cap,
         "q_revenue_by_month": q_revenue_by_month,
         "q_revenue_by_category": gold_query(star.revenue_by_category, "dim_product"),
@@ -484,6 +506,8 @@ def oracle_sql() -> dict[str, str]:
         **{f"silver_{k}": sql(f"SELECT * FROM {v}") for k, v in SILVER_ORACLE.items()},
         **{table: sql(f"SELECT * FROM {table}") for table in gold.TABLES},
         "gold_sql": sql(GOLD_SQL.format(gold="")),
+        "gold_sql_literal": sql(LITERAL_SQL.format(gold="")),
+        "answer_rows": sql(ROWS_SQL),
         "result_row_cap": sql(CAP_SQL + " LIMIT 5000"),
         "q_revenue_by_month": sql(f"""
             SELECT d.year, d.month, d.month_name, {money("f.price")} AS revenue,

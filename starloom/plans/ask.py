@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 from pyspark.errors import ParseException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from starloom.sources.tables import Lakehouse
 
 # Fixed value: the row cap of the dashboard.
 ROW_LIMIT = 5000
 
-_COMMENT_OR_TEXT = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"", re.S)
-# Ways for a SELECT to run a program or any Java method
-_UNSAFE = re.compile(r"\busing\s*''|\b(?:try_)?reflect\s*\(|\bjava_method\s*\(", re.I)
+LAYERS = ("bronze", "silver", "gold")
+
+# What a query's parsed plan may consist of, besides plain expressions. Not among them: commands,
+# writes, external programs, and names that are worked out while the query runs.
+_QUERY_NODES = set(
+    "Project Filter Aggregate Join LateralJoin Sort GlobalLimit LocalLimit LimitAll Offset Distinct Union Except"
+    " Intersect SubqueryAlias OneRowRelation LocalRelation Generate Sample Pivot Unpivot PipeOperator"
+    " WithWindowDefinition GroupingSets UnresolvedRelation UnresolvedWith UnresolvedInlineTable UnresolvedHaving"
+    " UnresolvedHint UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction UnresolvedStar UnresolvedAlias"
+    " UnresolvedAttribute UnresolvedFunction UnresolvedGenerator UnresolvedExtractValue UnresolvedRegex"
+    " UnresolvedOrdinal NamedParameter".split()
+)
+_EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
+_TABLE_FUNCTIONS = set(
+    "range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split()
+)
+_REFLECTION = {"reflect", "try_reflect", "java_method"}
+
+# Parts of a statement in which no name is to be replaced
+_TEXT = r"""[rR]'[^']*'|[rR]"[^"]*"|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|--[^\n]*|/\*.*?\*/"""
 
 
 def clean_sql(sql: str) -> str:
@@ -24,41 +44,86 @@ def clean_sql(sql: str) -> str:
     return sql.removesuffix(";").rstrip()
 
 
-def check_read_only(lake: Lakehouse, sql: str) -> None:
-    """Refuse all but a single query, by having Spark parse it where only a query may stand.
+@lru_cache(maxsize=256)
+def _session(lake: Lakehouse) -> SparkSession:
+    """A session of the lakehouse's own, in which its gold layer is the current schema and no
+    path can stand for a table. The catalog is shared with all sessions."""
+    spark = lake.spark.newSession()
+    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    spark.sql(f"USE {lake.schema_name('gold')}")
+    return spark
+
+
+def _nodes(tree: Any) -> Iterator[dict[str, Any]]:
+    if isinstance(tree, dict):
+        if "class" in tree:
+            yield tree
+        tree = list(tree.values())
+    for part in tree if isinstance(tree, list) else ():
+        yield from _nodes(part)
+
+
+def _name(parts: str) -> list[str]:
+    return [p.strip().lower() for p in parts.strip("[]").split(",")]
+
+
+def check_read_only(lake: Lakehouse, sql: str, catalog_alias: str = "iceberg") -> None:
+    """Refuse all but one query on the lakehouse's tables. Spark parses it; nothing is run.
 
-    Spark runs commands as soon as it is given them, so this must come before `spark.sql`.
+    Spark runs commands as soon as it is given them, so this must come before `spark.sql`. What the
+    statement does is read off the parsed plan, by a list of what may be in it. The plan comes from the
+    session's parser in the JVM, so this needs a session that is not a remote one.
     """
-    code = _COMMENT_OR_TEXT.sub(lambda m: "''" if m[0][0] in "'\"" else " ", sql).strip()
-    if not re.match(r"(select|with)\b", code, re.I) or _UNSAFE.search(code):
-        raise ValueError(f"only a SELECT is allowed: {sql}")
     try:
-        lake.spark.sql(f"SELECT * FROM (\n{sql}\n)")
+        parsed = _session(lake)._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except ParseException as error:
         raise ValueError(f"only a single SELECT is allowed: {sql}") from error
+    plan = list(_nodes(json.loads(parsed.toJSON())))
+    schemas = {lake.schema_name(layer).rsplit("`", 2)[1].lower() for layer in LAYERS}
+    catalogs = {catalog_alias.lower(), (lake.catalog or "spark_catalog").lower()}
+
+    def allowed(node: dict[str, Any]) -> bool:
+        kind = node["class"].rsplit(".", 1)[-1]
+        if kind == "UnresolvedRelation":
+            *where, _ = _name(node["multipartIdentifier"])
+            return not where or (where[-1] in schemas and (len(where) == 1 or where[0] in catalogs and len(where) == 2))
+        if kind == "UnresolvedTableValuedFunction":
+            return _name(node["name"])[-1] in _TABLE_FUNCTIONS
+        if kind == "UnresolvedGenerator":
+            return node["name"]["funcName"].lower() in _TABLE_FUNCTIONS
+        if kind == "UnresolvedFunction":
+            *where, name = _name(node["nameParts"])
+            return not where and name not in _REFLECTION
+        return node["class"].startswith(_EXPRESSIONS) or kind in _QUERY_NODES
+
+    refused = {node["class"].rsplit(".", 1)[-1] for node in plan if not allowed(node)}
+    if refused:
+        raise ValueError(f"only a SELECT on the lakehouse's tables is allowed, not {sorted(refused)}: {sql}")
+
+
+def _local_names(lake: Lakehouse, sql: str, catalog_alias: str) -> str:
+    """`<catalog_alias>.<layer>.` in front of a table as this lakehouse's schema, outside literals
+    and comments; with or without back quotes."""
+    layers = "|".join(LAYERS)
+    name = rf"(?<![\w`.])`?{re.escape(catalog_alias)}`?\s*\.\s*`?(?P<layer>{layers})`?\s*\.\s*(?=[\w`])"
+
+    def replaced(match: re.Match[str]) -> str:
+        return f"{lake.schema_name(match['layer'].lower())}." if match["layer"] else match[0]
+
+    return re.sub(f"{_TEXT}|{name}", replaced, sql, flags=re.I | re.S)
 
 
 def gold_sql(lake: Lakehouse, sql: str, catalog_alias: str = "iceberg") -> DataFrame:
     """The whole result of a query whose unqualified tables are those of the gold layer.
 
-    Names written `<catalog_alias>.gold.<table>` are understood as well, also
-    in a session that has no catalog of that name.
+    Names written `<catalog_alias>.gold.<table>` are understood as well, also in a session that has no
+    catalog of that name. The result belongs to a session of the lakehouse's own.
     """
-    spark = lake.spark
     sql = clean_sql(sql)
-    if spark.conf.get(f"spark.sql.catalog.{catalog_alias}", None) is None:
-        for layer in ("bronze", "silver", "gold"):
-            prefix = rf"\b{re.escape(catalog_alias)}\.{layer}\."
-            sql = re.sub(prefix, lambda _, s=lake.schema_name(layer): f"{s}.", sql, flags=re.I)
-
-    catalog, schema = spark.catalog.currentCatalog(), spark.catalog.currentDatabase()
-    spark.sql(f"USE {lake.schema_name('gold')}")
-    try:
-        check_read_only(lake, sql)
-        return spark.sql(sql)
-    finally:
-        spark.catalog.setCurrentCatalog(catalog)
-        spark.catalog.setCurrentDatabase(schema)
+    if lake.spark.conf.get(f"spark.sql.catalog.{catalog_alias}", None) is None:
+        sql = _local_names(lake, sql, catalog_alias)
+    check_read_only(lake, sql, catalog_alias)
+    return _session(lake).sql(sql)
 
 
 def capped(df: DataFrame, max_rows: int = ROW_LIMIT) -> DataFrame:
@@ -66,16 +131,18 @@ def capped(df: DataFrame, max_rows: int = ROW_LIMIT) -> DataFrame:
     return df.limit(max_rows)
 
 
-def answer(lake: Lakehouse, sql: str, max_rows: int = ROW_LIMIT) -> dict[str, Any]:
-    """A query's result for display: its SQL, up to `max_rows` records and the column names.
+def answer(lake: Lakehouse, sql: str, max_rows: int | None = None) -> dict[str, Any]:
+    """A query's result for display: its SQL, its records and the column names.
 
-    `truncated` tells that there are more rows; `gold_sql` gives them all.
+    All records, fetched one partition at a time, unless `max_rows` is given; `truncated` then tells
+    whether there are more.
     """
     df = gold_sql(lake, sql)
-    rows = [row.asDict(recursive=True) for row in capped(df, max_rows + 1).collect()]
+    shown = df if max_rows is None else capped(df, max_rows + 1)
+    rows = [row.asDict(recursive=True) for row in shown.toLocalIterator()]
     return {
         "sql": clean_sql(sql),
         "rows": rows[:max_rows],
         "columns": df.columns,
-        "truncated": len(rows) > max_rows,
+        "truncated": max_rows is not None and len(rows) > max_rows,
     }

@@ -1,5 +1,7 @@
 """Read-only SQL on the gold layer."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.errors import AnalysisException
 
@@ -28,6 +30,13 @@ def lake(spark):
         "/* all */ select id from fact_sales order by id -- done",
         "select f.id from fact_sales f join fact_sales g using (id)",
         "select transform(array(1), x -> x + 1)",
+        "from fact_sales |> where id > 3",
+        "select id, count(*) over (partition by price) n from fact_sales group by id, price having id > 1 limit 3",
+        "select * from fact_sales where id in (select max(id) from fact_sales) or exists (select 1)",
+        "select e from fact_sales lateral view explode(array(id)) x as e",
+        "select * from range(3)",
+        "with recursive r(n) as (select 1 union all select n + 1 from r where n < 5) select * from r",
+        "table fact_sales",
     ],
 )
 def test_accepted(lake, sql):
@@ -50,6 +59,21 @@ def test_accepted(lake, sql):
         "select reflect('java.lang.System', 'lineSeparator')",
         "select java_method('java.lang.System', 'lineSeparator')",
         "",
+        "select `reflect`('java.lang.System', 'lineSeparator')",
+        "select system.builtin.reflect('java.lang.System', 'lineSeparator')",
+        "select IDENTIFIER('refl' || 'ect')('java.lang.System', 'lineSeparator')",
+        "select id from fact_sales order by try_reflect('java.lang.System', 'lineSeparator')",
+        r"select r'\', reflect('java.lang.System', 'lineSeparator') -- '",
+        "select transform(id) using r'cat' as (x) from fact_sales",
+        "select * from text.`/etc/hostname`",
+        "select * from parquet.`/root/testdata/sf0.001/region.parquet`",
+        "select * from default.fact_sales",
+        "select * from IDENTIFIER('fact' || '_sales')",
+        "explain select 1",
+        "set spark.sql.ansi.enabled",
+        "execute immediate 'drop table fact_sales'",
+        "begin select 1; end",
+        "declare x int",
     ],
 )
 def test_refused(lake, sql):
@@ -75,6 +99,24 @@ def test_catalog_name_of_the_contract(lake):
     assert ask.gold_sql(lake, "select id from iceberg.gold.fact_sales f").count() == 20
 
 
+def test_back_quoted_catalog_name_and_literals(lake):
+    assert ask.gold_sql(lake, "select id from `iceberg`.`gold`.`fact_sales`").count() == 20
+    sql = """select 'iceberg.gold.x' a, "iceberg.gold.y" b, r'iceberg.gold.z\\' c -- iceberg.gold.w"""
+    assert tuple(ask.gold_sql(lake, sql).first()) == ("iceberg.gold.x", "iceberg.gold.y", "iceberg.gold.z\\")
+
+
+def test_each_lakehouse_has_its_own_current_schema(spark):
+    lakes = []
+    for i in range(2):
+        lake = new_lakehouse(spark, f"ask_{i}")
+        lake.create_layer("gold")
+        lake.write("gold", "t", spark.range(i, i + 1))
+        lakes.append(lake)
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda k: ask.gold_sql(lakes[k % 2], "select id from t").first()[0], range(40)))
+    assert found == [0, 1] * 20
+
+
 def test_whole_result_and_capped_answer(lake):
     sql = "select id, price from fact_sales order by id;"
     assert ask.gold_sql(lake, sql).count() == 20
@@ -85,4 +127,6 @@ def test_whole_result_and_capped_answer(lake):
         "truncated": True,
     }
     assert ask.answer(lake, sql, max_rows=20)["truncated"] is False
+    whole = ask.answer(lake, sql)
+    assert (len(whole["rows"]), whole["truncated"]) == (20, False)
     assert ask.ROW_LIMIT == 5000
