@@ -4,11 +4,14 @@ Two lines within `edits` edits (signs inserted, deleted or replaced) share a pie
 edits + 1 segments, and one of them stands unchanged in the other, moved by at most the edits next to
 it. So each line is entered under its segments and looked up under the substrings that can equal a
 segment of a line as long as it or up to `edits` shorter; positions further off are skipped, as they
-would leave too many edits on one side. Lines that share a segment are a pair only if 64 parity bits of
-their words differ in few places: an edit changes at most three words' counts, so lines further apart
-in this are further than `edits` apart. That keeps lines with a long part in common from making
-pairs by the square of their number. Pairs are verified by Spark's levenshtein with a threshold,
-which computes only the diagonals within `edits` of the main one.
+would leave too many edits on one side.
+
+No pairs are made, as lines with a long part in common would make them by the square of their
+number. A first semi-join keeps the entries and lookups that meet another line; a second one, over these
+alone and with the lines' texts, keeps the lines that meet an earlier one within `edits`. It verifies by
+Spark's levenshtein with a threshold, which computes only the diagonals within `edits` of the main one,
+after a test of 64 parity bits: an edit changes at most five pairs of neighbouring words, so lines that
+differ in more of them are further apart.
 
 Which line came before is by (doc_id, line number). A line goes if an equal one, or one whose first
 occurrence is earlier than its own first and that is within `edits`, came before. All lines are
@@ -40,12 +43,11 @@ def lookups(edits: int) -> list[tuple[int, int, int]]:
 
 
 def keys(lines: DataFrame, edits: int) -> DataFrame:
-    """Of `lines` (h1, line, n_chars, parity): h1, parity, key, and whether it is one of the line's own
-    segments."""
+    """Of `lines` (h1, line, n_chars): h1, key, and whether it is one of the line's own segments."""
     k = edits + 1
     wanted = F.array(*[F.struct(*map(F.lit, x)) for x in lookups(edits)])
     wanted = wanted.cast("array<struct<shorter: int, i: int, move: int>>")
-    columns = ["h1", "parity", "line", "n_chars"]
+    columns = ["h1", "line", "n_chars"]
     each = lines.select(*columns, F.explode(wanted).alias("w")).select(*columns, "w.*")
     # of n signs the first segments have n div k, the last n mod k of them one more
     target = F.col("n_chars") - F.col("shorter")
@@ -59,15 +61,16 @@ def keys(lines: DataFrame, edits: int) -> DataFrame:
     piece = F.substring("line", F.col("start"), F.col("size"))
     return each.select(
         "h1",
-        "parity",
         F.xxhash64(piece, "target", "i").alias("key"),
         ((F.col("shorter") == 0) & (F.col("move") == 0)).alias("entered"),
     )
 
 
-#: Of the column `line`, 64 bits: whether its words (between single spaces) of each hash are odd in number.
-PARITY = """aggregate(split(line, ' '), 0L,
-    (bits, word) -> bits ^ shiftleft(1L, cast(pmod(xxhash64(word), 64) AS int)))"""
+#: Of the column `line`, 64 bits: whether its pairs of neighbouring words (between single spaces) of each
+#: hash are odd in number.
+PARITY = """aggregate(split(line, ' '), named_struct('before', '', 'bits', 0L),
+    (s, word) -> named_struct('before', word,
+        'bits', s.bits ^ shiftleft(1L, cast(pmod(xxhash64(s.before, word), 64) AS int))), s -> s.bits)"""
 
 
 def _order(doc_id: Column, line_no: Column) -> Column:
@@ -105,20 +108,18 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, edits: int, min_chars: int)
 
     # places of lines equal to an earlier one
     equal = kept.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).filter("place > first")
-    # pairs of lines that share a segment
+    # entries and lookups that meet another line
     total = firsts.agg(F.sum("n")).first()[0] or 0
     hot = firsts.filter(F.col("n") > total * HOT_SHARE).select("h1", "h2", F.col("first").alias("only"))
     searched = lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter("only IS NULL OR place = only")
-    entries = keys(searched.withColumn("parity", F.expr(PARITY)), edits)
+    entries = keys(searched, edits)
     a, b = entries.alias("a"), entries.alias("b")
-    share = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1"))
-    apart = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity")))
-    pairs = a.join(b, share & (F.col("a.entered") | F.col("b.entered")) & (apart <= 3 * edits))
-    pairs = pairs.select(F.col("a.h1").alias("x"), F.col("b.h1").alias("y")).distinct()
-    pairs = scratch.keep(pairs, "pairs")
+    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1"))
+    met = a.join(b, meets & (F.col("a.entered") | F.col("b.entered")), "left_semi")
+    met = scratch.keep(met.select("h1", "key", "entered").distinct(), "met")
 
     # the texts of these lines, at their first places
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("h1")).distinct()
+    wanted = met.select("h1").distinct()
     places = firsts.join(wanted, "h1").withColumnRenamed("first", "place")
     at = kept.join(places.select("h1", "h2", "place"), ["h1", "h2", "place"])
     lines_of = at.groupBy("doc_id", "text_hash").agg(
@@ -131,20 +132,18 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, edits: int, min_chars: int)
         .select("w.h1", "w.h2", "w.place", F.get("all", F.col("w.line_no")).alias("line"))
         .dropDuplicates(["h1", "h2"])
     )
-    x = found.select(*[F.col(c).alias(f"x_{c}") for c in found.columns])
-    y = found.select(*[F.col(c).alias(f"y_{c}") for c in found.columns])
+    found = scratch.keep(found.withColumn("parity", F.expr(PARITY)), "found")
+    known = met.join(found, "h1")
+    y, x = known.alias("y"), known.alias("x")
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
     near = (
-        pairs.join(x, F.col("x") == F.col("x_h1"))
-        .join(y, F.col("y") == F.col("y_h1"))
-        .filter(F.levenshtein("x_line", "y_line", edits) >= 0)
-        .filter("x_place != y_place")
-    )
-    later = F.when(F.col("x_place") > F.col("y_place"), F.struct("x_h1", "x_h2", "x_place")).otherwise(
-        F.struct(F.col("y_h1").alias("x_h1"), F.col("y_h2").alias("x_h2"), F.col("y_place").alias("x_place"))
-    )
-    late = near.select(later.alias("l")).select(
-        F.col("l.x_h1").alias("h1"), F.col("l.x_h2").alias("h2"), F.col("l.x_place").alias("place")
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.place") < F.col("y.place"))
+        & (F.col("x.entered") | F.col("y.entered"))
+        & (apart <= 5 * edits)
+        & (F.levenshtein("x.line", "y.line", edits) >= 0)
     )
+    late = y.join(x, near, "left_semi").select("h1", "h2", "place")
     late = scratch.keep(late.distinct(), "near")
     near_places = kept.join(late, ["h1", "h2", "place"])
 
