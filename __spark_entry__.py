@@ -202,6 +202,12 @@ def gold_table(table: str) -> Query:
 dim_date = gold_table("dim_date")
 
 
+def fact_sales_attrition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lake = loaded_lakehouse(spark, sf_dir)
+    inputs = [name for name in gold.TABLES["fact_sales"][1] if name != ("silver", "hot_keys")]
+    return gold.fact_sales_attrition(*[lake.read(*name) for name in inputs])
+
+
 # ---- queries on the loaded gold tables
 
 
@@ -402,6 +408,7 @@ def queries() -> dict[str, Query]:
         # layers
         **{f"silver_{table}": silver_table(table) for table in silver.TABLES},
         **{table: gold_table(table) for table in gold.TABLES},
+        "fact_sales_attrition": fact_sales_attrition,
         # queries on the star schema
         "gold_sql": gold_sql,
         "gold_sql_literal": gold_sql_literal,
@@ -505,6 +512,30 @@ def oracle_sql() -> dict[str, str]:
         "load_audit": oracle.audit(AUDIT_TABLES),
         **{f"silver_{k}": sql(f"SELECT * FROM {v}") for k, v in SILVER_ORACLE.items()},
         **{table: sql(f"SELECT * FROM {table}") for table in gold.TABLES},
+        "fact_sales_attrition": sql("""
+            SELECT CAST(position AS INTEGER) AS position, step, rows_before, rows_after,
+                   rows_before - rows_after AS lost
+            FROM (
+                SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS position,
+                       unnest(['order', 'payment', 'review', 'customer', 'day', 'product', 'seller']) AS step,
+                       unnest([n0, n1, n2, n3, n4, n5, n6]) AS rows_before,
+                       unnest([n1, n2, n3, n4, n5, n6, n7]) AS rows_after
+                FROM (
+                    SELECT count(*) AS n0, count(*) FILTER (o) AS n1, count(*) FILTER (o AND p) AS n2,
+                           count(*) FILTER (o AND p AND r) AS n3, count(*) FILTER (o AND p AND r AND c) AS n4,
+                           count(*) FILTER (o AND p AND r AND c AND d) AS n5,
+                           count(*) FILTER (o AND p AND r AND c AND d AND pr) AS n6,
+                           count(*) FILTER (o AND p AND r AND c AND d AND pr AND s) AS n7
+                    FROM (
+                        SELECT so.order_id IS NOT NULL AS o,
+                               i.order_id IN (SELECT order_id FROM s_payments) AS p,
+                               i.order_id IN (SELECT order_id FROM s_reviews) AS r,
+                               coalesce(so.customer_id IN (SELECT customer_id FROM dim_customer), false) AS c,
+                               coalesce(CAST(so.order_purchase_timestamp AS DATE)
+                                   IN (SELECT date FROM dim_date), false) AS d,
+                               i.product_id IN (SELECT product_id FROM dim_product) AS pr,
+                               i.seller_id IN (SELECT seller_id FROM dim_seller) AS s
+                        FROM s_items i LEFT JOIN s_orders so ON i.order_id = so.order_id)))"""),
         "gold_sql": sql(GOLD_SQL.format(gold="")),
         "gold_sql_literal": sql(LITERAL_SQL.format(gold="")),
         "answer_rows": sql(ROWS_SQL),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from starloom.functions.calendar import calendar_columns
 from starloom.functions.casts import zip_text
 from starloom.operators.cleaning import dedupe_by_key
-from starloom.operators.joins import hot_keys, join_many_to_one
+from starloom.operators.joins import HotKeys, join_many_to_one
 
 
 def dim_order(orders: DataFrame, payments: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def dim_customer(customers: DataFrame, geolocation: DataFrame) -> DataFrame:
     )
     point = dedupe_by_key(points, ["_zip"])
     keyed = customers.withColumn("_zip", zip_text("customer_zip_code_prefix"))
-    located = join_many_to_one(keyed, point, "_zip", "left")
+    located = join_many_to_one(keyed, point, "_zip", "left", null_keys=False)
     return dedupe_by_key(located.drop("_zip", "customer_zip_code_prefix"), ["customer_id"])
 
 
@@ -72,6 +72,25 @@ def dim_date(date: DataFrame) -> DataFrame:
     return first_last.select(F.explode(days).alias("date")).withColumns(calendar_columns("date"))
 
 
+#: The fact takes these columns of an item's order, and of the item.
+PLACED = ("customer_id", "review_id", "date_key", "payment_value", "payment_installments", "payment_sequential")
+SOLD = ("order_item_id", "product_id", "seller_id", "price", "freight_value")
+FACT_COLUMNS = (
+    "order_id",
+    "order_item_id",
+    "customer_id",
+    "product_id",
+    "seller_id",
+    "review_id",
+    "date_key",
+    "price",
+    "freight_value",
+    "payment_value",
+    "payment_installments",
+    "payment_sequential",
+)
+
+
 def fact_sales(
     orders: DataFrame,
     order_items: DataFrame,
@@ -81,14 +100,19 @@ def fact_sales(
     dim_product: DataFrame,
     dim_seller: DataFrame,
     dim_date: DataFrame,
+    hot_keys: DataFrame | None = None,
 ) -> DataFrame:
     """One row per item of an order that is paid, reviewed and known in every dimension.
 
     Customers and sellers are unique by key and give no column, so they only filter. The order
     dimension would filter nothing more than the join with payments does. Orders, payments and
     reviews, all one row per order, are joined first on one partitioning (none has to be shuffled
-    where the tables are bucketed); the items, the largest side, come in by one last join.
+    where the tables are bucketed). The items meet these next, as that join keeps the fewest of them: products
+    and sellers are looked up for those left.
+
+    `hot_keys` is the silver table of that name: keys that are to be spread (`joins.HotKeys`).
     """
+    hot = HotKeys.of(hot_keys) if hot_keys is not None else {}
     placed = (
         orders.select(
             "order_id", "customer_id", F.col("order_purchase_timestamp").cast("date").alias("date")
@@ -100,37 +124,70 @@ def fact_sales(
         )
     )
     placed = join_many_to_one(
-        placed,
-        dim_customer.select("customer_id"),
-        "customer_id",
-        "left_semi",
-        hot_keys(orders, "customer_id"),
+        placed, dim_customer.select("customer_id"), "customer_id", "left_semi", hot.get("customer_id")
     )
-    placed = placed.join(dim_date.select("date", "date_key"), "date")
-    sold = order_items.select(
-        "order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"
-    )
-    hot = {key: hot_keys(order_items, key) for key in ("product_id", "seller_id", "order_id")}
+    placed = placed.join(dim_date.select("date", "date_key"), "date").select("order_id", *PLACED)
+    sold = order_items.select("order_id", *SOLD)
+    sold = join_many_to_one(sold, placed, "order_id", "inner", hot.get("order_id"))
     sold = join_many_to_one(
-        sold, dim_product.select("product_id"), "product_id", "inner", hot["product_id"]
+        sold, dim_product.select("product_id"), "product_id", "inner", hot.get("product_id")
     )
     sold = join_many_to_one(
-        sold, dim_seller.select("seller_id"), "seller_id", "left_semi", hot["seller_id"]
+        sold, dim_seller.select("seller_id"), "seller_id", "left_semi", hot.get("seller_id")
     )
-    return join_many_to_one(sold, placed, "order_id", "inner", hot["order_id"]).select(
-        "order_id",
-        "order_item_id",
-        "customer_id",
-        "product_id",
-        "seller_id",
-        "review_id",
-        "date_key",
-        "price",
-        "freight_value",
-        "payment_value",
-        "payment_installments",
-        "payment_sequential",
+    return sold.select(*FACT_COLUMNS)
+
+
+def fact_sales_attrition(
+    orders: DataFrame,
+    order_items: DataFrame,
+    payments: DataFrame,
+    order_reviews: DataFrame,
+    dim_customer: DataFrame,
+    dim_product: DataFrame,
+    dim_seller: DataFrame,
+    dim_date: DataFrame,
+) -> DataFrame:
+    """Items that each join of the fact loses, in order: step, rows before and after it, lost.
+
+    One pass over the items, with a flag for each side found. An item counts as lost at the first
+    step that does not find it. A product of several rows counts an item once.
+    """
+
+    def flag(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.select(key).distinct().withColumn(name, F.lit(True))
+
+    placed = (
+        orders.select("order_id", "customer_id", F.col("order_purchase_timestamp").cast("date").alias("date"))
+        .withColumn("order", F.lit(True))
+        .join(flag(payments, "order_id", "payment"), "order_id", "left")
+        .join(flag(order_reviews, "order_id", "review"), "order_id", "left")
+        .join(flag(dim_customer, "customer_id", "customer"), "customer_id", "left")
+        .join(flag(dim_date, "date", "day"), "date", "left")
+        .drop("customer_id", "date")
     )
+    flagged = (
+        order_items.select("order_id", "product_id", "seller_id")
+        .join(placed, "order_id", "left")
+        .join(flag(dim_product, "product_id", "product"), "product_id", "left")
+        .join(flag(dim_seller, "seller_id", "seller"), "seller_id", "left")
+    )
+    steps = ("order", "payment", "review", "customer", "day", "product", "seller")
+    counts, kept = [F.count("*").alias("n0")], F.lit(True)
+    for i, step in enumerate(steps, 1):
+        kept = kept & F.coalesce(step, F.lit(False))
+        counts.append(F.count(F.when(kept, 1)).alias(f"n{i}"))
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(step).alias("step"),
+            F.col(f"n{i - 1}").alias("rows_before"),
+            F.col(f"n{i}").alias("rows_after"),
+            (F.col(f"n{i - 1}") - F.col(f"n{i}")).alias("lost"),
+        )
+        for i, step in enumerate(steps, 1)
+    ]
+    return flagged.agg(*counts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 # Gold table -> (builder, tables it reads as (layer, table)), in load order.
@@ -152,6 +209,7 @@ TABLES = {
             ("gold", "dim_product"),
             ("gold", "dim_seller"),
             ("gold", "dim_date"),
+            ("silver", "hot_keys"),
         ],
     ),
 }

@@ -57,7 +57,9 @@ def run_silver(lake: Lakehouse, order_buckets: int | None = None) -> LoadRecords
             bucket_by=(order_buckets, "order_id") if bucketed else None,
         )
 
-    return _load(load, silver.TABLES)
+    records = _load(load, silver.TABLES)
+    hot = silver.hot_keys(lake.read("silver", "orders"), lake.read("silver", "order_items"))
+    return [*records, lake.write("silver", "hot_keys", hot)]
 
 
 def run_gold(lake: Lakehouse, partition_fact_by: Sequence[str] = ()) -> LoadRecords:

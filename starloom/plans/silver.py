@@ -14,6 +14,7 @@ from starloom.operators.cleaning import (
     first_by_key,
     within_box,
 )
+from starloom.operators.joins import count_hot_keys
 
 # The bounding box of the coordinates, and the columns made whole numbers.
 LAT_RANGE = (-33.75116944, 5.27438888)
@@ -123,4 +124,14 @@ TABLES = {
     "geolocation": (geolocation, "geolocation"),
 }
 
+
+def hot_keys(orders: DataFrame, order_items: DataFrame) -> DataFrame:
+    """Keys that a large share of the items or orders has, for the joins of the fact; empty on most data.
+
+    One pass over the three keys of the items, and one over the customers of the orders.
+    """
+    of_items = count_hot_keys(order_items, ["order_id", "product_id", "seller_id"])
+    return of_items.union(count_hot_keys(orders, ["customer_id"]))
+
+
 ONE_ROW_PER_ORDER = ("orders", "payments", "order_reviews")

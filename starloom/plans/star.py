@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.money import sum_money
-from starloom.operators.joins import join_many_to_one
 
 
 def revenue_by_month(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
@@ -69,8 +68,9 @@ def avg_score_by_category(
     """Average score over the items sold; a review id counts with one (its lowest) score."""
     per_pair = fact.groupBy("review_id", "product_id").agg(F.count("*").alias("items"))
     score = dim_review.groupBy("review_id").agg(F.min("review_score").alias("review_score"))
+    # a review has one row per product here, however many items it has
     per_product = (
-        join_many_to_one(per_pair, score, "review_id")
+        per_pair.join(score, "review_id")
         .groupBy("product_id")
         .agg(
             F.sum(F.col("review_score") * F.col("items")).alias("scores"),

@@ -1,11 +1,12 @@
 """Gold tables: grain, fan-out, filters, balance under hot keys."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators.joins import hot_keys, join_many_to_one, left_join_one_to_many
+from starloom.operators.joins import HotKeys, count_hot_keys, join_many_to_one, left_join_one_to_many
 from starloom.plans import gold, silver, star
 from testbed.raw import RAW
 
@@ -49,6 +50,7 @@ SPLIT_SMALL = {
 def layers(spark):
     tables = {t: build(RAW[source](spark, SF)).cache() for t, (build, source) in silver.TABLES.items()}
     frames = {("silver", t): df for t, df in tables.items()}
+    frames["silver", "hot_keys"] = silver.hot_keys(tables["orders"], tables["order_items"])
     for table, (build, inputs) in gold.TABLES.items():
         frames["gold", table] = build(*[frames[i] for i in inputs]).cache()
     return frames
@@ -174,7 +176,7 @@ def test_many_to_one_equals_a_plain_join(spark, conf, how, hot_rows):
     many = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k bigint, v string")
     one = spark.createDataFrame([(1, "x"), (1, "xx"), (3, "y"), (None, "z")], "k bigint, w string")
     for other in (one, one.withColumn("k", F.col("k").cast("int")), one.withColumn("k", F.col("k").cast("double"))):
-        hot = hot_keys(many, "k", hot_rows)
+        hot = hot_of(many, "k", hot_rows)
         got, want = join_many_to_one(many, other, "k", how, hot), many.join(other, "k", how)
         assert got.columns == want.columns
         assert values(got) == values(want)
@@ -197,8 +199,8 @@ def test_hot_key_is_spread_without_adaptive_execution(spark, conf):
     )
     many = hot(spark, 300_000, 7, 20_000)
     one = spark.range(20_000).select(F.col("id").alias("k"), F.lit("w").alias("w"))
-    limits = hot_keys(many, "k", hot_rows=5_000)
-    assert limits.count() == 1
+    limits = hot_of(many, "k", 5_000)
+    assert len(limits.parts) == 1
     joined = join_many_to_one(many, one, "k", hot=limits)
     sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 300_000
@@ -207,21 +209,76 @@ def test_hot_key_is_spread_without_adaptive_execution(spark, conf):
     assert max(r["count"] for r in plain.collect()) > 100_000
 
 
+NO_HELP = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+def test_hot_key_of_equal_rows_is_spread(spark, conf):
+    """Rows of one key that are all alike."""
+    conf(NO_HELP)
+    many = hot(spark, 300_000, 7, 20_000).select("k", F.lit("same").alias("v"))
+    one = spark.range(20_000).select(F.col("id").alias("k"), F.lit("w").alias("w"))
+    joined = join_many_to_one(many, one, "k", hot=hot_of(many, "k", 5_000))
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 300_000
+    assert max(sizes) < 2 * 300_000 / 16
+    assert joined.count() == joined.filter("v = 'same' AND w = 'w'").count() == 300_000
+
+
+def test_rows_without_a_key_go_past_a_left_join(spark, conf):
+    conf(NO_HELP)
+    many = hot(spark, 300_000, 7, 20_000).withColumn("k", F.expr("nullif(k, 7)"))
+    one = spark.range(20_000).select(F.col("id").alias("k"), F.lit("w").alias("w"))
+    joined = join_many_to_one(many.repartition(16), one, "k", "left")
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 300_000
+    assert max(sizes) < 2 * 300_000 / 16
+    assert joined.filter("w IS NULL").count() == many.filter("k IS NULL").count()
+
+
+def test_hot_keys_are_counted_in_one_pass(spark):
+    items = spark.range(100).selectExpr("id % 2 AS a", "id % 50 AS b", "CASE WHEN id < 60 THEN 1 END AS c")
+    counts = count_hot_keys(items, ["a", "b", "c"], 20)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    assert values(counts) == [("a", "0", 50), ("a", "1", 50), ("c", "1", 60)]
+    assert HotKeys.of(counts, 20)["c"] == HotKeys((("1", 3),), 20)
+    assert HotKeys.of(counts.filter("false")) == {}
+
+
+def test_items_meet_the_orders_first(layers):
+    build, inputs = gold.TABLES["fact_sales"]
+    fact = build(*[layers[name] for name in inputs])
+    plan = fact._jdf.queryExecution().analyzed().toString()
+    order = re.findall(r"Join \w+, \(+(\w+)#", plan)
+    assert order[:3] == ["seller_id", "product_id", "order_id"]  # the last is done first
+    assert "Aggregate" not in plan[: plan.index("order_id#")]
+
+
 def test_one_to_many_equals_a_left_outer_join(spark):
     one = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k int, v string")
     many = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "m int, w string")
-    got = left_join_one_to_many(one, many, "k", "m")
     want = one.join(many, F.col("k") == F.col("m"), "left")
-    assert got.columns == want.columns
-    assert values(got) == values(want)
+    for hot_keys in (None, hot_of(many, "m", 1)):
+        got = left_join_one_to_many(one, many, "k", "m", hot_keys)
+        assert got.columns == want.columns
+        assert values(got) == values(want)
 
 
-def test_hot_key_on_the_right_of_a_left_outer_join_is_split(spark, conf):
-    conf({**SPLIT_SMALL, "spark.sql.shuffle.partitions": "16"})
+def test_hot_key_on_the_right_of_a_left_outer_join_is_spread(spark, conf):
+    conf(NO_HELP)
     one = spark.range(30_000).select(F.col("id").alias("o"))
-    joined = left_join_one_to_many(one, hot(spark, 300_000, 7, 20_000), "o", "k")
-    assert joined.count() == 310_000
-    assert "SortMergeJoin(skew=true)" in plan_after_run(joined)
+    many = hot(spark, 300_000, 7, 20_000)
+    joined = left_join_one_to_many(one, many, "o", "k", hot_of(many, "k", 5_000))
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 310_000
+    assert max(sizes) < 2 * 310_000 / 16
+
+
+def hot_of(df, key, hot_rows):
+    return HotKeys.of(count_hot_keys(df, [key], hot_rows), hot_rows).get(key)
 
 
 def hot(spark, rows, hot_key, other_keys):
@@ -309,7 +366,7 @@ def test_customers_with_a_hot_zip(spark, conf):
     total = located.agg(F.count("*"), F.count("customer_lat"), F.countDistinct("customer_id"))
     assert tuple(total.first()) == (300_000, 300_000, 300_000)
     skewed = [line for line in plan_after_run(located).splitlines() if "skew=true" in line]
-    assert any("customer_zip_code_prefix" in line for line in skewed)
+    assert any("_zip" in line for line in skewed)
 
 
 def test_star_queries_sum_before_they_join(layers):
