@@ -7,8 +7,8 @@ segment has an allocation: 1 if partners are found by equal subsets in it, 2 if
 by one n-gram (found by the one-deletion neighbourhood). If the allocations of the segments that two
 sets both list add up to H + 1, sets that differ more than allowed by in every one of them cannot be
 partners; so each set lists signatures of only as many segments as its own size calls for. How a band
-is allocated follows from a cost model (`allocate`): signatures to store against pairs that share
-one by chance, which grow with the square of the band's documents.
+is allocated follows from a cost model (`allocate`): signatures to store against comparisons of documents
+that share one by chance, which grow faster than the band's documents.
 
 A signature's documents are not paired with each other. Each is compared with one of them, the
 center, by exact sets, which also gives its difference to the center. Only those not linked to the
@@ -38,9 +38,9 @@ from starloom.llm.components import components
 _PLACE = 0x9E3779B97F4A7C15
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
-#: Cost model: a pair compared costs as much as so many signatures stored, and a share of the
-#: n-grams of unrelated documents is common to them.
-PAIR_COST, COMMON = 20.0, 0.25
+#: Cost model, in signatures stored: comparing a document with a center, and with another of the center's
+#: documents; and the share of the n-grams of unrelated documents that is common to them.
+CENTER_COST, MEMBER_COST, COMMON = 20.0, 0.1, 0.1
 #: Members of one center compared with each other at once.
 BLOCK = 512
 #: One document in so many shows which signatures are very frequent. It decides how these are
@@ -88,17 +88,20 @@ def bands(counts: dict[int, int], similarity: Similarity) -> list[Band]:
 def allocate(size: float, documents: int, need: int) -> tuple[int, int]:
     """How many segments with allocation 1 and 2 cost least, for allocations that add up to `need`.
 
-    Segments get a share of the universe in proportion to their allocation. Two unrelated documents share
-    an exact segment if it holds only n-grams common to both, and differ by one there if it holds one other.
+    Segments get a share of the universe in proportion to their allocation. By chance a document shares an exact
+    segment with others if it holds only common n-grams there, or nothing; it is then compared with their
+    center, and with them. With one deletion, one other n-gram may be there too.
     """
     best = (math.inf, need, 0)
     for deletion in range(need // 2 + need % 2 + 1):
         exact = max(0, need - 2 * deletion)
         held = size / (exact + 2 * deletion)
-        other = 2 * held * (1 - COMMON)
-        chance = exact * math.exp(-other) + deletion * math.exp(-2 * other) * (1 + 2 * other)
-        signatures = exact + deletion * (1 + 2 * held)
-        cost = documents * signatures + PAIR_COST * documents**2 / 2 * chance
+        other = held * (1 - COMMON)
+        kinds = ((exact, math.exp(-other)), (deletion, math.exp(-2 * other) * (1 + 2 * other)))
+        cost = exact + deletion * (1 + 2 * held)
+        for segments, chance in kinds:
+            cost += CENTER_COST * segments * chance * min(1.0, documents * chance)
+            cost += MEMBER_COST * segments * documents * chance**2 / 2
         best = min(best, (cost, exact, deletion))
     return best[1], best[2]
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,12 +123,17 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     counted = sample.filter(F.regexp_count("text", F.lit(r"\p{L}")) > 0).mapInArrow(
         count, "doc_id long, lang string, buckets array<int>, counts array<int>"
     )
-    rows = sorted(counted.toArrow().to_pylist(), key=lambda r: (r["lang"], r["doc_id"]))
-    return fit(
-        [(np.array(r["buckets"]), np.array(r["counts"], float)) for r in rows if r["buckets"]],
-        [r["lang"] for r in rows if r["buckets"]],
-        settings,
-    )
+    got = counted.toArrow()
+    got = got.take(pc.sort_indices(got, sort_keys=[("lang", "ascending"), ("doc_id", "ascending")])).combine_chunks()
+    rows, labels = [], []
+    if got.num_rows:
+        buckets, counts = (got.column(c).combine_chunks() for c in ("buckets", "counts"))
+        at, values, numbers = buckets.offsets.to_numpy(), buckets.values.to_numpy(), counts.values.to_numpy()
+        for i, lang in enumerate(got.column("lang").to_pylist()):
+            if at[i + 1] > at[i]:
+                rows.append((values[at[i] : at[i + 1]], numbers[at[i] : at[i + 1]].astype(np.float32)))
+                labels.append(lang)
+    return fit(rows, labels, settings)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], settings: Settings = Settings()) -> Model:

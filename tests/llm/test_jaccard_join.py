@@ -60,16 +60,16 @@ def grouped(frame, scratch, similarity):
 
 
 @pytest.mark.parametrize(
-    ("similarity", "block", "pair_cost"),
+    ("similarity", "block", "center_cost"),
     [
         (Similarity(3, 90, 100), 512, 20.0),
         (Similarity(5, 80, 100), 7, 20.0),
-        (Similarity(3, 70, 100), 16, 1e6),  # pairs so dear that segments with one deletion are used
+        (Similarity(3, 70, 100), 16, 1e6),  # comparisons so dear that segments with one deletion are used
     ],
 )
-def test_like_brute_force(documents, scratch, monkeypatch, similarity, block, pair_cost):
+def test_like_brute_force(documents, scratch, monkeypatch, similarity, block, center_cost):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "PAIR_COST", pair_cost)
+    monkeypatch.setattr(jaccard_join, "CENTER_COST", center_cost)
     rows = near_copies(5)
     assert grouped(documents(rows), scratch, similarity) == brute_force(rows, similarity)
 
@@ -119,7 +119,7 @@ def test_bands_hold_all_partners():
 
 def test_more_documents_call_for_longer_segments():
     few, many = jaccard_join.allocate(30, 100, 4), jaccard_join.allocate(30, 10**9, 4)
-    assert few == (4, 0)
+    assert few == (4, 0), few
     assert many[1] > 0
 
 
