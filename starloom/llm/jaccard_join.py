@@ -120,7 +120,7 @@ def ngrams(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(len(hashed), np.uint64)
     for k in range(width):
         part = words.mix(hashed[k:] + np.uint64(_PLACE * (k + 1) % (1 << 64)))
-        out[: len(out) - k] += part
+        out[: len(part)] += part
     out = words.mix(out)
     each = []
     for first, count in zip(at[:-1].tolist(), n.tolist(), strict=True):

@@ -130,6 +130,13 @@ def test_ngrams_count_words_of_ascii_space_only():
     assert grams[0] == grams[2] != grams[1]
 
 
+def test_fewer_words_than_a_gram_in_all_texts():
+    grams, at = jaccard_join.ngrams(pa.array(["a", "b", "a"]), 5)
+    assert np.diff(at).tolist() == [1, 1, 1]
+    assert grams[0] == grams[2] != grams[1]
+    assert len(jaccard_join.ngrams(pa.array([None, ""], pa.string()), 5)[0]) == 0
+
+
 def test_components(spark, scratch):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(300, 340)]
