@@ -8,10 +8,10 @@ would leave too many edits on one side.
 
 No pairs are made, as lines with a long part in common would make them by the square of their
 number. A first semi-join keeps the entries and lookups that meet another line; a second one, over these
-alone and with the lines' texts, keeps the lines that meet an earlier one within `edits`. It verifies by
-Spark's levenshtein with a threshold, which computes only the diagonals within `edits` of the main one,
-after a test of 64 parity bits: an edit changes at most five pairs of neighbouring words, so lines that
-differ in more of them are further apart.
+alone and with the lines' texts, keeps the lines that meet an earlier one within `edits`. Lines are first held
+against each other by 64 parity bits: an edit changes at most five pairs of neighbouring words, so lines
+that differ in more of them are further apart. Those left are verified by a banded bit-parallel edit
+distance (`within`).
 
 Which line came before is by (doc_id, line number). A line goes if an equal one, or one whose first
 occurrence is earlier than its own first and that is within `edits`, came before. All lines are
@@ -73,6 +73,34 @@ PARITY = """aggregate(split(line, ' '), named_struct('before', '', 'bits', 0L),
         'bits', s.bits ^ shiftleft(1L, cast(pmod(xxhash64(s.before, word), 64) AS int))), s -> s.bits)"""
 
 
+def within(x: str, y: str, edits: int) -> str:
+    """SQL: whether two texts, the first not empty and their lengths at most `edits` apart, are within
+    `edits` of each other.
+
+    For each number of errors e a word r_e holds, as bits, the diagonals (how much further the second text
+    is read than the first) that can be reached with e errors; the band has 2 * edits + 1 of them. One sign of
+    the first text moves all diagonals at once: along those where the signs agree, and from e - 1 errors by
+    replacing the sign, by deleting it (one diagonal down), or by inserting another after it (one up).
+    """
+    a, b = "signs.a", "signs.b"  # each text is cut into its signs once
+    agree = " + ".join(
+        f"if(i{d:+d} >= 0 AND get({a}, i) <=> get({b}, i{d:+d}), {1 << (d + edits)}, 0)" for d in range(-edits, edits + 1)
+    )
+    band = (1 << (2 * edits + 1)) - 1
+    start = ", ".join(f"'r{e}', {sum(1 << (edits + d) for d in range(e + 1))}" for e in range(edits + 1))
+    moved = ["(s.r0 & agree)"]
+    for e in range(1, edits + 1):
+        inserted = f"(shiftleft({moved[-1]}, 1) & {band})"
+        moved.append(f"((s.r{e} & agree) | s.r{e - 1} | shiftright(s.r{e - 1}, 1) | {inserted})")
+    step = ", ".join(f"'r{e}', {x}" for e, x in enumerate(moved))
+    ends = f"shiftleft(1, size({b}) - size({a}) + {edits})"
+    reached = (
+        f"aggregate(transform(sequence(0, size({a}) - 1), i -> {agree}), named_struct({start}),"
+        f" (s, agree) -> named_struct({step}), s -> (s.r{edits} & {ends}) != 0)"
+    )
+    return f"exists(array(named_struct('a', split({x}, ''), 'b', split({y}, ''))), signs -> {reached})"
+
+
 def _order(doc_id: Column, line_no: Column) -> Column:
     """Documents without an id come last."""
     return F.coalesce(doc_id.cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)")) * F.lit(
@@ -132,7 +160,8 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, edits: int, min_chars: int)
         .select("w.h1", "w.h2", "w.place", F.get("all", F.col("w.line_no")).alias("line"))
         .dropDuplicates(["h1", "h2"])
     )
-    found = scratch.keep(found.withColumn("parity", F.expr(PARITY)), "found")
+    found = found.withColumns({"parity": F.expr(PARITY), "n_chars": F.char_length("line")})
+    found = scratch.keep(found, "found")
     known = met.join(found, "h1")
     y, x = known.alias("y"), known.alias("x")
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
@@ -141,7 +170,8 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, edits: int, min_chars: int)
         & (F.col("x.place") < F.col("y.place"))
         & (F.col("x.entered") | F.col("y.entered"))
         & (apart <= 5 * edits)
-        & (F.levenshtein("x.line", "y.line", edits) >= 0)
+        & (F.abs(F.col("x.n_chars") - F.col("y.n_chars")) <= edits)
+        & F.expr(within("x.line", "y.line", edits))
     )
     late = y.join(x, near, "left_semi").select("h1", "h2", "place")
     late = scratch.keep(late.distinct(), "near")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from starloom.llm.line_dedup import dedupe_lines, lookups
+from starloom.llm.line_dedup import dedupe_lines, lookups, within
 
 
 def distance(a, b):
@@ -69,6 +69,16 @@ def test_like_brute_force(documents, scratch, edits):
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in found} == brute_force(rows, edits, 20)
 
 
+@pytest.mark.parametrize("edits", [0, 1, 2, 4])
+def test_bit_parallel_distance(spark, edits):
+    lines = [x for _, t in edited(8) if t and len(t) < 1000 for x in t.split("\n") if x][:120]
+    pairs = [(a, b) for a in lines for b in lines[:40] if abs(len(a) - len(b)) <= edits]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    found = frame.selectExpr("a", "b", within("a", "b", edits) + " AS near").collect()
+    assert all(r.near == (distance(r.a, r.b) <= edits) for r in found)
+    assert {r.near for r in found} == {True, False} or edits == 0
+
+
 def test_long_lines(documents, scratch):
     (row,) = dedupe_lines(documents([(1, "y" * 30_000 + "\n" + "y" * 29_999)]), scratch(), 2, 20).collect()
     assert (row.text, row.n_removed) == ("y" * 30_000, 1)
