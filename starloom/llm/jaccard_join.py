@@ -6,9 +6,13 @@ band or in neighbouring ones. For each band a hash cuts the universe of n-grams
 segment has an allocation: 1 if partners are found by equal subsets in it, 2 if also by subsets that differ
 by one n-gram (found by the one-deletion neighbourhood). If the allocations of the segments that two
 sets both list add up to H + 1, sets that differ more than allowed by in every one of them cannot be
-partners; so each set lists signatures of only as many segments as its own size calls for. How a band
-is allocated follows from a cost model (`allocate`): signatures to store against comparisons of documents
-that share one by chance, which grow faster than the band's documents.
+partners; so each set lists signatures of only as many segments as its own size calls for. Subsets
+of few n-grams, which unrelated sets share by chance, get the allocation 0: a band has more segments than
+H + 1, and a set lists the first of its larger subsets until they add up. Equal subsets are small or
+not in both sets, so of the segments that agree two partners leave out the same, and at least one
+is left; a set with too few larger subsets lists all. How a band is allocated follows from a cost model
+(`allocate`): signatures to store against comparisons of documents that share one by chance, which
+grow faster than the band's documents.
 
 A signature's documents are not paired with each other. Each is compared with one of them, the
 center, by exact sets, which also gives its difference to the center. Only those not linked to the
@@ -38,9 +42,9 @@ from starloom.llm.components import components
 _PLACE = 0x9E3779B97F4A7C15
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
-#: Cost model, in signatures stored: comparing a document with a center, and with another of the center's
-#: documents; and the share of the n-grams of unrelated documents that is common to them.
-CENTER_COST, MEMBER_COST, COMMON = 20.0, 0.1, 0.1
+#: Cost model, in signatures stored: comparing a document with a center (per n-gram), and with another of the
+#: center's documents; and the share of the n-grams of unrelated documents that is common to them.
+CENTER_COST, MEMBER_COST, COMMON = 1.2, 0.1, 0.02
 #: Members of one center compared with each other at once.
 BLOCK = 512
 #: One document in so many shows which signatures are very frequent. It decides how these are
@@ -64,12 +68,14 @@ class Similarity:
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes first..last; exact segments come first, then those with one deletion."""
+    """Sizes first..last. Exact segments come first, then those with one deletion; subsets of fewer than
+    `smallest` n-grams are left out where the others suffice."""
 
     first: int
     last: int
     exact: int
     deletion: int
+    smallest: int
 
 
 def bands(counts: dict[int, int], similarity: Similarity) -> list[Band]:
@@ -85,25 +91,55 @@ def bands(counts: dict[int, int], similarity: Similarity) -> list[Band]:
     return out
 
 
-def allocate(size: float, documents: int, need: int) -> tuple[int, int]:
-    """How many segments with allocation 1 and 2 cost least, for allocations that add up to `need`.
+def allocate(size: float, documents: int, need: int) -> tuple[int, int, int]:
+    """Exact segments, segments with one deletion and the smallest subset listed that cost least, for
+    allocations that add up to `need`.
 
-    Segments get a share of the universe in proportion to their allocation. By chance a document shares an exact
-    segment with others if it holds only common n-grams there, or nothing; it is then compared with their
-    center, and with them. With one deletion, one other n-gram may be there too.
+    Segments get a share of the universe in proportion to their allocation, so the size of a subset is about
+    a Poisson number. By chance a document shares an exact segment with others if it holds only common n-grams
+    there; it is then compared with their center, and with them. With one deletion, one other n-gram may be
+    there too.
     """
-    best = (math.inf, need, 0)
-    for deletion in range(need // 2 + need % 2 + 1):
+    best = (math.inf, need, 0, 0)
+
+    def cost(signatures: float, segments: float, chance: float) -> float:
+        compared = CENTER_COST * size * segments * chance * min(1.0, documents * chance)
+        return signatures + compared + MEMBER_COST * segments * documents * chance**2 / 2
+
+    smallest = 0
+    while True:
+        exact = need
+        while smallest and exact <= 4 * need:
+            larger = 1 - _poisson_below(smallest, size / exact)
+            # few documents have fewer larger subsets than they need
+            if exact * larger - 2 * math.sqrt(exact * larger * (1 - larger)) >= need:
+                break
+            exact += 1 + exact // 50
+        if exact > 4 * need:
+            break
+        held = size / exact
+        larger = 1 - _poisson_below(smallest, held)
+        # sum of COMMON ** k over the sizes k of a listed subset
+        common = math.exp(held * (COMMON - 1)) * (1 - _poisson_below(smallest, held * COMMON)) / max(larger, 1e-9)
+        best = min(best, (cost(need, need, common), exact, 0, smallest))
+        smallest += 1
+    for deletion in range(1, need // 2 + need % 2 + 1):
         exact = max(0, need - 2 * deletion)
         held = size / (exact + 2 * deletion)
         other = held * (1 - COMMON)
-        kinds = ((exact, math.exp(-other)), (deletion, math.exp(-2 * other) * (1 + 2 * other)))
-        cost = exact + deletion * (1 + 2 * held)
-        for segments, chance in kinds:
-            cost += CENTER_COST * segments * chance * min(1.0, documents * chance)
-            cost += MEMBER_COST * segments * documents * chance**2 / 2
-        best = min(best, (cost, exact, deletion))
-    return best[1], best[2]
+        total = cost(exact, exact, math.exp(-other))
+        total += cost(deletion * (1 + 2 * held), deletion, math.exp(-2 * other) * (1 + 2 * other))
+        best = min(best, (total, exact, deletion, 0))
+    return best[1:]
+
+
+def _poisson_below(k: int, mean: float) -> float:
+    """The chance that a Poisson number is below k."""
+    term, total = math.exp(-mean), 0.0
+    for i in range(k):
+        total += term
+        term *= mean / (i + 1)
+    return total
 
 
 def ngrams(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +192,9 @@ def signatures(
     of all sets. A set is listed in its own band and, for smaller partners, in the band below."""
     size = np.diff(at)
     firsts = np.array([b.first for b in plan] or [1])
-    exact, deletion = (np.array([getattr(b, x) for b in plan] or [0]) for x in ("exact", "deletion"))
+    exact, deletion, smallest = (
+        np.array([getattr(b, x) for b in plan] or [0]) for x in ("exact", "deletion", "smallest")
+    )
     own = np.searchsorted(firsts, size, "right") - 1
     mixed = words.mix(grams ^ _OTHER)
     out = []
@@ -170,24 +208,29 @@ def signatures(
             continue
         band, need = band[doc], need[doc]
         one, two = exact[band], deletion[band]
-        listed = np.where(need <= one, need, one + (need - one + 1) // 2)
-        listed = np.minimum(listed, one + two)
         index = words.ragged(at[doc], size[doc])
         row = np.repeat(np.arange(len(doc)), size[doc])
         gram = mixed[index]
         unit = ((words.mix(gram) >> np.uint64(32)) * (one + 2 * two)[row].astype(np.uint64)) >> np.uint64(32)
         unit = unit.astype(np.int64)
         segment = np.where(unit < one[row], unit, one[row] + (unit - one[row]) // 2)
-        held = segment < listed[row]
-        gram, row, segment = gram[held], row[held], segment[held]
-        first = np.cumsum(listed) - listed
+        segments = one + two
+        first = np.cumsum(segments) - segments
         place = first[row] + segment
-        sums = _sums(gram, place, int(listed.sum()))
-        of = np.repeat(np.arange(len(doc)), listed)
+        of = np.repeat(np.arange(len(doc)), segments)
         number = np.arange(len(of)) - first[of]
+        held = np.bincount(place, minlength=len(of))
+        sums = _sums(gram, place, len(of))
+        # the first of the larger subsets, until their allocations add up; all if they don't
+        allocation = np.where(number < one[of], 1, 2) * (held >= smallest[band][of])
+        before = np.cumsum(allocation) - allocation
+        before -= before[first][of]
+        enough = np.bincount(of, allocation, len(doc)) >= need
+        listed = np.where(enough[of], (allocation > 0) & (before < need[of]), True)
         salt = words.mix((band[of].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) + np.uint64(1))
-        out.append((words.mix(sums + salt), doc[of], np.full(len(of), 2 + (1 - below), np.int8)))
-        near = np.flatnonzero(segment >= one[row])
+        whole = np.flatnonzero(listed)
+        out.append((words.mix(sums + salt)[whole], doc[of[whole]], np.full(len(whole), 2 + (1 - below), np.int8)))
+        near = np.flatnonzero((segment >= one[row]) & listed[place])
         if len(near):
             p = place[near]
             out.append((words.mix(sums[p] - gram[near] + salt[p]), doc[row[near]], np.full(len(p), 1 - below, np.int8)))

@@ -62,9 +62,10 @@ def grouped(frame, scratch, similarity):
 @pytest.mark.parametrize(
     ("similarity", "block", "center_cost"),
     [
-        (Similarity(3, 90, 100), 512, 20.0),
-        (Similarity(5, 80, 100), 7, 20.0),
-        (Similarity(3, 70, 100), 16, 1e6),  # comparisons so dear that segments with one deletion are used
+        (Similarity(3, 90, 100), 512, 1.2),
+        (Similarity(5, 80, 100), 7, 1.2),
+        (Similarity(3, 70, 100), 16, 1e9),  # comparisons so dear that segments with one deletion are used
+        (Similarity(3, 80, 100), 16, 0.0),
     ],
 )
 def test_like_brute_force(documents, scratch, monkeypatch, similarity, block, center_cost):
@@ -117,10 +118,13 @@ def test_bands_hold_all_partners():
         assert band.exact + 2 * band.deletion >= similarity.most_difference(band.last + band.last * 100 // 90) + 1
 
 
-def test_more_documents_call_for_longer_segments():
-    few, many = jaccard_join.allocate(30, 100, 4), jaccard_join.allocate(30, 10**9, 4)
-    assert few == (4, 0), few
+def test_allocation():
+    few, many = jaccard_join.allocate(30, 100, 4), jaccard_join.allocate(30, 10**11, 4)
+    assert few[1] == 0
     assert many[1] > 0
+    exact, deletion, smallest = jaccard_join.allocate(500, 10_000, 112)
+    assert deletion == 0 and smallest >= 1 and exact > 112
+    assert jaccard_join.allocate(5, 10, 1)[0] >= 1
 
 
 def test_ngrams_count_words_of_ascii_space_only():
