@@ -119,7 +119,7 @@ def test_bands_hold_all_partners():
 
 
 def test_allocation():
-    few, many = jaccard_join.allocate(30, 100, 4), jaccard_join.allocate(30, 10**11, 4)
+    few, many = jaccard_join.allocate(30, 100, 4), jaccard_join.allocate(30, 10**13, 4)
     assert few[1] == 0
     assert many[1] > 0
     exact, deletion, smallest = jaccard_join.allocate(500, 10_000, 112)
