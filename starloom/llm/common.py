@@ -60,7 +60,7 @@ class Scratch:
         return f"{self.folder}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
+        df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
 
