@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # letters, and signs like a half or a Roman number
 
 _KEEP = np.zeros(256, np.uint32)
 _KEEP[0x80:] = np.arange(0x80, 0x100)
@@ -184,10 +184,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def predict_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. UNDETERMINED with score 0: no text, no letter, no language
     learnt."""
-    known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
+    known = [i for i, t in enumerate(texts) if t and has_letter(t)] if model.languages else []
     found, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     if known:
         buckets, starts = features([texts[i] for i in known])

@@ -37,7 +37,7 @@ def test_learns_and_scores(spark):
 def test_odd_texts(spark):
     _, frame = labelled(spark, 60)
     model = language_id.train(frame)
-    odd = [(1, None, "x"), (2, "", "x"), (3, "12 :-) _", "x"), (4, "a", "x"), (None, "kalomi " * 50_000, None)]
+    odd = [(1, None, "x"), (2, "", "x"), (3, "12 :-) _ \u00bd \u2167", "x"), (4, "a", "x"), (None, "kalomi " * 50_000, None)]
     rows = spark.createDataFrame(odd, "doc_id long, text string, score string")
     found = {r.doc_id: r for r in language_id.predict(rows, model).collect()}
     for i in (1, 2, 3):
