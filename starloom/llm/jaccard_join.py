@@ -50,7 +50,7 @@ BLOCK = 512
 #: One document in so many shows which signatures are very frequent. It decides how these are
 #: processed, not what is found.
 SHOWN, FREQUENT, MOST_FREQUENT = 64, 8, 10_000
-DOCS_AT_ONCE = 1000
+DOCS_AT_ONCE = 500
 
 
 @dataclass(frozen=True)
@@ -239,12 +239,6 @@ def signatures(
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, DOCS_AT_ONCE):
-            yield batch.slice(k, DOCS_AT_ONCE)
-
-
 def group_similar(docs: DataFrame, scratch: Scratch, similarity: Similarity) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles (size of its set) and component_id
     (the smallest doc_id that links reach from it, its own included).
@@ -257,7 +251,7 @@ def group_similar(docs: DataFrame, scratch: Scratch, similarity: Similarity) ->
     width = similarity.width
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in words.slices(batches, DOCS_AT_ONCE):
             grams, at = ngrams(batch.column("text"), width)
             f1, f2 = fingerprints(grams, at)
             yield pa.record_batch(
@@ -284,7 +278,7 @@ def group_similar(docs: DataFrame, scratch: Scratch, similarity: Similarity) ->
         frequent_sig, frequent_center = frequent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _slices(batches):
+            for batch in words.slices(batches, DOCS_AT_ONCE):
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 grams, at = ngrams(batch.column("text"), width)
                 if hot_rep:
@@ -347,7 +341,7 @@ def group_similar(docs: DataFrame, scratch: Scratch, similarity: Similarity) ->
     stars = scratch.keep(stars.distinct(), "stars")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in words.slices(batches, DOCS_AT_ONCE):
             grams, at = ngrams(batch.column("text"), width)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))
             yield pa.record_batch([batch.column("doc_id"), lists], names=["doc_id", "grams"])

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starloom.llm import words
+
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
@@ -104,7 +106,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most the sample's rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.slices(batches, 250):
             rows = []
             for text in batch.column("text").to_pylist():
                 buckets, n = np.unique(features([text])[0], return_counts=True)
@@ -217,15 +219,13 @@ def predict(
     keep = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                found, score = predict_texts(batch.column("text").to_pylist(), model)
-                accepted = [x != UNDETERMINED and s >= model.threshold for x, s in zip(found, score, strict=True)]
-                yield pa.record_batch(
-                    [*batch.columns, pa.array(found), pa.array(score), pa.array(accepted, pa.bool_())],
-                    names=[*keep, *names],
-                )
+        for batch in words.slices(batches, 250):
+            found, score = predict_texts(batch.column("text").to_pylist(), model)
+            accepted = [x != UNDETERMINED and s >= model.threshold for x, s in zip(found, score, strict=True)]
+            yield pa.record_batch(
+                [*batch.columns, pa.array(found), pa.array(score), pa.array(accepted, pa.bool_())],
+                names=[*keep, *names],
+            )
 
     frame = docs.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import tokens
+from starloom.llm import tokens, words
 from starloom.llm.common import with_running_sum
 
 
@@ -30,29 +30,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, wit
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer_path)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                ids, at = encoder.encode(batch.column("text"))
-                n = np.diff(at) + 1
-                count = (n + capacity - 1) // capacity
-                doc = np.repeat(np.arange(len(n)), count)
-                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-                start = piece * capacity
-                length = np.minimum(n[doc] - start, capacity)
-                ended = np.insert(ids, at[1:], end_id).astype("<u4")
-                first = at[doc] + doc + start
-                data = [ended[f : f + m].tobytes() for f, m in zip(first.tolist(), length.tolist(), strict=True)]
-                columns = {
-                    "doc_id": batch.column("doc_id").take(pa.array(doc)),
-                    "piece": pa.array(piece, pa.int32()),
-                    "start": pa.array(start, pa.int64()),
-                    "length": pa.array(length, pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(x) for x in data], pa.int64()),
-                }
-                if with_ids:
-                    columns["ids"] = pa.array(data, pa.binary())
-                yield pa.record_batch(list(columns.values()), names=list(columns))
+        for batch in words.slices(batches, 1000):
+            ids, at = encoder.encode(batch.column("text"))
+            n = np.diff(at) + 1
+            count = (n + capacity - 1) // capacity
+            doc = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * capacity
+            length = np.minimum(n[doc] - start, capacity)
+            ended = np.insert(ids, at[1:], end_id).astype("<u4")
+            first = at[doc] + doc + start
+            data = [ended[f : f + m].tobytes() for f, m in zip(first.tolist(), length.tolist(), strict=True)]
+            columns = {
+                "doc_id": batch.column("doc_id").take(pa.array(doc)),
+                "piece": pa.array(piece, pa.int32()),
+                "start": pa.array(start, pa.int64()),
+                "length": pa.array(length, pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(x) for x in data], pa.int64()),
+            }
+            if with_ids:
+                columns["ids"] = pa.array(data, pa.binary())
+            yield pa.record_batch(list(columns.values()), names=list(columns))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, schema)

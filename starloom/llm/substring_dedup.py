@@ -311,10 +311,12 @@ def _group(doc_id: Column, least: int, stride: int) -> Column:
 
 def _by_group(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, sorted by group so that a group's rows are together."""
-    for batch in batches:
-        batch = batch.take(pc.sort_indices(batch, sort_keys=[("g", "ascending")]))
-        for k in range(0, batch.num_rows, most):
-            yield batch.slice(k, most)
+
+    def ordered() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.take(pc.sort_indices(batch, sort_keys=[("g", "ascending")]))
+
+    return words.slices(ordered(), most)
 
 
 def _ordered(documents: pa.Table) -> pa.Table:

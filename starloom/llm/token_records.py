@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm import tokens
+from starloom.llm import tokens, words
 
 #: Bytes of text whose ids make up one file.
 FILE_TEXT_BYTES = 24 << 20
@@ -83,17 +83,15 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer_path)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
-                ids, at = encoder.encode(batch.column("text"))
-                end = np.array([end_id], np.uint32)
-                records = [
-                    # without the last byte, which the text writer adds
-                    frame(pack_ids(doc_id, np.concatenate([ids[at[i] : at[i + 1]], end])))[:-1]
-                    for i, doc_id in enumerate(batch.column("doc_id").to_pylist())
-                ]
-                yield pa.record_batch([pa.array(records, pa.binary())], names=["record"])
+        for batch in words.slices(batches, 1000):
+            ids, at = encoder.encode(batch.column("text"))
+            end = np.array([end_id], np.uint32)
+            records = [
+                # without the last byte, which the text writer adds
+                frame(pack_ids(doc_id, np.concatenate([ids[at[i] : at[i + 1]], end])))[:-1]
+                for i, doc_id in enumerate(batch.column("doc_id").to_pylist())
+            ]
+            yield pa.record_batch([pa.array(records, pa.binary())], names=["record"])
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

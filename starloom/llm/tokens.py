@@ -13,7 +13,7 @@ from starloom.llm import words
 
 #: A worker keeps the ids of so many distinct words (40 bytes each) in so many slots (12 bytes
 #: each); a word whose slot another has taken is encoded again.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 500_000
 SLOTS = 1 << 21
 WORDS_AT_ONCE = 250_000
 
@@ -52,9 +52,12 @@ class WordEncoder:
         """Ids of all words and how many each has. Many words go as one text, with a separator
         whose id marks where each ends; words that hold the separator's sign go alone, at the end."""
         texts = [" | ".join(found[k : k + 256]) for k in range(0, len(found), 256)]
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        chained = itertools.chain.from_iterable([*e.ids, self.separator_id] for e in encoded)
-        flat = np.fromiter(chained, np.uint32)
+        parts = [np.zeros(0, np.uint32)]
+        for k in range(0, len(texts), 64):
+            encoded = self.tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False)
+            chained = itertools.chain.from_iterable([*e.ids, self.separator_id] for e in encoded)
+            parts.append(np.fromiter(chained, np.uint32))
+        flat = np.concatenate(parts)
         cut = np.flatnonzero(flat == self.separator_id)
         if len(cut) != len(found):
             raise ValueError("the tokenizer does not keep words apart")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -14,6 +16,22 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows. What a task has freed goes back to the system when it ends:
+    Spark keeps its Python workers, and several kinds of tasks share an executor's memory."""
+    try:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
+            del batch
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit over all 64 (the finishing steps of a common 64-bit hash)."""
     x = np.asarray(x, np.uint64).copy()
