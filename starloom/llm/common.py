@@ -19,11 +19,18 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 PARTS = 4096
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Have Spark bring this package to the executors, for the operators' Python functions."""
+    """Have Spark bring this package to the executors, for the operators' Python functions.
+
+    Rows with whole texts are long, so batches between the JVM and Python are made smaller than Spark's
+    default in sessions that have not set their size.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
     if (app := spark.sparkContext.applicationId) in _shipped:
         return
     _shipped.add(app)

@@ -122,7 +122,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
                 names=["doc_id", "lang", "buckets", "counts"],
             )
 
-    counted = sample.filter(F.regexp_count("text", F.lit(r"\p{L}")) > 0).mapInArrow(
+    counted = sample.filter(F.col("text").rlike(r"\p{L}")).mapInArrow(
         count, "doc_id long, lang string, buckets array<int>, counts array<int>"
     )
     got = counted.toArrow()
