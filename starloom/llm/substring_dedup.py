@@ -9,9 +9,10 @@ cut into blocks of (width + 1) // 2 words from its first word on. So
 2. Hits are extended to windows of full width, which are looked up in turn: one whose first holder is an
    earlier document repeats. Their union are the maximal repeats, whose words go.
 
-Documents are dealt into groups of neighbouring ids. A group lists a hash once, sorted and packed, and
-answers come back to the group, so a passage that a third of all documents hold costs an entry per
-group and task that holds it, and copies are never paired. What repeats inside a group it finds itself.
+Documents are sorted by (doc_id, text) and cut, in this order, into groups bounded by rows and by bytes of
+text, however the ids lie. A group lists a hash once, sorted and packed, and answers come back to the
+group, so a passage that a third of all documents hold costs an entry per group and task that holds it, and
+copies are never paired. What repeats inside a group it finds itself.
 
 Hashes: 64 bits for windows of full width, which are thus told apart up to a chance of 2 ** -64 per pair; for
 the anchors 32 bits within one of many parts, where a false hit only adds a window to look up.
@@ -25,14 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.llm import words
 from starloom.llm.common import Scratch
 
-#: Documents of a group, about, and bytes of text whose hashes go to one part.
-GROUP, PART_BYTES = 256, 8 << 20
+#: Most documents of a group, most bytes of its texts (one longer text is a group of its own), and
+#: bytes of text whose hashes go to one part.
+GROUP, GROUP_BYTES, PART_BYTES = 256, 8 << 20, 8 << 20
+#: Parts of the sort by (doc_id, text) have about so many times PART_BYTES, and their borders so many signs of a
+#: text: borders are held by the driver. Rows equal in id and these signs are sorted in one task, on disk if need be.
+SORT_PARTS, BORDER_SIGNS = 4, 256
 _BASE = 0xBF58476D1CE4E5B9
 
 
@@ -121,15 +127,9 @@ def dedupe_passages(docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     block = (width + 1) // 2
     ids = F.col("doc_id").cast("long")
     texts = docs.select(ids.alias("doc_id"), "text")
-    seen = texts.agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"),
-        F.sum(F.octet_length("text")).alias("bytes"),
-    ).first()
-    least, most = seen["least"] or 0, seen["most"] or 0
-    stride = max(1, (most - least + 1) * GROUP // max(1, seen["n"]))
-    parts = int((seen["bytes"] or 0) // PART_BYTES) + 1
-    last = (most - least) // stride + 1
-    texts = texts.withColumn("g", F.coalesce(_group(F.col("doc_id"), least, stride), F.lit(last).cast("long")))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(size // PART_BYTES) + 1
+    texts = scratch.keep(_grouped(texts, int(size // (SORT_PARTS * PART_BYTES)) + 1), "groups")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per group and part: the sorted hashes of all windows of a block's length, and which of
@@ -303,10 +303,24 @@ def dedupe_passages(docs: DataFrame, scratch: Scratch, width: int) -> DataFrame:
     return changed.union(unchanged)
 
 
-def _group(doc_id: Column, least: int, stride: int) -> Column:
-    """Documents of neighbouring ids; in their order."""
-    d = doc_id.cast("decimal(20,0)") - F.lit(least).cast("decimal(20,0)")
-    return F.floor(d / F.lit(stride).cast("decimal(20,0)")).cast("long")
+def _grouped(texts: DataFrame, parts: int) -> DataFrame:
+    """`texts` (doc_id, text) with `g`, which ascends in the order of (doc_id, text), null ids last. To be
+    written: the borders between the sorted parts are sampled anew each time."""
+    most_rows, most_bytes = GROUP, GROUP_BYTES
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, rows, size = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            groups = np.empty(batch.num_rows, np.int64)
+            for i, n in enumerate(pc.binary_length(batch.column("text")).fill_null(0).to_pylist()):
+                if rows and (rows >= most_rows or size + n > most_bytes):
+                    g, rows, size = g + 1, 0, 0
+                groups[i], rows, size = g, rows + 1, size + n
+            yield pa.record_batch([*batch.columns, pa.array(groups)], names=["doc_id", "text", "g"])
+
+    by_id = F.asc_nulls_last("doc_id")
+    ordered = texts.repartitionByRange(parts, by_id, F.substring("text", 1, BORDER_SIGNS))
+    return ordered.sortWithinPartitions(by_id, "text").mapInArrow(cut, "doc_id long, text string, g long")
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,34 @@ def test_long_text(documents, scratch):
     assert (row.n_words, row.n_removed) == (70_000, 70_000 - 7)
 
 
+def _group_sizes(spark, scratch):
+    """Documents of each group, which one Python call holds."""
+    docs = spark.read.parquet(scratch.path("extended")).filter("hashes IS NULL")
+    return [r["count"] for r in docs.groupBy("g").count().collect()]
+
+
+@pytest.mark.parametrize("of", ["outlier", "no id", "one id", "no id, one beginning"])
+def test_groups_are_bounded_whatever_the_ids(spark, documents, scratch, monkeypatch, of):
+    monkeypatch.setattr(substring_dedup, "GROUP", 16)
+    ids = {"outlier": lambda i: i if i < 299 else 10**9, "one id": lambda i: 7}.get(of, lambda i: None)
+    begin = "z " * 300 if "beginning" in of else ""
+    rows = [(ids(i), f"{begin}a{i % 50} b{i % 50} c{i % 50} d{i} e{i} f{i}") for i in range(300)]
+    folder = scratch()
+    found = dedupe_passages(documents(rows), folder, 3).collect()
+    assert max(_group_sizes(spark, folder)) <= 16
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found], key=str) == brute_force(rows, 3)
+
+
+def test_groups_are_bounded_in_bytes(spark, documents, scratch, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 1000, raising=False)
+    rows = [(i, f"w{i % 9} " * (150 if i % 2 else 400)) for i in range(40)]
+    folder = scratch()
+    found = dedupe_passages(documents(rows), folder, 5).collect()
+    # any two neighbours have over 1000 bytes
+    assert max(_group_sizes(spark, folder)) == 1
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found], key=str) == brute_force(rows, 5)
+
+
 def test_packed_numbers():
     values = np.array([0, 1, 5, 5 + (1 << 16), 1 << 31, (1 << 32) - 1], np.uint32)
     assert (unpack_sorted(pack_sorted(values)) == values).all()
