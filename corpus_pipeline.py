@@ -55,7 +55,8 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents less the lines that came before, n_chars counted anew. A document that loses all its
     lines goes; null and empty ones stay."""
     rows, back = _packed(docs)
-    cleaned = line_dedup.dedupe_lines(rows, Scratch(spark, "line_dedup"), LINE_EDITS, LINE_CHARS)
+    scratch = Scratch(spark, "line_dedup")
+    cleaned = line_dedup.dedupe_lines(rows, scratch, LINE_EDITS, LINE_CHARS, short_repeats=True)
     left = cleaned.filter("n_removed = 0 OR n_removed < n_lines").select(*back)
     if "n_chars" not in docs.columns:
         return left

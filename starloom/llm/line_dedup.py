@@ -15,7 +15,8 @@ distance (`within`).
 
 Which line came before is by (doc_id, line number). A line goes if an equal one, or one whose first
 occurrence is earlier than its own first and that is within `edits`, came before. All lines are
-judged on the input, not on what is left. Lines shorter than `min_chars` stay and count for nothing.
+judged on the input, not on what is left. Lines shorter than `min_chars` take no part in the search for near
+lines; exact repeats of them go too if `short_repeats`, unless they are blank (white space alone).
 """
 
 from __future__ import annotations
@@ -108,7 +109,9 @@ def _order(doc_id: Column, line_no: Column) -> Column:
     ).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")
 
 
-def dedupe_lines(docs: DataFrame, scratch: Scratch, edits: int, min_chars: int) -> DataFrame:
+def dedupe_lines(
+    docs: DataFrame, scratch: Scratch, edits: int, min_chars: int, short_repeats: bool = False
+) -> DataFrame:
     """`docs` (doc_id, text, and any others) with `text` less the removed lines, n_lines and n_removed.
 
     Lines end at "\\n". A null text stays null, without lines; an empty one has one line. Equal rows lose
@@ -123,7 +126,9 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, edits: int, min_chars: int)
     cut = F.split("text", "\n", -1)
     each = texts.select("doc_id", "text_hash", F.posexplode(cut).alias("line_no", "line"))
     each = each.withColumn("n_chars", F.char_length("line"))
-    lines = each.filter(F.col("n_chars") >= min_chars).withColumns(
+    long_enough = F.col("n_chars") >= min_chars
+    counted = long_enough | F.col("line").rlike(r"(?U)\S") if short_repeats else long_enough
+    lines = each.filter(counted).withColumns(
         {
             "h1": F.xxhash64("line"),
             "h2": F.xxhash64("line", F.lit(1)),
@@ -139,7 +144,8 @@ def dedupe_lines(docs: DataFrame, scratch: Scratch, edits: int, min_chars: int)
     # entries and lookups that meet another line
     total = firsts.agg(F.sum("n")).first()[0] or 0
     hot = firsts.filter(F.col("n") > total * HOT_SHARE).select("h1", "h2", F.col("first").alias("only"))
-    searched = lines.join(F.broadcast(hot), ["h1", "h2"], "left").filter("only IS NULL OR place = only")
+    searched = lines.filter(long_enough).join(F.broadcast(hot), ["h1", "h2"], "left")
+    searched = searched.filter("only IS NULL OR place = only")
     entries = keys(searched, edits)
     a, b = entries.alias("a"), entries.alias("b")
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1"))

@@ -108,7 +108,7 @@ FROM s QUALIFY rank <= {NEIGHBOURS}
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cleaned = line_dedup.dedupe_lines(docs, Scratch(spark, "op5"), LINE_EDITS, LINE_CHARS)
+    cleaned = line_dedup.dedupe_lines(docs, Scratch(spark, "op5"), LINE_EDITS, LINE_CHARS, short_repeats=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

@@ -103,6 +103,49 @@ def test_hot_line_and_segment(documents, scratch):
     assert found == want
 
 
+def brute_force_all(rows, edits, min_chars):
+    """With exact repeats of shorter lines removed too, but for blank ones."""
+    near = brute_force(rows, edits, min_chars)
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        if text is None:
+            out[doc_id] = near[doc_id]
+            continue
+        long_kept = iter([x for x in near[doc_id][0].split("\n") if len(x) >= min_chars])
+        awaited, kept = next(long_kept, None), []
+        for line in text.split("\n"):
+            if len(line) >= min_chars:
+                if line == awaited and line not in seen:
+                    kept.append(line)
+                    awaited = next(long_kept, None)
+            elif not line.strip() or line not in seen:
+                kept.append(line)
+            seen.add(line)
+        n = text.count("\n") + 1
+        out[doc_id] = ("\n".join(kept), n, n - len(kept))
+    return out
+
+
+def short_and_long(seed):
+    """`edited` with short lines, equal, near and blank ones, dealt among its lines."""
+    rng = random.Random(seed)
+    short = ["Read more", "Read more.", "Share this article", "这篇文章很好。", "a", "", " ", "\t", "\u3000", "\r"]
+    rows = []
+    for doc_id, text in edited(seed):
+        if doc_id < 1000:
+            lines = [*text.split("\n"), *rng.choices(short, k=rng.randint(0, 4))]
+            rng.shuffle(lines)
+            text = "\n".join(lines)
+        rows.append((doc_id, text))
+    return [r for r in rows if r[0] != 1003]
+
+
+def test_exact_repeats_of_short_lines(documents, scratch):
+    rows = short_and_long(5)
+    found = dedupe_lines(documents(rows), scratch(), 2, 20, short_repeats=True).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in found} == brute_force_all(rows, 2, 20)
+
+
 def test_lookups_of_two_edits():
     assert sum(s == 0 for s, _, _ in lookups(2)) == 5
     assert len(lookups(2)) == 12

@@ -53,6 +53,18 @@ def test_op5_exact_repeats(spark, documents_rows):
         assert again <= rows[doc_id].n_removed <= rows[doc_id].n_lines
 
 
+def test_op5_short_repeats(spark, documents_rows):
+    """Exact repeats of all lines but blank ones are removed, however short."""
+    rows = {r.doc_id: r for r in queries.op5_line_dedup(spark, SF_DIR).collect()}
+    seen = set()
+    for doc_id, text in documents_rows:
+        again = 0
+        for line in text.split("\n"):
+            again += bool(line.strip()) and line in seen
+            seen.add(line)
+        assert again <= rows[doc_id].n_removed
+
+
 def test_op8(spark, documents_rows):
     found = {r.doc_id: r for r in queries.op8_personal_data(spark, SF_DIR).collect()}
     for doc_id, text in documents_rows:
