@@ -251,10 +251,8 @@ ROWS_SQL = "SELECT order_id, order_item_id, product_id, seller_id, review_id, pr
 
 
 def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records of an answer, as a table again."""
-    lake = loaded_lakehouse(spark, sf_dir)
-    answer = ask.answer(lake, ROWS_SQL)
-    return spark.createDataFrame(answer["rows"], ask.gold_sql(lake, ROWS_SQL).schema)
+    """All records of an answer, as the table that they are."""
+    return ask.answer(loaded_lakehouse(spark, sf_dir), ROWS_SQL)["rows"].frame
 
 
 LITERAL_SQL = """

@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import zip_longest
 from typing import Any
 
 from pyspark.errors import ParseException
@@ -131,18 +132,38 @@ def capped(df: DataFrame, max_rows: int = ROW_LIMIT) -> DataFrame:
     return df.limit(max_rows)
 
 
+class Records:
+    """The records of a DataFrame as dicts, never held together: each iteration runs the query and fetches one
+    partition at a time, the length is counted by Spark. `frame` is the DataFrame."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+
+    def __iter__(self) -> Iterator[dict[str, Any]]:
+        return (row.asDict(recursive=True) for row in self.frame.toLocalIterator())
+
+    def __len__(self) -> int:
+        return self.frame.count()
+
+    def __eq__(self, other: object) -> bool:
+        if not isinstance(other, (list, Records)):
+            return NotImplemented
+        return all(a == b for a, b in zip_longest(self, other))
+
+
 def answer(lake: Lakehouse, sql: str, max_rows: int | None = None) -> dict[str, Any]:
     """A query's result for display: its SQL, its records and the column names.
 
-    All records, fetched one partition at a time, unless `max_rows` is given; `truncated` then tells
-    whether there are more.
+    All records, lazily (`Records`), unless `max_rows` is given: then a list, and `truncated` tells whether
+    there are more.
     """
     df = gold_sql(lake, sql)
-    shown = df if max_rows is None else capped(df, max_rows + 1)
-    rows = [row.asDict(recursive=True) for row in shown.toLocalIterator()]
+    if max_rows is None:
+        return {"sql": clean_sql(sql), "rows": Records(df), "columns": df.columns, "truncated": False}
+    rows = [row.asDict(recursive=True) for row in capped(df, max_rows + 1).toLocalIterator()]
     return {
         "sql": clean_sql(sql),
         "rows": rows[:max_rows],
         "columns": df.columns,
-        "truncated": max_rows is not None and len(rows) > max_rows,
+        "truncated": len(rows) > max_rows,
     }

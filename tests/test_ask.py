@@ -5,6 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.errors import AnalysisException
 
+import __spark_entry__ as entry
 from starloom.plans import ask
 from testbed.lake import new_lakehouse
 
@@ -130,3 +131,25 @@ def test_whole_result_and_capped_answer(lake):
     whole = ask.answer(lake, sql)
     assert (len(whole["rows"]), whole["truncated"]) == (20, False)
     assert ask.ROW_LIMIT == 5000
+
+
+def test_whole_answer_does_not_pass_the_driver(spark, monkeypatch):
+    lake = new_lakehouse(spark, "ask_rows")
+    lake.create_layer("gold")
+    columns = "order_id order_item_id product_id seller_id review_id price".split()
+    lake.write("gold", "fact_sales", spark.range(50).selectExpr(*[f"id AS {c}" for c in columns]))
+    monkeypatch.setattr(entry, "loaded_lakehouse", lambda *_: lake)
+
+    def fetched(*_, **__):
+        raise AssertionError("rows were fetched")
+
+    with monkeypatch.context() as m:
+        for name in ("toLocalIterator", "collect"):
+            m.setattr(type(spark.range(0)), name, fetched)
+        answer = ask.answer(lake, "select order_id from fact_sales order by order_id")
+        table = entry.answer_rows(spark, "unused")
+    assert answer["columns"] == ["order_id"]
+    assert (len(answer["rows"]), list(answer["rows"])[49]) == (50, {"order_id": 49})
+    assert answer["rows"] == [{"order_id": i} for i in range(50)]
+    assert answer["rows"] != [{"order_id": i} for i in range(49)]
+    assert (table.columns, table.count()) == (columns, 50)
