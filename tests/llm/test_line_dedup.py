@@ -1,9 +1,12 @@
 """Line dedup against brute force."""
 
+import hashlib
 import random
 
 import pytest
 
+import corpus_pipeline
+from starloom.llm import queries
 from starloom.llm.line_dedup import dedupe_lines, lookups, within
 
 
@@ -154,3 +157,19 @@ def test_lookups_of_two_edits():
 def test_min_chars_above_edits(documents, scratch):
     with pytest.raises(ValueError):
         dedupe_lines(documents([(1, "a")]), scratch(), 2, 2)
+
+
+def test_query_and_stage_like_brute_force(spark, tmp_path):
+    """The registered query and the pipeline's stage, with their own parameters, kept text included."""
+    rows = short_and_long(7)[:60]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute_force_all(rows, queries.LINE_EDITS, queries.LINE_CHARS)
+    sha = lambda text: None if text is None else hashlib.sha256(text.encode()).hexdigest()
+    found = queries.op5_line_dedup(spark, str(tmp_path)).collect()
+    got = {r.doc_id: (r.kept_sha256, r.n_lines, r.n_removed) for r in found}
+    assert got == {i: (sha(text), n, gone) for i, (text, n, gone) in want.items()}
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedupe_lines(spark, docs, str(tmp_path)).collect()}
+    kept = {i: text for i, (text, n, gone) in want.items() if gone == 0 or gone < n}
+    assert left == {i: (text, 0 if text is None else len(text)) for i, text in kept.items()}
