@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import jaccard_join, language_id, line_dedup, metric_join, mixing, packing, pii, substring_dedup, token_records, top_k
+from starloom.llm import (
+    jaccard_join,
+    language_id,
+    line_dedup,
+    metric_join,
+    mixing,
+    packing,
+    pii,
+    resampling,
+    substring_dedup,
+    token_records,
+    top_k,
+)
 from starloom.llm.common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +30,7 @@ LINE_EDITS, LINE_CHARS = 2, 20
 NEIGHBOURS, NEAR_COSINE = 10, 0.98
 CAPACITY = 2048
 PASSAGE_WORDS = 20
+FEATURE_WORDS, BUCKETS, SAMPLE_SEED, SAMPLE_WORDS, SAMPLE_PERCENT = 1, 10_000, 2024, 20, 10
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -170,6 +183,60 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    drawn = resampling.resample(
+        docs, target, Scratch(spark, "op12"), FEATURE_WORDS, BUCKETS, SAMPLE_SEED, SAMPLE_WORDS, SAMPLE_PERCENT
+    )
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 of every distinct word by its table of 256 entries, which the first list makes of the polynomial.
+OP12_SQL = f"""
+WITH crc AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, {resampling.POLYNOMIAL}) ELSE a >> 1 END)) AS t),
+d AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+    FROM documents),
+w AS MATERIALIZED (SELECT row, unnest(words) AS word FROM d),
+v AS MATERIALIZED (
+    SELECT unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+    FROM benchmark),
+k AS MATERIALIZED (
+    SELECT word, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(word))),
+            lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+        lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) % {BUCKETS} AS bucket
+    FROM (SELECT word FROM w UNION SELECT word FROM v), crc),
+s AS (SELECT bucket, count(*) AS n FROM w JOIN k USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM v JOIN k USING (word) GROUP BY bucket),
+g AS (
+    SELECT b.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM w) + {BUCKETS})::DOUBLE
+        / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM v) + {BUCKETS})::DOUBLE)))::BIGINT AS gain
+    FROM (SELECT unnest(range({BUCKETS})) AS bucket) b
+    LEFT JOIN s ON s.bucket = b.bucket LEFT JOIN t ON t.bucket = b.bucket),
+m AS (
+    SELECT w.row, floor(sum(g.gain)::DOUBLE / count(*))::BIGINT AS weight
+    FROM w JOIN k USING (word) JOIN g USING (bucket) GROUP BY w.row),
+r AS (
+    SELECT d.row, d.doc_id, len(d.words)::BIGINT AS n_features, coalesce(m.weight, 0) AS weight,
+        coalesce(m.weight, 0) + floor(-1000 * ln(-ln(
+            (('0x' || substr(sha256('{SAMPLE_SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+            / 4294967296.0::DOUBLE)))::BIGINT AS score
+    FROM d LEFT JOIN m ON m.row = d.row),
+e AS (
+    SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n
+    FROM r WHERE n_features >= {SAMPLE_WORDS})
+SELECT r.doc_id, r.n_features, r.weight, r.score, CASE WHEN e.rank <= {SAMPLE_PERCENT} * e.n // 100 THEN e.rank END AS rank
+FROM r LEFT JOIN e ON e.row = r.row
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_records": op2_token_records,
@@ -181,10 +248,12 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": OP3_SQL,
     "op4_exact_top_k": OP4_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
