@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm import (
+    conversations,
+    credentials,
     jaccard_join,
     language_id,
     line_dedup,
@@ -155,20 +157,24 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, cut, CAPACITY)
 
 
-def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.detect(table(spark, sf_dir, "documents"))
+def _span_digests(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """doc_id and spans as counts of the base kinds, a digest of these spans, and a list of all."""
     listed = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
     )
     of_kinds = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return found.select(
         "doc_id",
-        *[F.size(of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
-        F.sha2(listed(of_kinds(*pii.BASE)), 256).alias("base_sha256"),
+        *[F.size(of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in base],
+        F.sha2(listed(of_kinds(*base)), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.detect(table(spark, sf_dir, "documents")), pii.BASE)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return substring_dedup.dedupe_passages(docs, Scratch(spark, "op9"), PASSAGE_WORDS).select(
@@ -183,6 +189,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.detect(table(spark, sf_dir, "documents"), Scratch(spark, "op11"))
+    return _span_digests(found, credentials.BASE)
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     drawn = resampling.resample(
@@ -237,6 +248,127 @@ FROM r LEFT JOIN e ON e.row = r.row
 """
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows of conversations with faults by the CRC of their conversation and turn: conv_id, turn, role, text."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    rows = turns.select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", space).alias("role"),
+        F.coalesce("text", space).alias("text"),
+        (F.crc32(key) % 20).alias("fault"),
+    )
+    text = F.expr("CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END")
+    copies = F.explode(F.expr("CASE fault WHEN 0 THEN array() WHEN 3 THEN array(1, 2) ELSE array(1) END"))
+    role = F.expr("CASE fault WHEN 4 THEN 'user' ELSE role END")
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("_")).drop("_")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = conversations.repair(damaged(turns), Scratch(spark, "op13")).conversations
+    every = turns.select(F.col("conv_id").alias("_id")).distinct()
+    zeros = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_id").alias("conv_id"),
+        *zeros,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def _op13_sql() -> str:
+    """Row after row, per state of the grammar the cheapest and least (cost, audit, repaired text)."""
+
+    def after(state: str, cost: str, audit: str, line: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{audit}', 't': {state}.t || {line}}}"
+
+    def best(*options: str) -> str:
+        return f"list_min(list_filter([{', '.join(options)}], lambda x: x.c < 1000000000))"
+
+    never = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+    line, text = "(chr(10) || d.role || ':' || d.text)", "d.text"
+    cut = "CASE WHEN d.cut THEN 5 ELSE 0 END"
+    go = {s: f"CASE WHEN NOT d.gone THEN {{o}} ELSE {never} END" for s in "sua"}
+
+    def to(letter: str, state: str, insert: str | None = None) -> str:
+        """From a state to a row as this letter; with a row of the other role inserted before."""
+        name = {"u": "user", "a": "assistant"}[letter]
+        cost, audit = ("0", "") if insert is None else ("5", "I")
+        inserted = "''" if insert is None else f"(chr(10) || '{insert}:')"
+        keep = after(state, f"{cost} + {cut}", audit + "K", f"{inserted} || {line}")
+        rerole = after(state, f"{cost} + 1 + {cut}", audit + "R", f"{inserted} || chr(10) || '{name}:' || {text}")
+        return go[letter].replace("{o}", f"CASE WHEN d.role[1] = '{letter}' THEN {keep} ELSE {rerole} END")
+
+    delete = {s: after(f"r.{s}", "2", "D", "''") for s in ("n", "s", "u", "a")}
+    keep_s = go["s"].replace("{o}", f"CASE WHEN d.role[1] = 's' THEN {after('r.n', cut, 'K', line)} ELSE {never} END")
+    step = {
+        "n": delete["n"],
+        "s": best(delete["s"], keep_s, never.replace("1000000000", "999999999")),
+        "u": best(delete["u"], to("u", "r.n"), to("u", "r.s"), to("u", "r.a"), to("u", "r.u", "assistant")),
+        "a": best(delete["a"], to("a", "r.u"), to("a", "r.n", "user"), to("a", "r.s", "user"), to("a", "r.a", "user"),
+                  never.replace("1000000000", "999999999")),
+    }
+    step["u"] = step["u"].replace("list_min(list_filter([", f"list_min(list_filter([{never.replace('1000000000', '999999999')}, ", 1)
+    ends = best(
+        "n", "a", "{'c': u.c + 5, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}",
+        "{'c': s.c + 10, 'a': s.a || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'}",
+    )
+    start = never.replace("1000000000", "999999999")
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, {resampling.POLYNOMIAL}) ELSE a >> 1 END)) AS t),
+k AS MATERIALIZED (
+    SELECT conv_id, turn, role, text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+    FROM conversations),
+f AS MATERIALIZED (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(length(key)), lambda i: ord(key[i + 1])::BIGINT)),
+        lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) % 20 AS fault
+    FROM k, crc),
+m AS MATERIALIZED (
+    SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE fault WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM f WHERE fault != 0),
+o AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+    FROM m),
+q AS MATERIALIZED (
+    SELECT *, body = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+        body[-1] NOT IN ('.', '!', '?') AS ends_badly,
+        role[1] || lead(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS two
+    FROM o),
+d AS MATERIALIZED (
+    SELECT *, blank OR again AS gone, NOT blank AND NOT again AND ends_badly AS cut FROM q),
+r AS (
+    SELECT conv_id, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS n, {start} AS s, {start} AS u, {start} AS a
+    FROM (SELECT DISTINCT conv_id FROM d)
+    UNION ALL
+    SELECT r.conv_id, d.pos, {step["n"]}, {step["s"]}, {step["u"]}, {step["a"]}
+    FROM r JOIN d ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND d.pos = r.pos + 1),
+e AS (
+    SELECT conv_id, {ends} AS x FROM r
+    QUALIFY pos = max(pos) OVER (PARTITION BY conv_id)),
+g AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+        count_if(NOT blank AND again) AS duplicate, count_if(cut) AS truncated, count_if(two NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM d GROUP BY conv_id),
+i AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id, coalesce(g.gaps, 0)::BIGINT AS gaps, coalesce(g.blank, 0)::BIGINT AS blank,
+    coalesce(g.duplicate, 0)::BIGINT AS duplicate, coalesce(g.truncated, 0)::BIGINT AS truncated,
+    coalesce(g.illegal, 0)::BIGINT AS illegal, coalesce(e.x.c, 0)::BIGINT AS cost, coalesce(e.x.a, '') AS audit,
+    sha256(coalesce(substr(e.x.t, 2), '')) AS repaired_sha256
+FROM i LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_records": op2_token_records,
@@ -248,7 +380,9 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_language_id": op10_language_id,
+    "op11_secret_scan": op11_secret_scan,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -256,4 +390,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_exact_top_k": OP4_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
     "op12_importance_resampling": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }

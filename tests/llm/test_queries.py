@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from starloom.llm import queries
 from tests.conftest import TESTDATA
-from tests.llm import test_jaccard_join, test_pii, test_substring_dedup
+from tests.llm import test_credentials, test_jaccard_join, test_pii, test_substring_dedup
 from tests.test_oracle import rows_of
 
 SF_DIR = f"{TESTDATA}/sf0.01"
@@ -80,3 +80,16 @@ def test_op9(spark, documents_rows):
     found = queries.op9_substring_dedup(spark, SF_DIR).collect()
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found]
     assert sorted(got, key=str) == test_substring_dedup.brute_force(documents_rows, queries.PASSAGE_WORDS)
+
+
+def test_op11(spark, documents_rows):
+    found = {r.doc_id: r for r in queries.op11_secret_scan(spark, SF_DIR).collect()}
+    assert len(found) == len(documents_rows)
+    for doc_id, text in documents_rows:
+        spans = test_credentials.plain(text)
+        listed = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        r = found[doc_id]
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
+        # these texts hold no credentials but those of the base kinds
+        assert r.spans == listed
