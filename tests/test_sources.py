@@ -76,6 +76,8 @@ def test_large_multi_line_file_is_reported(spark, tmp_path, monkeypatch, caplog)
     monkeypatch.setattr(csv_files, "LARGE_UNSPLITTABLE_BYTES", 10)
     with caplog.at_level(logging.WARNING):
         read_csv(spark, str(path), REVIEW_TYPES, multiline=True)
+        assert not caplog.text  # read by ranges
+        csv_files.infer_csv(spark, str(path), multiline=True)
     assert "one task's work" in caplog.text
     assert f"1 file(s) of {path}, {len(REVIEWS)} bytes together" in caplog.text
 
