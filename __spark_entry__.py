@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from starloom.functions.calendar import calendar_columns, date_key  # noqa: E402
-from starloom.functions.casts import int_columns, int_from_text  # noqa: E402
+from starloom.functions.casts import int_columns, int_from_text, typed_columns  # noqa: E402
 from starloom.functions.money import round_money  # noqa: E402
 from starloom.operators.cleaning import (  # noqa: E402
     dedupe_by_key,
@@ -29,9 +30,11 @@ from starloom.operators.cleaning import (  # noqa: E402
 )
 from starloom.operators.joins import join_many_to_one, left_join_one_to_many  # noqa: E402
 from starloom.plans import ask, bronze, gold, jobs, silver, star  # noqa: E402
+from starloom.sources.multiline_csv import multiline_csv  # noqa: E402
 from testbed import dirty, oracle  # noqa: E402
 from testbed.lake import (  # noqa: E402
     column_types,
+    incremental_lakehouse,
     loaded_lakehouse,
     new_lakehouse,
     write_csv,
@@ -39,10 +42,19 @@ from testbed.lake import (  # noqa: E402
 )
 from testbed.raw import RAW, given  # noqa: E402
 
-try:  # the training-data operators and their pipeline, present or not
+
+
+def _present(*modules: str) -> bool:
+    try:
+        return all(find_spec(m) for m in modules)
+    except ModuleNotFoundError:  # not even the package
+        return False
+
+
+if _present("corpus_pipeline", "starloom.llm.queries"):  # the training-data operators and their pipeline
     import corpus_pipeline
     from starloom.llm import queries as llm
-except ImportError:
+else:
     corpus_pipeline = llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +166,16 @@ def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lake.read("bronze", "documents")
 
 
+def csv_ingest_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a single file, which many tasks read."""
+    documents = given(spark, sf_dir, "documents")
+    path = f"{new_lakehouse(spark, 'csv_one', sf_dir).location}/csv/documents.csv"
+    write_csv(documents.coalesce(1), path)
+    text = multiline_csv(spark, path, documents.columns, range_bytes=1 << 20)
+    types = typed_columns(column_types(documents), documents.columns)
+    return text.select(*[v.alias(c) for c, v in types.items()])
+
+
 def bronze_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lake = new_lakehouse(spark, "bronze_only", sf_dir)
@@ -181,6 +203,11 @@ def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded_lakehouse(spark, sf_dir).audit(jobs.layer_tables())
 
 
+def incremental_table(layer: str, table: str) -> Query:
+    """A table of a lakehouse that was loaded in two steps."""
+    return lambda spark, sf_dir: incremental_lakehouse(spark, sf_dir).read(layer, table)
+
+
 # ---- silver from the given tables, gold from the loaded tables
 
 
@@ -290,6 +317,9 @@ SILVER_ORACLE = {
     "geolocation": "s_geo",
 }
 
+#: Tables with rows that only both halves of the sources together give.
+INCREMENTAL = [("silver", "payments"), ("silver", "order_reviews"), ("silver", "order_items"), ("silver", "sellers"), ("gold", "fact_sales")]
+
 PRODUCT_COLUMNS = (
     "product_id,product_category_name,product_name_length,product_description_length,"
     "product_photos_qty,product_weight_g,product_length_cm,product_height_cm,product_width_cm"
@@ -394,6 +424,7 @@ def queries() -> dict[str, Query]:
         "date_key": date_key_query,
         # files and tables
         "csv_ingest": csv_ingest,
+        "csv_ingest_one_file": csv_ingest_one_file,
         **{f"bronze_{name}": bronze_query(name) for name in bronze.SOURCES},
         "read_layer_table": read_layer_table,
         "write_read_roundtrip": write_read_roundtrip,
@@ -422,6 +453,7 @@ def queries() -> dict[str, Query]:
         ),
         "q_weekend_split": gold_query(star.weekend_split, "dim_date"),
         "q_payment_total_per_month": gold_query(star.payment_total_per_month, "dim_date"),
+        **{f"incremental_{table}": incremental_table(layer, table) for layer, table in INCREMENTAL},
         **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }
 
@@ -481,6 +513,7 @@ def oracle_sql() -> dict[str, str]:
                    isodow(o_orderdate) IN (6, 7) AS is_weekend
             FROM orders""",
         "csv_ingest": "SELECT * FROM documents",
+        "csv_ingest_one_file": "SELECT * FROM documents",
         **{f"bronze_{k}": sql(f"SELECT * FROM {v}") for k, v in SOURCE_ORACLE.items()},
         "bronze_payments_dirty": sql("""
             SELECT CAST(order_id AS VARCHAR) AS order_id, payment_sequential, payment_type,
@@ -581,5 +614,6 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DISTINCT order_id, date_key, payment_value FROM fact_sales) o
             JOIN dim_date d ON o.date_key = d.date_key
             GROUP BY d.year, d.month"""),
+        **{f"incremental_{t}": sql(f"SELECT * FROM {SILVER_ORACLE[t] if layer == 'silver' else t}") for layer, t in INCREMENTAL},
         **(llm.ORACLE_SQL if llm else {}),
     }

@@ -5,14 +5,14 @@ from __future__ import annotations
 import argparse
 import logging
 
-from starloom.plans import jobs
+from starloom.plans import incremental, jobs
 from starloom.session import get_spark
 from starloom.sources.tables import Lakehouse
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="starloom")
-    parser.add_argument("layer", choices=["bronze", "silver", "gold", "all"])
+    parser.add_argument("layer", choices=["bronze", "silver", "gold", "all", "new"], help="new: all layers, from new files")
     parser.add_argument("--source", default="./data", help="folder of the source CSV files")
     parser.add_argument("--catalog", help="catalog of the layers (default: the session's)")
     parser.add_argument("--location", help="root folder of the layers")
@@ -28,14 +28,15 @@ def main() -> None:
     spark = get_spark(f"starloom {args.layer}", shuffle_bytes=shuffle_bytes)
     try:
         lake = Lakehouse(spark, args.location, args.catalog, fmt=args.format)
-        jobs.run_all(
-            lake,
-            args.source,
-            ["bronze", "silver", "gold"] if args.layer == "all" else [args.layer],
-            infer_schema=args.infer_schema,
-            order_buckets=args.order_buckets,
-            partition_fact_by=["date_key"] if args.partition_fact else (),
-        )
+        how = {
+            "infer_schema": args.infer_schema,
+            "order_buckets": args.order_buckets,
+            "partition_fact_by": ["date_key"] if args.partition_fact else (),
+        }
+        if args.layer == "new":
+            incremental.run_incremental(lake, args.source, **how)
+        else:
+            jobs.run_all(lake, args.source, ["bronze", "silver", "gold"] if args.layer == "all" else [args.layer], **how)
     finally:
         spark.stop()
 

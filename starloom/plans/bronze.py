@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -117,22 +117,27 @@ def ingest_csv(
     required: tuple[str, ...] = (),
     multiline: bool = False,
     infer_schema: bool = False,
+    files: Sequence[str] | None = None,
+    add: bool = False,
+    note: Callable[[str], None] | None = None,
 ) -> dict[str, Any]:
-    """Replace the bronze table named after the file by the file's rows.
+    """Replace the bronze table named after the file by the file's rows, or with `add` add them to it.
 
-    The load record's `rejected` counts the values of each typed column that were not of its type.
+    `files`: of a folder `path`, these files alone. `note`: as in `Lakehouse.write`. The load record's
+    `rejected` counts the values of each typed column that were not of its type.
     """
+    load = lake.append if add else lake.write
     if infer_schema:
-        return lake.write("bronze", table_name_of(path), infer_csv(lake.spark, path, required, multiline))
-    text = text_csv(lake.spark, path, required, multiline)
+        return load("bronze", table_name_of(path), infer_csv(lake.spark, files or path, required, multiline), note=note)
+    text = text_csv(lake.spark, files or path, required, multiline)
     typed = typed_columns(types or {}, text.columns)
     rejected = {
         c: F.count(F.when(F.col(f"`{c}`").isNotNull() & typed[c].isNull(), 1))
         for c in text.columns
         if (types or {}).get(c, "string") != "string"
     }
-    record = lake.write(
-        "bronze", table_name_of(path), text, count=rejected, then=[v.alias(c) for c, v in typed.items()]
+    record = load(
+        "bronze", table_name_of(path), text, count=rejected, then=[v.alias(c) for c, v in typed.items()], note=note
     )
     for column, n in record["rejected"].items():
         if n:
@@ -146,8 +151,9 @@ def ingest(
     source_dir: str,
     types: Mapping[str, str] | None = None,
     infer_schema: bool = False,
+    **how: Any,
 ) -> dict[str, Any]:
-    """Ingest one of `SOURCES` from `source_dir`; `types` overrides its column types."""
+    """Ingest one of `SOURCES` from `source_dir`; `types` overrides its column types. `how`: more of `ingest_csv`."""
     source = SOURCES[name]
     return ingest_csv(
         lake,
@@ -156,4 +162,5 @@ def ingest(
         source.required,
         source.multiline,
         infer_schema,
+        **how,
     )

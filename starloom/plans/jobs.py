@@ -19,7 +19,8 @@ LoadRecords = list[dict[str, Any]]
 TABLES_AT_ONCE = 4
 
 
-def _load(load: Callable[[str], dict[str, Any]], tables: Iterable[str]) -> LoadRecords:
+def load_tables(load: Callable[[str], Any], tables: Iterable[str]) -> list[Any]:
+    """`load` of each table, `TABLES_AT_ONCE` at a time."""
     with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
         return list(pool.map(load, tables))
 
@@ -33,7 +34,7 @@ def run_bronze(
     """Ingest the nine sources; `types` overrides column types by source name."""
     lake.create_layer("bronze")
     types = types or {}
-    return _load(
+    return load_tables(
         lambda name: bronze.ingest(lake, name, source_dir, types.get(name), infer_schema),
         bronze.SOURCES,
     )
@@ -57,13 +58,15 @@ def run_silver(lake: Lakehouse, order_buckets: int | None = None) -> LoadRecords
             bucket_by=(order_buckets, "order_id") if bucketed else None,
         )
 
-    records = _load(load, silver.TABLES)
+    records = load_tables(load, silver.TABLES)
     hot = silver.hot_keys(lake.read("silver", "orders"), lake.read("silver", "order_items"))
     return [*records, lake.write("silver", "hot_keys", hot)]
 
 
-def run_gold(lake: Lakehouse, partition_fact_by: Sequence[str] = ()) -> LoadRecords:
-    """Build the dimensions, then the fact from the written dimensions.
+def run_gold(
+    lake: Lakehouse, partition_fact_by: Sequence[str] = (), properties: Mapping[str, str] | None = None
+) -> LoadRecords:
+    """Build the dimensions, then the fact from the written dimensions. `properties`: as in `Lakehouse.write`.
 
     `partition_fact_by=["date_key"]` lets queries on a time range skip the other days' files;
     it pays off when a day's sales fill at least a file.
@@ -72,9 +75,10 @@ def run_gold(lake: Lakehouse, partition_fact_by: Sequence[str] = ()) -> LoadReco
 
     def load(table: str, partition_by: Sequence[str] = ()) -> dict[str, Any]:
         build, inputs = gold.TABLES[table]
-        return lake.write("gold", table, build(*[lake.read(*name) for name in inputs]), partition_by)
+        rows = build(*[lake.read(*name) for name in inputs])
+        return lake.write("gold", table, rows, partition_by, properties=properties)
 
-    dimensions = _load(load, [table for table in gold.TABLES if table != "fact_sales"])
+    dimensions = load_tables(load, [table for table in gold.TABLES if table != "fact_sales"])
     return [*dimensions, load("fact_sales", partition_fact_by)]
 
 

@@ -1,0 +1,189 @@
+"""Loads of new files alone, against full loads of all files."""
+
+import itertools
+import os
+
+import pytest
+
+from starloom.plans import bronze, incremental, jobs, silver
+from tests.test_pipeline import FILES
+from testbed.lake import new_lakehouse
+
+_number = itertools.count()
+TABLES = [*[("bronze", s.table) for s in bronze.SOURCES.values()], *[("silver", t) for t in silver.TABLES]] + [
+    ("gold", t) for t in ("dim_order", "dim_customer", "dim_seller", "dim_product", "dim_review", "dim_date", "fact_sales")
+]
+#: More rows: orders with rows in the first files and without, repeated rows, incomplete ones.
+MORE = {
+    "olist_customers_dataset": "c1,u1,01310,sao paulo,SP\nc4,u4,20000,rio,RJ\n",
+    "olist_sellers_dataset": "s1,01309,abc,SP\ns3,20000,rio,RJ\n",
+    "olist_products_dataset": "p1,brinquedos,40,287,1,225,16,10,14.2\np4,brinquedos,1,2,3,4,5,6,7\n",
+    "olist_orders_dataset": "o4,c3,delivered,2018-01-02 10:00:00,2018-01-01 10:10:00\no7,c4,delivered,2018-01-08 10:00:00,2018-01-08 10:10:00\n",
+    "olist_order_items_dataset": "o1,5,p1,s1,2018-01-05 00:00:00,1.00,2.25\no7,1,p4,s1,2018-01-09 00:00:00,5.00,0.10\n",
+    "olist_order_payments_dataset": "o1,3,zloty,9,1.11\no7,1,boleto,1,5.10\n",
+    "olist_order_reviews_dataset": 'r0,o1,3,,"earlier,\nby id"\nr7,o7,5,,"new\n""one"""\n',
+    "product_category_name_translation": "novo,new\n",
+    "olist_geolocation_dataset": "20000,-22.0,-43.1,rio,RJ\n04000,-23.0,-46.0,sao paulo,SP\n",
+}
+
+
+@pytest.fixture
+def landing(tmp_path):
+    """A folder per source, each with one file."""
+    for name, text in FILES.items():
+        put(tmp_path, name, "a.csv", text)
+    return tmp_path
+
+
+def put(folder, source, name, text):
+    path = folder / f"{source}.csv" / name
+    os.makedirs(path.parent, exist_ok=True)
+    path.write_text(text)
+    return path
+
+
+def header(source):
+    return FILES[source].split("\n", 1)[0] + "\n"
+
+
+def lakehouse(spark):
+    return new_lakehouse(spark, f"incremental{next(_number)}")
+
+
+def contents(lake):
+    return {t: sorted(map(str, lake.read(*t).collect())) for t in TABLES}
+
+
+def full_load(spark, landing):
+    lake = lakehouse(spark)
+    jobs.run_all(lake, str(landing))
+    return contents(lake)
+
+
+def files_read(records):
+    return sorted(f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1] for r in records["bronze"] for f in r["files"])
+
+
+def test_one_new_file_per_source(spark, landing):
+    lake = lakehouse(spark)
+    first = incremental.run_incremental(lake, str(landing))
+    assert all(r["full"] == "first load" for r in first["bronze"])
+    assert contents(lake) == full_load(spark, landing)
+    assert incremental.run_incremental(lake, str(landing)) == {
+        "bronze": [{"table": s.table, "files": [], "full": ""} for s in bronze.SOURCES.values()],
+        "silver": [],
+    }
+
+    for source, text in MORE.items():
+        put(landing, source, "b.csv", header(source) + text)
+    second = incremental.run_incremental(lake, str(landing))
+    assert files_read(second) == sorted(f"{s}.csv/b.csv" for s in MORE)
+    assert {r["table"]: r["how"] for r in second["silver"][:-1]} == {
+        "customers": "merged", "sellers": "merged", "products": "merged", "order_items": "merged", "payments": "merged",
+        "order_reviews": "merged", "product_category": "appended", "orders": "merged", "date": "merged",
+        "geolocation": "appended",
+    }
+    assert contents(lake) == full_load(spark, landing)
+
+
+def test_only_the_new_file_is_read(spark, landing):
+    """The first file's content is replaced behind the ledger's back: its old rows stay."""
+    lake = lakehouse(spark)
+    incremental.run_incremental(lake, str(landing))
+    source = "olist_order_payments_dataset"
+    old = landing / f"{source}.csv" / "a.csv"
+    put(landing, source, "b.csv", header(source) + MORE[source])
+    want = full_load(spark, landing)
+    times, size = os.stat(old), old.stat().st_size
+    old.write_bytes(b"x" * size)
+    os.utime(old, ns=(times.st_atime_ns, times.st_mtime_ns))
+    records = incremental.run_incremental(lake, str(landing))
+    assert files_read(records) == [f"{source}.csv/b.csv"]
+    assert [r["table"] for r in records["silver"]] == ["payments", "hot_keys"]
+    assert contents(lake) == want
+
+
+def test_touched_changed_and_vanished_files(spark, landing):
+    lake = lakehouse(spark)
+    source = "olist_order_payments_dataset"
+    second = put(landing, source, "b.csv", header(source) + MORE[source])
+    incremental.run_incremental(lake, str(landing))
+
+    os.utime(second, ns=(1, 10**18))
+    assert not files_read(incremental.run_incremental(lake, str(landing)))
+    text = second.read_text()
+    second.write_text(text.replace("5.10", "6.10"))
+    os.utime(second, ns=(1, 2 * 10**18))
+    records = incremental.run_incremental(lake, str(landing))
+    assert files_read(records) == [f"{source}.csv/a.csv", f"{source}.csv/b.csv"]
+    assert contents(lake) == full_load(spark, landing)
+    os.remove(second)
+    records = incremental.run_incremental(lake, str(landing))
+    assert files_read(records) == [f"{source}.csv/a.csv"]
+    assert contents(lake) == full_load(spark, landing)
+
+
+def test_a_load_that_broke_off_is_taken_up(spark, landing, monkeypatch):
+    """Before the part is published, before silver, before gold: the next load ends with the tables of a full one."""
+    lake = lakehouse(spark)
+    incremental.run_incremental(lake, str(landing))
+    for source, text in MORE.items():
+        put(landing, source, "b.csv", header(source) + text)
+
+    def stop(*_, **__):
+        raise RuntimeError("stopped")
+
+    publish = type(lake)._publish
+    for owner, name, replacement in (
+        (type(lake), "_publish", lambda self, layer, table, *a: stop() if "orders" in table else publish(self, layer, table, *a)),
+        (incremental, "refresh_silver", stop),
+        (jobs, "run_gold", stop),
+    ):
+        with monkeypatch.context() as m:
+            m.setattr(owner, name, replacement)
+            with pytest.raises(RuntimeError, match="stopped"):
+                incremental.run_incremental(lake, str(landing))
+    incremental.run_incremental(lake, str(landing))
+    assert contents(lake) == full_load(spark, landing)
+
+
+def test_many_parts_become_a_full_load(spark, landing, monkeypatch):
+    monkeypatch.setattr(incremental, "MOST_PARTS", 2)
+    lake = lakehouse(spark)
+    source = bronze.SOURCES["product_category"]
+    lake.create_layer("bronze")
+    hows = []
+    for k in range(4):
+        put(landing, source.table, f"n{k}.csv", header(source.table) + f"k{k},e{k}\n")
+        hows.append(incremental.load_source(lake, "product_category", str(landing))["full"])
+    assert hows == ["first load", "", "2 parts", ""]
+    rows = {tuple(r) for r in lake.read("bronze", source.table).collect()}
+    assert {(f"k{k}", f"e{k}") for k in range(4)} <= rows
+
+
+def test_new_columns_are_refused(spark, landing):
+    lake = lakehouse(spark)
+    lake.create_layer("bronze")
+    incremental.load_source(lake, "product_category", str(landing))
+    put(landing, "product_category_name_translation", "z.csv", "product_category_name,product_category_name_english,x\na,b,c\n")
+    with pytest.raises(ValueError, match="has the columns"):
+        incremental.load_source(lake, "product_category", str(landing))
+
+
+def test_builders_never_look_beyond_one_key(spark, landing):
+    """What refreshing rests on: a builder over the rows of some keys gives those of its rows over all."""
+    for source, text in MORE.items():
+        put(landing, source, "b.csv", header(source) + text)
+    lake = lakehouse(spark)
+    jobs.run_bronze(lake_with_bronze(lake), str(landing))
+    for table, (build, source) in silver.TABLES.items():
+        key, rows = incremental.KEYS[table], lake.read("bronze", bronze.SOURCES[source].table)
+        whole = build(rows)
+        for value in [r[0] for r in rows.select(key).distinct().collect()]:
+            some = build(rows.filter(rows[key] == value)).collect()
+            assert sorted(map(str, some)) == sorted(map(str, whole.filter(whole[key] == value).collect())), (table, value)
+
+
+def lake_with_bronze(lake):
+    lake.create_layer("bronze")
+    return lake
