@@ -9,9 +9,14 @@ would leave too many edits on one side.
 No pairs are made, as lines with a long part in common would make them by the square of their
 number. A first semi-join keeps the entries and lookups that meet another line; a second one, over these
 alone and with the lines' texts, keeps the lines that meet an earlier one within `edits`. Lines are first held
-against each other by 64 parity bits: an edit changes at most five pairs of neighbouring words, so lines
-that differ in more of them are further apart. Those left are verified by a banded bit-parallel edit
-distance (`within`).
+against each other by counts of their signs, in groups: an edit changes two counts by one at most. Those left
+are verified by a banded bit-parallel edit distance (`within`).
+
+A piece that more than MOST_TOGETHER lines share (a template, a path) would still be compared by the square. Of two
+lines within `edits` that share a piece, what is left of them without it is within `edits` too. So those lines
+are entered and looked up again, under the piece and the segments of the rest, until few share all of it. Rests too
+short for segments are entered under all that up to `edits` deletions leave of them, of which two within `edits`
+have one in common.
 
 Which line came before is by (doc_id, line number). A line goes if an equal one, or one whose first
 occurrence is earlier than its own first and that is within `edits`, came before. All lines are
@@ -21,6 +26,8 @@ lines; exact repeats of them go too if `short_repeats`, unless they are blank (w
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +35,10 @@ from starloom.llm.common import Scratch
 
 #: Of lines that are more than this share of all lines, later occurrences are left out of the
 #: search at once. There are at most 1 / HOT_SHARE such lines, which bounds their table.
-HOT_SHARE = 1e-4
+HOT_SHARE = 1e-5
+
+#: A key with more entries and lookups than this is refined, so many times at most.
+MOST_TOGETHER, REFINEMENTS = 1000, 12
 
 
 def lookups(edits: int) -> list[tuple[int, int, int]]:
@@ -43,35 +53,40 @@ def lookups(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def keys(lines: DataFrame, edits: int) -> DataFrame:
-    """Of `lines` (h1, line, n_chars): h1, key, and whether it is one of the line's own segments."""
+def keys(lines: DataFrame, edits: int, text: str = "line", carried: Sequence[str] = ("h1",), salt: Sequence[str] = ()) -> DataFrame:
+    """Of `lines`: the `carried` columns, key, `own` (whether the piece is one of the text's own segments), and where the
+    piece stands: start, size. `salt`: columns that make the key besides the piece."""
     k = edits + 1
     wanted = F.array(*[F.struct(*map(F.lit, x)) for x in lookups(edits)])
     wanted = wanted.cast("array<struct<shorter: int, i: int, move: int>>")
-    columns = ["h1", "line", "n_chars"]
-    each = lines.select(*columns, F.explode(wanted).alias("w")).select(*columns, "w.*")
+    each = lines.withColumn("n", F.char_length(text)).withColumn("w", F.explode(wanted))
+    each = each.select(*lines.columns, "n", "w.*")
     # of n signs the first segments have n div k, the last n mod k of them one more
-    target = F.col("n_chars") - F.col("shorter")
-    base, longer = F.expr(f"(n_chars - shorter) div {k}").cast("int"), target % k
+    target = F.col("n") - F.col("shorter")
+    base, longer = F.expr(f"(n - shorter) div {k}").cast("int"), target % k
     before_longer = k - longer
     start = base * F.col("i") + F.greatest(F.col("i") - before_longer, F.lit(0)) + 1 + F.col("move")
     each = each.withColumns(
         {"start": start, "size": base + (F.col("i") >= before_longer).cast("int"), "target": target}
     )
-    each = each.filter("start >= 1 AND start + size - 1 <= n_chars AND size > 0")
-    piece = F.substring("line", F.col("start"), F.col("size"))
+    each = each.filter("start >= 1 AND start + size - 1 <= n AND size > 0")
+    piece = F.substring(text, F.col("start"), F.col("size"))
     return each.select(
-        "h1",
-        F.xxhash64(piece, "target", "i").alias("key"),
-        ((F.col("shorter") == 0) & (F.col("move") == 0)).alias("entered"),
+        *carried,
+        F.xxhash64(*salt, piece, "target", "i").alias("key"),
+        ((F.col("shorter") == 0) & (F.col("move") == 0)).alias("own"),
+        "start",
+        "size",
     )
 
 
-#: Of the column `line`, 64 bits: whether its pairs of neighbouring words (between single spaces) of each
-#: hash are odd in number.
-PARITY = """aggregate(split(line, ' '), named_struct('before', '', 'bits', 0L),
-    (s, word) -> named_struct('before', word,
-        'bits', s.bits ^ shiftleft(1L, cast(pmod(xxhash64(s.before, word), 64) AS int))), s -> s.bits)"""
+#: Groups of signs that are counted; all others are one more, by the length.
+SIGNS = ("aAqQ", "eEjJ", "iIxX", "oOzZ", "uUkK", "nNvV", "tTfF", "sSwW", "rRyY", "lLbBpP", "dDcCmM", "hHgG", "0369", "1478", "25")
+
+
+def sign_counts(text: str) -> dict[str, Column]:
+    """Columns c0, c1, ...: how many signs of each group a text has."""
+    return {f"c{k}": F.char_length(text) - F.char_length(F.translate(text, signs, "")) for k, signs in enumerate(SIGNS)}
 
 
 def within(x: str, y: str, edits: int) -> str:
@@ -131,7 +146,7 @@ def dedupe_lines(
     lines = each.filter(counted).withColumns(
         {
             "h1": F.xxhash64("line"),
-            "h2": F.xxhash64("line", F.lit(1)),
+            "h2": F.xxhash64(F.lit(1), "line"),
             "place": _order(F.col("doc_id"), F.col("line_no")),
         }
     )
@@ -146,11 +161,11 @@ def dedupe_lines(
     hot = firsts.filter(F.col("n") > total * HOT_SHARE).select("h1", "h2", F.col("first").alias("only"))
     searched = lines.filter(long_enough).join(F.broadcast(hot), ["h1", "h2"], "left")
     searched = searched.filter("only IS NULL OR place = only")
-    entries = keys(searched, edits)
+    entries = keys(searched, edits).select("h1", "key", "own")
     a, b = entries.alias("a"), entries.alias("b")
     meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") != F.col("b.h1"))
-    met = a.join(b, meets & (F.col("a.entered") | F.col("b.entered")), "left_semi")
-    met = scratch.keep(met.select("h1", "key", "entered").distinct(), "met")
+    met = a.join(b, meets & (F.col("a.own") | F.col("b.own")), "left_semi")
+    met = scratch.keep(met.select("h1", "key", "own").distinct(), "met")
 
     # the texts of these lines, at their first places
     wanted = met.select("h1").distinct()
@@ -166,21 +181,8 @@ def dedupe_lines(
         .select("w.h1", "w.h2", "w.place", F.get("all", F.col("w.line_no")).alias("line"))
         .dropDuplicates(["h1", "h2"])
     )
-    found = found.withColumns({"parity": F.expr(PARITY), "n_chars": F.char_length("line")})
-    found = scratch.keep(found, "found")
-    known = met.join(found, "h1")
-    y, x = known.alias("y"), known.alias("x")
-    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    near = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.place") < F.col("y.place"))
-        & (F.col("x.entered") | F.col("y.entered"))
-        & (apart <= 5 * edits)
-        & (F.abs(F.col("x.n_chars") - F.col("y.n_chars")) <= edits)
-        & F.expr(within("x.line", "y.line", edits))
-    )
-    late = y.join(x, near, "left_semi").select("h1", "h2", "place")
-    late = scratch.keep(late.distinct(), "near")
+    found = scratch.keep(found.withColumns(sign_counts("line")), "found")
+    late = scratch.keep(late_lines(met, found, scratch, edits).distinct(), "near")
     near_places = kept.join(late, ["h1", "h2", "place"])
 
     columns = ["doc_id", "text_hash", "line_no"]
@@ -201,5 +203,83 @@ def dedupe_lines(
     )
 
 
+def late_lines(met: DataFrame, found: DataFrame, scratch: Scratch, edits: int) -> DataFrame:
+    """h1, h2, place of the lines within `edits` of a line of an earlier place.
+
+    `met`: h1, key, own. `found`: h1, h2, place, line and sign counts of these lines.
+    """
+    # `owns`: bit k is set if the piece of refinement k is one of the line's own
+    rows = met.select("h1", "key", F.col("own").cast("long").alias("owns"))
+    late = []
+    for step in range(REFINEMENTS + 1):
+        meeting = rows.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_or(owns)").alias("any"))
+        meeting = meeting.filter((F.col("n") > 1) & (F.col("any") == _all_owns(step)))
+        meeting = scratch.keep(meeting.select("key", (F.col("n") > MOST_TOGETHER).alias("is_hot")), f"keys{step}")
+        hot, cold = meeting.filter("is_hot").select("key"), meeting.filter("NOT is_hot").select("key")
+        last = step == REFINEMENTS or hot.isEmpty()
+        together = rows.join(meeting if last else cold, "key", "left_semi").select("h1", "key", "owns")
+        late.append(_late(together.join(found, "h1"), step, edits))
+        if last:
+            break
+        if step == 0:
+            # where the pieces stand was not carried along; of few lines it is worked out again
+            of_hot = met.join(hot, "key", "left_semi").select("h1").distinct()
+            lines = found.join(of_hot, "h1", "left_semi").select("h1", F.col("line").alias("rest"))
+            rows = keys(lines, edits, "rest", ("h1", "rest")).withColumn("owns", F.col("own").cast("long"))
+        spans = rows.join(hot, "key", "left_semi")
+        before = F.substring("rest", F.lit(1), F.col("start") - 1)
+        after = F.substring("rest", F.col("start") + F.col("size"), F.lit(1 << 30))
+        spans = spans.select("h1", "key", "owns", F.concat(before, after).alias("rest")).distinct()
+        spans = scratch.keep(spans.withColumn("n_rest", F.char_length("rest")), f"rest{step}")
+        # of two rests one may be too short for segments; the other is longer by `edits` at most
+        short = spans.filter(F.col("n_rest") <= 3 * edits).withColumn("left", F.explode(F.expr(_deletions("rest", edits))))
+        short = short.select("h1", F.xxhash64("key", "left").alias("key"), "owns").distinct()
+        late.append(_late(short.join(found, "h1"), step, edits))
+        long = spans.filter(F.col("n_rest") > 2 * edits).withColumnRenamed("key", "before")
+        refined = keys(long, edits, "rest", ("h1", "owns", "rest"), ("before",))
+        bit = F.when(F.col("own"), 1 << (step + 1)).otherwise(0).cast("long")
+        refined = refined.select("h1", "key", F.col("owns").bitwiseOR(bit).alias("owns"), "rest", "start", "size").distinct()
+        rows = scratch.keep(refined, f"refined{step}")
+    out = late[0]
+    for more in late[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _all_owns(step: int) -> int:
+    return (1 << (step + 1)) - 1
+
+
+def _deletions(text: str, edits: int) -> str:
+    """SQL: all that up to `edits` deletions leave of a text."""
+    out = f"array({text})"
+    for _ in range(edits):
+        one = "transform(sequence(1, char_length(s)), p -> concat(substring(s, 1, p - 1), substring(s, p + 1)))"
+        out = (
+            f"aggregate(array({out}), array(''), (acc, some) -> array_distinct(concat(some, flatten(transform(some,"
+            f" s -> if(s = '', array(s), {one}))))))"
+        )
+    return out
+
+
+def _late(known: DataFrame, step: int, edits: int) -> DataFrame:
+    """Of lines with their keys, those that share one with a line of an earlier place and are within `edits` of it."""
+    y, x = known.alias("y"), known.alias("x")
+    counts = [F.abs(F.col(f"x.c{k}") - F.col(f"y.c{k}")) for k in range(len(SIGNS))]
+    lengths = F.char_length("x.line") - F.char_length("y.line")
+    apart = counts[0]
+    for c in counts[1:]:
+        apart = apart + c
+    near = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.place") < F.col("y.place"))
+        & (F.col("x.owns").bitwiseOR(F.col("y.owns")) == _all_owns(step))
+        & (apart <= 2 * edits)
+        & (F.abs(lengths) <= edits)
+        & F.expr(within("x.line", "y.line", edits))
+    )
+    return y.join(x, near, "left_semi").select("h1", "h2", "place")
+
+
 def _same_doc(texts: DataFrame, lines_of: DataFrame) -> Column:
     return F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))

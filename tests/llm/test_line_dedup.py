@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from starloom.llm import queries
+from starloom.llm import line_dedup, queries
 from starloom.llm.line_dedup import dedupe_lines, lookups, within
 
 
@@ -106,6 +106,37 @@ def test_hot_line_and_segment(documents, scratch):
     assert found == want
 
 
+@pytest.mark.parametrize(("edits", "together"), [(1, 2), (2, 2), (2, 9)])
+def test_refined_keys(documents, scratch, monkeypatch, edits, together):
+    """Pieces that many lines share are refined, down to rests of a few signs."""
+    monkeypatch.setattr(line_dedup, "MOST_TOGETHER", together)
+    rng = random.Random(edits)
+    signs = "abcdefghij"
+    lines = ["the same template of all, " + "".join(rng.choices(signs, k=rng.randint(2, 9))) + ", and its long end" for _ in range(60)]
+    lines += ["one beginning of many " + "".join(rng.choices(signs, k=30)) for _ in range(30)]
+    lines += [f"line number {n:05d} of the whole document" for n in rng.sample(range(100_000), 40)]
+    rows = list(enumerate(lines)) + [r for r in edited(4) if r[0] < 60 and r[0] > 40]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    found = dedupe_lines(documents(rows), scratch(), edits, 20).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in found} == brute_force(rows, edits, 20)
+
+
+def test_deletions(spark):
+    expr = line_dedup._deletions("t", 2)
+    frame = spark.createDataFrame([("",), ("a",), ("abc",), ("aab",)], "t string")
+    got = {r.t: set(r.d) for r in frame.selectExpr("t", f"{expr} AS d").collect()}
+    assert got == {"": {""}, "a": {"a", ""}, "abc": {"abc", "ab", "ac", "bc", "a", "b", "c"}, "aab": {"aab", "aa", "ab", "a", "b"}}
+
+
+def test_many_lines_of_one_beginning(documents, scratch):
+    """20,000 lines that share a beginning and nothing else."""
+    rng = random.Random(6)
+    rows = [(k, "a beginning they all have" + "".join(rng.choices("abcdefghijklmnop", k=50))) for k in range(20_000)]
+    rows += [(20_000, rows[77][1] + "!"), (20_001, rows[99][1][:-2])]
+    found = dedupe_lines(documents(rows), scratch(), 2, 20).filter("n_removed > 0").collect()
+    assert sorted(r.doc_id for r in found) == [20_000, 20_001]
+
+
 def brute_force_all(rows, edits, min_chars):
     """With exact repeats of shorter lines removed too, but for blank ones."""
     near = brute_force(rows, edits, min_chars)
