@@ -77,10 +77,10 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
 
 
 def with_running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, name: str, ties: Sequence[str] = ()
 ) -> DataFrame:
     """Add `name`: the sum of `amount` over the rows before this one in its group (`keys`), in
-    the order of an md5 of the `order` columns (as text), ties by the columns themselves.
+    the order of an md5 of the `order` columns (as text), ties by the columns themselves, then by `ties`.
 
     A group may hold any share of the rows: its rows are dealt by the first digits of the md5
     into `PARTS` parts, whose sums are added up in order, and only within a part rows are sorted.
@@ -95,7 +95,7 @@ def with_running_sum(
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier_parts), F.lit(0))).drop("_sum")
     within = (
         Window.partitionBy(*keys, "_part")
-        .orderBy("_h", *order, "_amount")
+        .orderBy("_h", *order, *ties, "_amount")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     rows = hashed.withColumn("_before", F.coalesce(F.sum("_amount").over(within), F.lit(0)))

@@ -267,7 +267,7 @@ def group_similar(docs: DataFrame, scratch: Scratch, similarity: Similarity) ->
 
     counts = {r["n_shingles"]: r["n"] for r in same.groupBy("n_shingles").agg(F.count("*").alias("n")).collect()}
     plan = bands(counts, similarity)
-    total = sum(counts.values())
+    total = same.agg(F.sum("copies")).first()[0] or 0
     # at most 1 / 1e-4 sets have more copies than this: all but one of each are left out at once
     hot = same.filter(F.col("copies") > max(1, 1e-4 * total)).select("f1", "f2", "rep").collect()
     hot_rep = {(r["f1"], r["f2"]): r["rep"] for r in hot}

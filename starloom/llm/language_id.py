@@ -26,6 +26,8 @@ from starloom.llm import words
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
+#: Up to so many languages, their counts and sampled ids (some 30 bytes each) are broadcast; beyond, joined.
+MOST_LANGUAGES = 500
 LETTER = re.compile(r"[^\W\d_]")  # letters, and signs like a half or a Roman number
 
 _KEEP = np.zeros(256, np.uint32)
@@ -93,17 +95,23 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     The sample's features reach the driver as counts per bucket, so a row is small however long its text is.
     Without any labelled row the model has no language and rejects everything.
     """
-    labelled = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    ids = labelled.select("doc_id", "lang").withColumn("_h", F.xxhash64(F.lit(settings.seed), "doc_id"))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("_t", F.xxhash64("text"))
+    # rows that share an id, or have none, go by their texts; equal rows count as one
+    ids = labelled.select("doc_id", "lang", "_t").distinct()
+    ids = ids.withColumn("_h", F.xxhash64(F.lit(settings.seed), "doc_id", "_t"))
     # about twice the rows wanted come below a level of the hash, so few rows are ranked
     per_language = ids.groupBy("lang").agg(F.count("*").alias("_rows"))
-    ids = ids.join(F.broadcast(per_language), "lang")
+    few = F.broadcast if per_language.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES else lambda df: df
+    ids = ids.join(few(per_language), "lang")
     share = F.pmod("_h", F.lit(1 << 30)) / (1 << 30)
     ids = ids.filter(share * F.col("_rows") <= 2 * settings.rows_per_language)
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "_t"))
     chosen = ids.withColumn("_n", order).filter(F.col("_n") <= settings.rows_per_language)
-    chosen = chosen.select("doc_id", "lang").distinct()
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most the sample's rows
+    chosen = few(chosen.select("doc_id", "lang", "_t")).alias("c")
+    same = F.col("l.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("l.lang") == F.col("c.lang")) & (F.col("l._t") == F.col("c._t"))
+    # one of equal rows, however many there are
+    sample = labelled.alias("l").join(chosen, same, "left_semi").dropDuplicates(["doc_id", "lang", "_t"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, 250):
@@ -114,38 +122,44 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
                 rows.append((buckets[inside].astype(np.int32), n[inside].astype(np.int32)))
             yield pa.record_batch(
                 [
-                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("doc_id"),
+                    batch.column("_t"),
                     batch.column("lang"),
                     pa.array([r[0] for r in rows], pa.list_(pa.int32())),
                     pa.array([r[1] for r in rows], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "lang", "buckets", "counts"],
+                names=["doc_id", "_t", "lang", "buckets", "counts"],
             )
 
     counted = sample.filter(F.col("text").rlike(r"\p{L}")).mapInArrow(
-        count, "doc_id long, lang string, buckets array<int>, counts array<int>"
+        count, "doc_id long, _t long, lang string, buckets array<int>, counts array<int>"
     )
-    got = counted.toArrow()
-    got = got.take(pc.sort_indices(got, sort_keys=[("lang", "ascending"), ("doc_id", "ascending")])).combine_chunks()
-    rows, labels = [], []
-    if got.num_rows:
-        buckets, counts = (got.column(c).combine_chunks() for c in ("buckets", "counts"))
+    rows = []
+    for batch in counted.toArrow().to_batches():
+        buckets, counts = batch.column("buckets"), batch.column("counts")
         at, values, numbers = buckets.offsets.to_numpy(), buckets.values.to_numpy(), counts.values.to_numpy()
-        for i, lang in enumerate(got.column("lang").to_pylist()):
-            if at[i + 1] > at[i]:
-                rows.append((values[at[i] : at[i + 1]], numbers[at[i] : at[i + 1]].astype(np.float32)))
-                labels.append(lang)
-    return fit(rows, labels, settings)
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "doc_id", "_t")), strict=True)):
+            a, b = at[i], at[i + 1]
+            if b > a:
+                row = (values[a:b].astype(np.uint16), (numbers[a:b] / numbers[a:b].sum()).astype(np.float32))
+                rows.append(((key[0], key[1] is None, key[1] or 0, key[2]), row))
+        del batch, buckets, counts, values, numbers
+    words.give_back_memory()
+    rows.sort(key=lambda r: r[0])
+    model = fit([r[1] for r in rows], [r[0][0] for r in rows], settings)
+    del rows
+    words.give_back_memory()
+    return model
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], settings: Settings = Settings()) -> Model:
-    """Stochastic gradient descent on (buckets, counts) rows, then calibration."""
+    """Stochastic gradient descent on rows of buckets and each one's share of the features, then calibration."""
     languages = tuple(sorted(set(labels)))
     if not languages:
         return Model((), np.zeros((BUCKETS + 1, 0)), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(settings.seed)
     y = np.array([languages.index(x) for x in labels])
-    shares = [(b, c / c.sum()) for b, c in rows]
+    shares = rows
     aside = rng.random(len(rows)) < settings.calibration_share
     if len(rows) < 20 or len(set(y[~aside])) < len(languages):
         aside[:] = False

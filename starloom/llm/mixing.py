@@ -67,34 +67,47 @@ def place(doc_id: Column | str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with `row`, a number of each row: what tells rows apart that share a doc_id. Rows get others when it
+    is worked out anew, so write the result and use that."""
+    return docs.withColumn("row", F.monotonically_increasing_id())
+
+
 def rates(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """Per source: source_size, target, `whole` and `until`, for `with_copies`.
 
     The rate of a source is target / source_size. Each row is taken floor(rate) times, and the rows that
     come first in a seeded random order of the source once more, until their sizes have the rest of the
     rate; the row at the border goes where the total is nearer to the target. So a source misses its
-    target by at most half a row, and reruns agree. `until` is the place of the last such row, null
-    if there is none. A source without words has rate 0. `sizes` (doc_id, source, size) must be a written
-    table: it is read several times.
+    target by at most half a row, and reruns agree. Rows of one doc_id, or of none, follow each other in that order,
+    by size and row. `until` is the place, size and row of the last that is taken once more, null if there is none.
+    A source without words has rate 0. `sizes` (doc_id, source, size, row) must be a written table: it is read
+    several times.
     """
-    seeded = sizes.select("source", "size", "doc_id", F.lit(str(seed)).alias("_seed"))
-    placed = with_running_sum(seeded, ["source"], ["_seed", "doc_id"], F.col("size"), "_before")
+    seeded = sizes.select("source", "size", "doc_id", "row", F.lit(str(seed)).alias("_seed"))
+    placed = with_running_sum(seeded, ["source"], ["_seed", "doc_id"], F.col("size"), "_before", ties=["size", "row"])
     t = targets.withColumn("whole", F.floor(F.col("target") / F.nullif("source_size", F.lit(0))))
     t = t.withColumn("_rest", F.col("target") - F.col("whole") * F.col("source_size"))
     renamed = t.withColumnRenamed("source", "_source")
     again = placed.join(renamed, F.col("source").eqNullSafe(F.col("_source"))).filter(
         F.col("_before") + F.col("size") / 2 <= F.col("_rest")
     )
-    last = again.groupBy(F.col("source").alias("_source")).agg(F.max(place("doc_id", seed)).alias("until"))
+    at = again.select(F.col("source").alias("_source"), place("doc_id", seed).alias("_place"), "size", "row")
+    last = at.groupBy("_source").agg(F.max(F.struct("_place", "size", "row")).alias("until"))
     joined = t.join(last, F.col("source").eqNullSafe(F.col("_source")), "left")
     return joined.select("source", "source_size", "target", "whole", "until")
 
 
 def with_copies(docs: DataFrame, per_source: DataFrame, seed: int) -> DataFrame:
-    """`docs` (doc_id, source, and any others) with the times the mix takes each row (`copies`) and its
-    source's source_size and target. `per_source`, from `rates`, is best a written table."""
-    r = small(per_source.withColumnRenamed("source", "_source"), MOST_SOURCES)
-    joined = docs.join(r, F.col("source").eqNullSafe(F.col("_source")))
-    again = F.coalesce(place("doc_id", seed) <= F.col("until"), F.lit(False))
-    copies = F.coalesce(F.col("whole") + again.cast("long"), F.lit(0)).cast("int")
-    return joined.select(*[docs[c] for c in docs.columns], "source_size", "target", copies.alias("copies"))
+    """`docs` (doc_id, source, size, row, and any others) with the times the mix takes each row (`copies`) and its
+    source's source_size and target, in place of columns of these names. `per_source`, from `rates`, is best a
+    written table."""
+    r = small(per_source.select(*[F.col(c).alias(f"_r_{c}") for c in per_source.columns]), MOST_SOURCES)
+    joined = docs.join(r, docs["source"].eqNullSafe(F.col("_r_source")))
+    here = F.struct(place("doc_id", seed).alias("_place"), F.col("size").cast("long"), F.col("row"))
+    again = F.coalesce(here <= F.col("_r_until"), F.lit(False))
+    copies = F.coalesce(F.col("_r_whole") + again.cast("long"), F.lit(0)).cast("int")
+    others = [docs[c] for c in docs.columns if c not in ("source_size", "target", "copies")]
+    return joined.select(
+        *others, F.col("_r_source_size").alias("source_size"), F.col("_r_target").alias("target"), copies.alias("copies")
+    )

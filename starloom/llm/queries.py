@@ -57,7 +57,8 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op3")
     docs = table(spark, sf_dir, "documents")
-    sizes = scratch.keep(docs.select("doc_id", "source", mixing.n_words("text").alias("size")), "sizes")
+    sizes = mixing.numbered(docs.select("doc_id", "source", mixing.n_words("text").alias("size")))
+    sizes = scratch.keep(sizes, "sizes")
     targets = mixing.source_targets(sizes, WEIGHTS, TOTAL_SHARE, MAX_EPOCHS)
     rates = scratch.keep(mixing.rates(sizes, targets, SEED), "rates")
     taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")

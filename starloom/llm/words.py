@@ -25,11 +25,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
                 yield batch.slice(k, rows)
             del batch
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        give_back_memory()
+
+
+def give_back_memory() -> None:
+    """What is free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def mix(x: np.ndarray) -> np.ndarray:

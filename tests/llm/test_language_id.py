@@ -54,6 +54,20 @@ def test_nothing_to_learn_from(spark):
     assert language_id.train(rows.limit(0)).languages == ()
 
 
+def test_rows_without_an_id_and_of_one_id(spark, monkeypatch):
+    """They are learned from like others, one of equal rows, and never more of a language than the bound."""
+    rows, _ = labelled(spark, 240)
+    given = [(None if i % 2 else 7, t, lang) for i, t, lang in rows] + [(7, "kalomi tunene", "aa")] * 3000
+    frame = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    sizes = []
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda rows, labels, settings: sizes.append(len(rows)) or fit(rows, labels, settings))
+    model = language_id.train(frame, language_id.Settings(rows_per_language=50))
+    assert sizes[0] <= 150 and model.languages == ("aa", "bb", "cc")
+    langs, _ = language_id.predict_texts([t for _, t, _ in rows], model)
+    assert sum(x == lang for x, (_, _, lang) in zip(langs, rows, strict=True)) > 0.9 * len(rows)
+
+
 def test_a_text_scores_alike_in_any_company(spark):
     _, frame = labelled(spark, 60)
     model = language_id.train(frame)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 
@@ -20,6 +21,11 @@ def distance(a, b):
     return row[-1]
 
 
+def far(a, b, edits):
+    """Whether the counts of signs differ by more than edits can make them: two per edit."""
+    return sum((a - b).values()) + sum((b - a).values()) > 2 * edits
+
+
 def brute_force(rows, edits, min_chars):
     first = {}
     for doc_id, text in sorted(rows, key=lambda r: r[0]):
@@ -28,9 +34,10 @@ def brute_force(rows, edits, min_chars):
                 first.setdefault(line, (doc_id, n))
     late = set()
     lines = list(first)
+    signs = {x: Counter(x) for x in lines}
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+            if abs(len(a) - len(b)) <= edits and not far(signs[a], signs[b], edits) and distance(a, b) <= edits:
                 late.add(max(a, b, key=first.get))
     out = {}
     for doc_id, text in rows:

@@ -46,10 +46,11 @@ def test_water_filling(spark, sizes):
 
 def mixed(spark, scratch, rows, seed=7):
     s = scratch()
-    sizes = s.keep(spark.createDataFrame(rows, "doc_id long, source string, size long, target string"), "sizes")
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long, target string")
+    sizes = s.keep(mixing.numbered(sizes.repartition(3) if rows else sizes), "sizes")
     targets = mixing.source_targets(sizes, (5, 2, 1), 1.5, 2)
     rates = s.keep(mixing.rates(sizes, targets, seed), "rates")
-    return mixing.with_copies(sizes.drop("target"), rates, seed).collect()
+    return mixing.with_copies(sizes, rates, seed).collect()
 
 
 def test_sampling(spark, scratch):
@@ -74,6 +75,31 @@ def test_sampling_of_odd_inputs(spark, scratch):
     assert len(mixed(spark, scratch, rows)) == 5
 
 
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_rows_of_one_id_are_taken_one_by_one(spark, scratch, doc_id):
+    """Equal rows, of one doc_id or none, and rows of it that differ in size: the border runs between them."""
+    rows = [(doc_id, "a", 4, "") for _ in range(1000)] + [(k, "b", 10, "") for k in range(100, 150)]
+    rows += [(doc_id, "b", 3 + k % 5, "") for k in range(200)]
+    taken, targets = {}, {}
+    for r in mixed(spark, scratch, rows):
+        taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
+        targets[r.source] = r.target
+    assert all(abs(taken[s] - targets[s]) <= 5 for s in targets)
+
+
+def test_clashing_names(spark, scratch):
+    s = scratch()
+    docs = spark.range(50).selectExpr(
+        "id AS doc_id", "'a' AS source", "id AS size", "'x' AS whole", "'y' AS until", "'z' AS target", "1 AS copies", "2 AS source_size"
+    )
+    docs = s.keep(mixing.numbered(docs), "docs")
+    targets = mixing.source_targets(docs.select("source", "size"), (1,), 1.5, 2)
+    rates = s.keep(mixing.rates(docs, targets, 7), "rates")
+    got = mixing.with_copies(docs, rates, 7).collect()
+    assert len(got) == 50 and all((r.whole, r.until, r.source_size) == ("x", "y", 1225) for r in got)
+    assert abs(sum(r.copies * r.size for r in got) - 1.5 * 1225) <= 25
+
+
 def test_words(spark):
     texts = [("a b",), ("",), (None,), (" \t\n",), ("x\xa0y z\x1cq\x0bw",)]
     frame = spark.createDataFrame(texts, "text string")

@@ -10,10 +10,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from starloom.llm import language_id
-from starloom.llm.queries import tokenizer_path
+from starloom.llm.queries import LINE_CHARS, LINE_EDITS, tokenizer_path
 from tests.conftest import TESTDATA
 from tests.llm.test_jaccard_join import brute_force as similar
-from tests.llm.test_line_dedup import brute_force as without_repeated_lines
+from tests.llm.test_line_dedup import brute_force_all as without_repeated_lines
 from tests.llm.test_mixing import filled_step_by_step
 
 SF_DIR = f"{TESTDATA}/sf0.001"
@@ -52,18 +52,14 @@ def test_language_id(stages):
 
 
 def test_line_dedup(stages):
+    """Whole texts, against all pairs of lines within two edits and exact repeats of short lines."""
     rows = {r.doc_id: r for r in stages[1].collect()}
-    # lines of more than 3 edits apart in length or in signs need no comparison: group by rare signs
-    want = without_repeated_lines([(r.doc_id, r.text) for r in rows.values()], 0, 20)
+    want = without_repeated_lines([(r.doc_id, r.text) for r in rows.values()], LINE_EDITS, LINE_CHARS)
+    kept = {i: text for i, (text, n, gone) in want.items() if gone == 0 or gone < n}
     got = {r.doc_id: r for r in stages[2].collect()}
-    gone = set(rows) - set(got)
-    assert all(want[i][1] == want[i][2] or len(rows[i].text) < 60 for i in gone)
+    assert {i: r.text for i, r in got.items()} == kept
     for i, r in got.items():
-        assert r.n_chars == len(r.text)
-        kept = r.text.split("\n")
-        assert not Counter(kept) - Counter(rows[i].text.split("\n"))
-        assert len(kept) <= want[i][1] - want[i][2]
-        assert (r.lang, r.source) == (rows[i].lang, rows[i].source)
+        assert (r.n_chars, r.lang, r.source) == (len(r.text), rows[i].lang, rows[i].source)
 
 
 def test_near_duplicates(stages):
@@ -133,6 +129,17 @@ def test_odd_rows(spark, tmp_path):
         assert ids <= {1, None, 6}
 
 
+def test_texts_that_share_a_doc_id(spark):
+    """Different texts of one id stay, each as a document of its own; copies and near copies of any go."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(5, text(1)), (5, text(2)), (5, text(2)), (5, text(3)), (6, text(3) + " end"), (3, text(2) + " end"), (9, text(4)), (None, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR)
+    assert got.columns == ["doc_id", "text"]
+    found = sorted(map(tuple, got.collect()), key=str)
+    assert found == sorted([(5, text(1)), (5, text(3)), (3, text(2) + " end"), (9, text(4)), (None, text(4))], key=str)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
