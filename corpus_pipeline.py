@@ -65,15 +65,48 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return left.withColumn("n_chars", changed)
 
 
+def _own_ids(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """`docs` (doc_id, text) with an id of its own for each text where several share a doc_id; and these ids with
+    their doc_id (`_own`, `doc_id`), None if there are none. Equal rows share theirs."""
+    hashes = {"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")}
+    pairs = docs.filter("doc_id IS NOT NULL").select("doc_id", *[h.alias(n) for n, h in hashes.items()]).distinct()
+    first = F.min(F.struct("_h1", "_h2")).over(Window.partitionBy("doc_id"))
+    shared = pairs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    more = pairs.join(shared, "doc_id", "left_semi").withColumn("_first", first).filter("struct(_h1, _h2) != _first")
+    more = scratch.keep(more.select("doc_id", "_h1", "_h2", F.monotonically_increasing_id().alias("_n")), "more")
+    if more.isEmpty():
+        return docs, None
+    # below all ids, so that none is taken
+    least = docs.agg(F.min("doc_id")).first()[0]
+    more = more.select("doc_id", "_h1", "_h2", (F.lit(min(least, 0)) - 1 - F.col("_n")).alias("_own"))
+    d, m = docs.withColumns(hashes).alias("d"), more.alias("m")
+    same = (F.col("d.doc_id") == F.col("m.doc_id")) & (F.col("d._h1") == F.col("m._h1")) & (F.col("d._h2") == F.col("m._h2"))
+    columns = [F.coalesce("_own", "d.doc_id").alias("doc_id") if c == "doc_id" else F.col(f"d.`{c}`") for c in docs.columns]
+    return d.join(m, same, "left").select(*columns), more.select("_own", "doc_id")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents joined by links, the one of smallest doc_id. Of rows that share a
-    doc_id one stays, that of the smallest text; rows without a doc_id stay."""
-    found = jaccard_join.group_similar(docs, Scratch(spark, "jaccard"), NEAR)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """Of each group of documents joined by links, the one of smallest doc_id. Of equal texts of one doc_id one
+    row stays; different ones are documents of their own. Rows without a doc_id stay."""
+    scratch = Scratch(spark, "jaccard")
     rows, back = _packed(docs)
+    rows, shared = _own_ids(rows, scratch)
+    if shared is not None:
+        rows = scratch.keep(rows, "own_ids")
+    found = jaccard_join.group_similar(rows, scratch, NEAR)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    if shared is not None:
+        # the smallest id of a group is that of its smallest doc_id
+        members = found.select(F.col("doc_id").alias("_own"), "component_id").distinct().join(shared, "_own", "left")
+        members = members.select("_own", "component_id", F.coalesce("doc_id", "_own").alias("doc_id"))
+        least = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_own")).alias("least"))
+        first = least.select(F.col("least._own").alias("_kept"))
     with_id = rows.filter("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64("_row")))
     one = with_id.withColumn("_n", order).filter("_n = 1").drop("_n")
+    if shared is not None:
+        one = one.join(shared.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_own"), "left")
+        one = one.select(F.coalesce("_id", "doc_id").alias("doc_id"), "text", "_row")
     return one.union(rows.filter("doc_id IS NULL")).select(*back)
 
 
@@ -81,11 +114,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: repeated rows, or none. Documents without words
     go as often as their source's whole repetitions."""
     scratch = Scratch(spark, "mixing")
-    sizes = scratch.keep(docs.select("doc_id", "source", mixing.n_words("text").alias("size")), "sizes")
+    rows, back = _packed(docs)
+    rows = rows.select("*", F.col("_row.source").alias("source"), mixing.n_words("text").alias("size"))
+    rows = scratch.keep(mixing.numbered(rows), "rows")
+    sizes = rows.select("doc_id", "source", "size", "row")
     targets = mixing.source_targets(sizes, WEIGHTS, TOTAL_SHARE, MAX_EPOCHS)
     rates = scratch.keep(mixing.rates(sizes, targets, SEED), "rates")
-    rows, back = _packed(docs)
-    mixed = mixing.with_copies(rows.withColumn("source", F.col("_row.source")), rates, SEED)
+    mixed = mixing.with_copies(rows, rates, SEED)
     copies = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
     return mixed.select("doc_id", "text", "_row", copies.alias("_copy")).select(*back)
 
