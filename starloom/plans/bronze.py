@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.casts import typed_columns
@@ -110,6 +111,30 @@ SOURCES = {
 }
 
 
+#: Added to a table's name: the table of the values that were not of their column's type.
+REJECTED = "__rejected"
+
+
+def rejected_values(text: DataFrame, types: Mapping[str, str], file: bool = True) -> DataFrame:
+    """The values of `text` (all columns as text) that are not of their column's type: column, value, reason, row (the
+    whole row as CSV), file (null if `text` does not come straight from files)."""
+    typed = typed_columns(types, text.columns)
+    found = [
+        F.when(
+            F.col(f"`{c}`").isNotNull() & typed[c].isNull(),
+            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"), F.lit(f"not of type {types[c]}").alias("reason")),
+        )
+        for c in text.columns
+        if types.get(c, "string") != "string"
+    ]
+    if not found:
+        return text.sparkSession.createDataFrame([], "column string, value string, reason string, row string, file string")
+    name = F.col("_metadata.file_path") if file else F.lit(None).cast("string")
+    row = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in text.columns]))
+    each = text.select(row.alias("row"), name.alias("file"), F.explode(F.array_compact(F.array(*found))).alias("r"))
+    return each.select("r.column", "r.value", "r.reason", "row", "file")
+
+
 def ingest_csv(
     lake: Lakehouse,
     path: str,
@@ -124,7 +149,8 @@ def ingest_csv(
     """Replace the bronze table named after the file by the file's rows, or with `add` add them to it.
 
     `files`: of a folder `path`, these files alone. `note`: as in `Lakehouse.write`. The load record's
-    `rejected` counts the values of each typed column that were not of its type.
+    `rejected` counts the values of each typed column that were not of its type. If there are any, the files are
+    read once more and these values kept in a table beside, of the same name with `REJECTED`.
     """
     load = lake.append if add else lake.write
     if infer_schema:
@@ -142,6 +168,11 @@ def ingest_csv(
     for column, n in record["rejected"].items():
         if n:
             logger.warning("%s: %d values of %s are not of type %s", path, n, column, types[column])
+    beside = table_name_of(path) + REJECTED
+    if any(record["rejected"].values()):
+        load("bronze", beside, rejected_values(text, types, file=not multiline))
+    elif not add and lake.spark.catalog.tableExists(lake.table_name("bronze", beside)):
+        lake.write("bronze", beside, lake.read("bronze", beside).limit(0))  # of an earlier load
     return record
 
 

@@ -62,6 +62,13 @@ def bronze_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("rejected_values", F.lit(record["rejected"]["payment_value"]).cast("long"))
 
 
+def bronze_payments_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of its rejected values; of the file's name, whether it is there."""
+    lake, _, _ = ingested(spark, sf_dir, "payments", infer=False)
+    rows = lake.read("bronze", bronze.SOURCES["payments"].table + bronze.REJECTED)
+    return rows.withColumn("file", F.col("file").contains(bronze.SOURCES["payments"].table))
+
+
 def silver_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _both(lambda infer: silver.payments(ingested(spark, sf_dir, "payments", infer)[1]))
 

@@ -229,3 +229,24 @@ def test_shuffle_partitions():
     assert shuffle_partitions(1 << 30) == 4
     assert shuffle_partitions(100 << 40) == 409_600
     assert shuffle_partitions(1 << 30, partition_bytes=128 << 20) == 8
+
+
+def test_rejected_values_are_kept(spark, lake, tmp_path):
+    """Beside the table, with column, value, reason, row and file; empty again when a load has none."""
+    lake.create_layer("bronze")
+    path = tmp_path / "t.csv"
+    path.write_text('a,n,x\nq,1,2.5\n"r, s",no,bad\nt,,\n')
+    types = {"n": "int", "x": "double"}
+    bronze.ingest_csv(lake, str(path), types)
+    kept = [tuple(r) for r in lake.read("bronze", "t" + bronze.REJECTED).orderBy("column").collect()]
+    row = '"r, s",no,bad'
+    assert [k[:4] for k in kept] == [("n", "no", "not of type int", row), ("x", "bad", "not of type double", row)]
+    assert all(k[4].endswith("t.csv") for k in kept)
+    path.write_text("a,n,x\nq,1,2.5\n")
+    bronze.ingest_csv(lake, str(path), types)
+    assert lake.read("bronze", "t" + bronze.REJECTED).count() == 0
+    more = tmp_path / "more.csv"
+    more.write_text("a,n,x\nz,none,1\n")
+    bronze.ingest_csv(lake, str(tmp_path / "t.csv"), types, files=[str(more)], add=True)
+    assert lake.read("bronze", "t").count() == 2
+    assert [r.value for r in lake.read("bronze", "t" + bronze.REJECTED).collect()] == ["none"]
