@@ -282,6 +282,15 @@ def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.answer(loaded_lakehouse(spark, sf_dir), ROWS_SQL)["rows"].frame
 
 
+def answer_third_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after two others, of 500 rows each."""
+    lake, cursor = loaded_lakehouse(spark, sf_dir), None
+    for _ in range(3):
+        got = ask.page(lake, ROWS_SQL, 500, cursor, ["price", "order_id"])
+        cursor = got["cursor"]
+    return spark.createDataFrame(got["rows"], ask.gold_sql(lake, ROWS_SQL).schema)
+
+
 LITERAL_SQL = """
 SELECT 'iceberg.gold.fact_sales' AS a_name, 'it''s; -- iceberg.silver.x' AS a_text, count(*) AS n
 FROM {gold}fact_sales"""
@@ -431,6 +440,7 @@ def queries() -> dict[str, Query]:
         "load_audit": load_audit,
         # files with values that are not of their columns' types
         "bronze_payments_dirty": dirty.bronze_payments,
+        "bronze_payments_rejected": dirty.bronze_payments_rejected,
         "silver_payments_dirty": dirty.silver_payments,
         "silver_order_items_dirty": dirty.silver_order_items,
         "dim_customer_text_zip": dirty.dim_customer,
@@ -442,6 +452,7 @@ def queries() -> dict[str, Query]:
         "gold_sql": gold_sql,
         "gold_sql_literal": gold_sql_literal,
         "answer_rows": answer_rows,
+        "answer_third_page": answer_third_page,
         "result_row_cap": result_row_cap,
         "q_revenue_by_month": q_revenue_by_month,
         "q_revenue_by_category": gold_query(star.revenue_by_category, "dim_product"),
@@ -520,6 +531,12 @@ def oracle_sql() -> dict[str, str]:
                    payment_installments, payment_value,
                    (SELECT count(*) FROM x_payments WHERE payment_value IS NULL) AS rejected_values
             FROM x_payments"""),
+        "bronze_payments_rejected": sql("""
+            SELECT 'payment_value' AS column, 'n/a' AS value, 'not of type double' AS reason,
+                   order_id || ',' || payment_sequential || ',' || coalesce(payment_type, '') || ','
+                       || payment_installments || ',n/a' AS row,
+                   true AS file
+            FROM x_payments WHERE payment_value IS NULL"""),
         "silver_payments_dirty": sql("""
             SELECT order_id, CAST(sum(CAST(payment_value AS DECIMAL(18,2))) AS DOUBLE) AS payment_value,
                    max(CAST(trunc(CAST(payment_installments AS DOUBLE)) AS INTEGER)) AS payment_installments,
@@ -570,6 +587,10 @@ def oracle_sql() -> dict[str, str]:
         "gold_sql": sql(GOLD_SQL.format(gold="")),
         "gold_sql_literal": sql(LITERAL_SQL.format(gold="")),
         "answer_rows": sql(ROWS_SQL),
+        "answer_third_page": sql(f"""
+            SELECT * FROM ({ROWS_SQL})
+            ORDER BY price, order_id, order_item_id, product_id, seller_id, review_id
+            LIMIT 500 OFFSET 1000"""),
         "result_row_cap": sql(CAP_SQL + " LIMIT 5000"),
         "q_revenue_by_month": sql(f"""
             SELECT d.year, d.month, d.month_name, {money("f.price")} AS revenue,

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import zip_longest
 from typing import Any
 
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starloom.sources.tables import Lakehouse
 
@@ -75,8 +76,11 @@ def check_read_only(lake: Lakehouse, sql: str, catalog_alias: str = "iceberg") -
     statement does is read off the parsed plan, by a list of what may be in it. The plan comes from the
     session's parser in the JVM, so this needs a session that is not a remote one.
     """
+    jvm = getattr(_session(lake), "_jsparkSession", None)
+    if jvm is None:
+        raise ValueError("read-only SQL is decided by Spark's parser in the session's JVM, which a remote session lacks")
     try:
-        parsed = _session(lake)._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        parsed = jvm.sessionState().sqlParser().parsePlan(sql)
     except ParseException as error:
         raise ValueError(f"only a single SELECT is allowed: {sql}") from error
     plan = list(_nodes(json.loads(parsed.toJSON())))
@@ -167,3 +171,54 @@ def answer(lake: Lakehouse, sql: str, max_rows: int | None = None) -> dict[str,
         "columns": df.columns,
         "truncated": len(rows) > max_rows,
     }
+
+
+#: How cursors write and read times: to the microsecond.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def page(
+    lake: Lakehouse, sql: str, size: int = ROW_LIMIT, cursor: str | None = None, order_by: Sequence[str] = ()
+) -> dict[str, Any]:
+    """One page of a query's result for display: its SQL, at most `size` records, the column names, and the `cursor` of
+    the next page, None after the last.
+
+    Records come by the columns `order_by`, then by the others from left to right, nulls first; an ORDER BY of the
+    query itself has no effect. The cursor holds the page's last row and how many equal ones were given, so each
+    page is a query with a filter and a limit, whatever came before it, and all pages together are the result as
+    long as the tables stay the same. Equal rows are counted, not listed, until they are given. Columns must be of
+    types that have an order: no maps.
+    """
+    df = gold_sql(lake, sql)
+    if size < 1:
+        raise ValueError(f"a page has at least one row, not {size}")
+    if len(set(df.columns)) < len(df.columns) or not set(order_by) <= set(df.columns):
+        raise ValueError(f"pages need columns of different names, and an order by some of them: {df.columns}, {list(order_by)}")
+    keys = [*order_by, *[c for c in df.columns if c not in order_by]]
+    row = F.struct(*[F.col(f"`{c}`") for c in keys])
+    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
+    given = 0
+    if cursor is not None:
+        last = json.loads(cursor)
+        given = last["given"]
+        schema = df.select(*[F.col(f"`{c}`") for c in keys]).schema
+        at = F.from_json(F.lit(last["row"]), schema, _TIMES)
+        first = F.col(f"`{keys[0]}`")
+        # the first column alone can be pushed down to the files
+        counted = counted.filter((at[keys[0]].isNull() | (first >= at[keys[0]])) & (row >= at))
+    shown = counted.select(row.alias("r"), "_copies", F.to_json(row, {**_TIMES, "ignoreNullFields": "false"}).alias("_text"))
+    # the rows of the cursor may have been given all: one more
+    found = shown.orderBy("r").limit(size + 1 if given else size).collect()
+    rows: list[dict[str, Any]] = []
+    following = None
+    for k, each in enumerate(found):
+        record = each["r"].asDict(recursive=True)
+        record = {c: record[c] for c in df.columns}
+        rest = each["_copies"] - (given if k == 0 else 0)
+        take = min(rest, size - len(rows))
+        rows += [dict(record) for _ in range(take)]
+        if len(rows) == size:
+            before = given if k == 0 else 0
+            following = json.dumps({"row": each["_text"], "given": before + take})
+            break
+    return {"sql": clean_sql(sql), "rows": rows, "columns": df.columns, "cursor": following}

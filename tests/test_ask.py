@@ -153,3 +153,72 @@ def test_whole_answer_does_not_pass_the_driver(spark, monkeypatch):
     assert answer["rows"] == [{"order_id": i} for i in range(50)]
     assert answer["rows"] != [{"order_id": i} for i in range(49)]
     assert (table.columns, table.count()) == (columns, 50)
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark):
+    """Repeated rows, nulls, NaN, times of microseconds, long decimals, arrays."""
+    lake = new_lakehouse(spark, "pages")
+    lake.create_layer("gold")
+    rows = spark.range(60).selectExpr(
+        "if(id % 7 = 0, null, id % 5) AS a",
+        "CASE id % 4 WHEN 0 THEN double('NaN') WHEN 1 THEN null WHEN 2 THEN -1.5D ELSE 0.1D + id % 3 END AS `b c`",
+        "timestamp_micros(1500000000000000 + id % 6) AS t",
+        "timestamp_ntz'2020-01-01 00:00:00.000001' + make_interval(0, 0, 0, id % 2) AS n",
+        "cast('12345678901234567890123456.' || id % 3 AS decimal(38, 5)) AS d",
+        "array(id % 2, null) AS l",
+        "if(id % 3 = 0, null, 'x\"' || chr(int(233 + id % 2))) AS s",
+        "date'2020-01-01' AS day",
+    )
+    lake.write("gold", "odd", rows.union(rows.filter("a = 1")).union(rows.limit(9)))
+    return lake
+
+
+@pytest.mark.parametrize("size", [5, 50, 1000])
+@pytest.mark.parametrize("order_by", [(), ("s", "t")])
+def test_pages_are_the_whole_result(odd_rows, size, order_by):
+    cursor, pages = None, []
+    while True:
+        got = ask.page(odd_rows, "SELECT * FROM odd", size, cursor, order_by)
+        pages.append(got["rows"])
+        cursor = got["cursor"]
+        if cursor is None:
+            break
+    assert all(len(p) == size for p in pages[:-1]) and len(pages[-1]) < size
+    assert got["columns"] == ["a", "b c", "t", "n", "d", "l", "s", "day"]
+    listed = [str(r) for p in pages for r in p]
+    frame = ask.gold_sql(odd_rows, "SELECT * FROM odd")
+    whole = frame.orderBy(*order_by, *[f"`{c}`" for c in frame.columns if c not in order_by])
+    assert listed == [str(r.asDict(recursive=True)) for r in whole.collect()]
+
+
+def test_page_of_equal_rows(spark):
+    lake = new_lakehouse(spark, "equal_rows")
+    lake.create_layer("gold")
+    lake.write("gold", "t", spark.range(2500).selectExpr("id % 2 AS n"))
+    sizes, cursor = [], None
+    for _ in range(6):
+        got = ask.page(lake, "SELECT n FROM t", 600, cursor)
+        sizes.append((len(got["rows"]), sum(r["n"] for r in got["rows"])))
+        cursor = got["cursor"]
+        if cursor is None:
+            break
+    assert sizes == [(600, 0), (600, 0), (600, 550), (600, 600), (100, 100)]
+
+
+def test_pages_that_cannot_be(lake):
+    with pytest.raises(ValueError, match="at least one row"):
+        ask.page(lake, "SELECT 1 AS a", 0)
+    with pytest.raises(ValueError, match="different names"):
+        ask.page(lake, "SELECT 1 AS a, 2 AS a")
+    with pytest.raises(ValueError, match="order by"):
+        ask.page(lake, "SELECT 1 AS a", order_by=["b"])
+    assert ask.page(lake, "SELECT id FROM fact_sales WHERE id < 0") == {
+        "sql": "SELECT id FROM fact_sales WHERE id < 0", "rows": [], "columns": ["id"], "cursor": None,
+    }
+
+
+def test_remote_sessions_are_told(lake, monkeypatch):
+    monkeypatch.setattr(ask, "_session", lambda _: object())
+    with pytest.raises(ValueError, match="remote session"):
+        ask.gold_sql(lake, "SELECT 1")
