@@ -66,7 +66,7 @@ def join_many_to_one(
         joined = join_many_to_one(many.filter(F.col(key).isNotNull()), one, key, how, hot, null_keys=False)
         return joined.unionByName(many.filter(F.col(key).isNull()), allowMissingColumns=True)
     if hot is None or not hot.parts:
-        part = F.pmod(F.hash(F.col(key).cast("string")), F.lit(1))
+        part = F.pmod(F.hash(F.col(key)), F.lit(1))  # of any type; the optimizer does not see that it is 0
         return many.withColumn("_part", part).join(one.withColumn("_part", part), [key, "_part"], how).drop("_part")
     limits = many.sparkSession.createDataFrame(list(hot.parts), "_hot string, _parts long")
     limits = F.broadcast(limits)
