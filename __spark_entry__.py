@@ -29,7 +29,7 @@ from starloom.operators.cleaning import (  # noqa: E402
     within_box,
 )
 from starloom.operators.joins import join_many_to_one, left_join_one_to_many  # noqa: E402
-from starloom.plans import ask, bronze, gold, jobs, silver, star  # noqa: E402
+from starloom.plans import ask, bronze, gold, jobs, rollup, silver, star  # noqa: E402
 from starloom.sources.multiline_csv import multiline_csv  # noqa: E402
 from testbed import dirty, oracle  # noqa: E402
 from testbed.lake import (  # noqa: E402
@@ -37,6 +37,7 @@ from testbed.lake import (  # noqa: E402
     incremental_lakehouse,
     loaded_lakehouse,
     new_lakehouse,
+    rolled_up_lakehouse,
     write_csv,
     write_source,
 )
@@ -301,6 +302,29 @@ def gold_sql_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.gold_sql(loaded_lakehouse(spark, sf_dir), sql)
 
 
+def rollup_query(build: Callable[..., DataFrame], *tables: str) -> Query:
+    """A star query answered from roll-ups."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lake = rolled_up_lakehouse(spark, sf_dir)
+        return build(*[lake.read("gold", t) for t in tables])
+
+    return run
+
+
+#: Star query -> how it is answered from roll-ups, with the same result.
+ROLLED_UP = {
+    "revenue_by_month": (rollup.revenue_by_month, "sales_rollup", "dim_date"),
+    "revenue_by_category": (rollup.revenue_by_category, "sales_rollup", "dim_product"),
+    "revenue_by_payment_type": (rollup.revenue_by_payment_type, "sales_rollup", "order_rollup"),
+    "revenue_by_customer_city": (rollup.revenue_by_customer_city, "customer_rollup", "dim_customer"),
+    "freight_by_seller_city": (rollup.freight_by_seller_city, "sales_rollup", "dim_seller"),
+    "avg_score_by_category": (rollup.avg_score_by_category, "score_rollup", "dim_product"),
+    "weekend_split": (rollup.weekend_split, "sales_rollup", "dim_date"),
+    "payment_total_per_month": (rollup.payment_total_per_month, "order_rollup", "dim_date"),
+}
+
+
 # Source -> its name in the oracle; silver table -> its name there; column lists for the audit.
 SOURCE_ORACLE = {
     "customers": "r_customers",
@@ -465,6 +489,7 @@ def queries() -> dict[str, Query]:
         "q_weekend_split": gold_query(star.weekend_split, "dim_date"),
         "q_payment_total_per_month": gold_query(star.payment_total_per_month, "dim_date"),
         **{f"incremental_{table}": incremental_table(layer, table) for layer, table in INCREMENTAL},
+        **{f"rollup_{name}": rollup_query(*how) for name, how in ROLLED_UP.items()},
         **({**llm.QUERIES, "pipeline": corpus_pipeline.run} if llm else {}),
     }
 
@@ -472,7 +497,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     """Query key -> DuckDB SQL of the expected result."""
     sql, money = oracle.sql, oracle.money
-    return {
+    expected = {
         "drop_nulls_any": sql("SELECT * FROM r_payments WHERE payment_type IS NOT NULL"),
         "drop_nulls_all": """
             SELECT nullif(l_returnflag, 'A') AS flag, nullif(l_linestatus, 'O') AS status
@@ -638,3 +663,4 @@ def oracle_sql() -> dict[str, str]:
         **{f"incremental_{t}": sql(f"SELECT * FROM {SILVER_ORACLE[t] if layer == 'silver' else t}") for layer, t in INCREMENTAL},
         **(llm.ORACLE_SQL if llm else {}),
     }
+    return expected | {f"rollup_{name}": expected[f"q_{name}"] for name in ROLLED_UP}

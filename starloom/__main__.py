@@ -12,7 +12,7 @@ from starloom.sources.tables import Lakehouse
 
 def main() -> None:
     parser = argparse.ArgumentParser(prog="starloom")
-    parser.add_argument("layer", choices=["bronze", "silver", "gold", "all", "new"], help="new: all layers, from new files")
+    parser.add_argument("layer", choices=["bronze", "silver", "gold", "rollups", "all", "new"], help="new: all layers, from new files")
     parser.add_argument("--source", default="./data", help="folder of the source CSV files")
     parser.add_argument("--catalog", help="catalog of the layers (default: the session's)")
     parser.add_argument("--location", help="root folder of the layers")

@@ -14,7 +14,7 @@ the fact which of silver, so a load that broke off is taken up where it did.
 * A silver builder never merges rows of different values of its table's `KEYS`. So only the values in the new rows are
   cleaned anew, from all bronze rows that have them. If none has a silver row yet, what comes out is appended;
   else it replaces the rows of these values, and the others are copied without a shuffle.
-* Gold is built anew if any silver table has changed.
+* Gold is built anew if any silver table has changed, the roll-ups of the fact if they are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.plans import bronze, jobs, silver
+from starloom.plans import bronze, jobs, rollup, silver
 from starloom.sources.csv_files import Paths
 from starloom.sources.tables import MOST_PARTS, Lakehouse
 
@@ -198,4 +198,7 @@ def run_incremental(
         hot = silver.hot_keys(lake.read("silver", "orders"), lake.read("silver", "order_items"))
         records["silver"].append(lake.write("silver", "hot_keys", hot))
         records["gold"] = jobs.run_gold(lake, partition_fact_by, now)
+    kept = lake.spark.catalog.tableExists(lake.table_name("gold", "sales_rollup"))
+    if kept and any(lake.own_properties("gold", table) != now for table in rollup.TABLES):
+        records["gold"] = [*records.get("gold", []), *jobs.run_rollups(lake, now)]
     return records

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from starloom.plans import bronze, gold, silver
+from starloom.plans import bronze, gold, rollup, silver
 from starloom.sources.tables import Lakehouse
 
 logger = logging.getLogger(__name__)
@@ -82,6 +82,16 @@ def run_gold(
     return [*dimensions, load("fact_sales", partition_fact_by)]
 
 
+def run_rollups(lake: Lakehouse, properties: Mapping[str, str] | None = None) -> LoadRecords:
+    """Build the roll-ups of the fact, beside it in gold. `properties`: as in `Lakehouse.write`."""
+
+    def load(table: str) -> dict[str, Any]:
+        build, inputs = rollup.TABLES[table]
+        return lake.write("gold", table, build(*[lake.read("gold", name) for name in inputs]), properties=properties)
+
+    return load_tables(load, rollup.TABLES)
+
+
 def run_all(
     lake: Lakehouse,
     source_dir: str,
@@ -91,11 +101,12 @@ def run_all(
     order_buckets: int | None = None,
     partition_fact_by: Sequence[str] = (),
 ) -> dict[str, LoadRecords]:
-    """Run the layers in order; a failure is logged and stops the run."""
+    """Run the layers in order, "rollups" among them if wanted; a failure is logged and stops the run."""
     steps = {
         "bronze": lambda: run_bronze(lake, source_dir, types, infer_schema),
         "silver": lambda: run_silver(lake, order_buckets),
         "gold": lambda: run_gold(lake, partition_fact_by),
+        "rollups": lambda: run_rollups(lake),
     }
     records = {}
     for layer in layers:

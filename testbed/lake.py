@@ -65,6 +65,18 @@ def _loaded(app: str, spark: SparkSession, sf_dir: str) -> Lakehouse:
     return lake
 
 
+def rolled_up_lakehouse(spark: SparkSession, sf_dir: str) -> Lakehouse:
+    """`loaded_lakehouse` with the roll-ups of its fact."""
+    return _rolled_up(_app(spark), spark, sf_dir)
+
+
+@cache
+def _rolled_up(app: str, spark: SparkSession, sf_dir: str) -> Lakehouse:
+    lake = loaded_lakehouse(spark, sf_dir)
+    jobs.run_rollups(lake)
+    return lake
+
+
 def incremental_lakehouse(spark: SparkSession, sf_dir: str) -> Lakehouse:
     """All layers, of half of each source's rows, brought up to date when the other half had come as new files. The
     halves share orders, products and sellers. Loaded once per application and input folder."""
