@@ -105,6 +105,7 @@ FROM p
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = top_k.usable(table(spark, sf_dir, "embeddings"), "embedding").filter("vec_id IS NOT NULL")
+    rows = top_k.of_one_length(rows, "embedding")
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024))
     vectors = rows.select("vec_id", whole.alias("v"))
     return top_k.top_k(vectors, vectors.filter("vec_id % 100 = 0"), Scratch(spark, "op4"), NEIGHBOURS)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starloom.llm import tokens, words
@@ -76,7 +76,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """Encode `docs` (doc_id, text), put `end_id` behind each, and write files in ascending doc_id.
 
     A null text is empty, so its record holds the end id alone. A null doc_id comes first. Rows of equal
-    doc_id each get a record, in the order of their texts. Without rows there are no records.
+    doc_id each get a record, in the order of a hash of their texts; however many they are, they are dealt to files as
+    evenly as others. Without rows there are no records.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = int(size // FILE_TEXT_BYTES) + 1
@@ -93,12 +94,13 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             ]
             yield pa.record_batch([pa.array(records, pa.binary())], names=["record"])
 
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(files, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+    # ranges of ids; rows of one id are told apart by their texts, equal ones by their places
+    order = ["doc_id", "_text_hash", "_place"]
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(
+        {"_text_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()}
     )
-    records = ordered.mapInArrow(encode, "record binary")
+    ordered = placed.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    records = ordered.select("doc_id", "text").mapInArrow(encode, "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.text(folder)
 
 
@@ -131,16 +133,21 @@ def scan_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def file_number(file: str) -> Column:
+    """The number in a file's name. Spark writes it with five digits, or more from 100,000 on."""
+    return F.regexp_extract(file, r"part-(\d+)", 1).cast("long")
+
+
 def write_index(spark: SparkSession, folder: str, index_folder: str) -> DataFrame:
     """Scan the record files, write their index and return it.
 
-    `start` needs the ids of all files before one: one row per file, summed in name order.
+    `start` needs the ids of all files before one: one row per file, summed in the order of the files' numbers.
     """
     rows = scan_records(spark, folder)
     rows.write.parquet(f"{index_folder}/records")
     records = spark.read.schema(rows.schema).parquet(f"{index_folder}/records")
     by_file = records.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(file_number("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_file.select("file", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("_start"))
     index = records.join(starts, "file").withColumn("start", F.col("_start") + F.col("before"))
     index.drop("_start", "before").write.parquet(f"{index_folder}/index")

@@ -38,6 +38,15 @@ def usable(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.filter(F.col(column).isNotNull() & good)
 
 
+def of_one_length(vectors: DataFrame, column: str) -> DataFrame:
+    """Rows whose vector has the most frequent length, of several the greatest; empty vectors are no candidates.
+    Vectors of other lengths have no inner product with these and take no part."""
+    size = F.size(column)
+    common = vectors.filter(size > 0).groupBy(size.alias("_size")).agg(F.count("*").alias("_n"))
+    common = common.orderBy(F.desc("_n"), F.desc("_size")).limit(1)
+    return vectors.join(F.broadcast(common.select("_size")), size == F.col("_size"), "left_semi")
+
+
 def _blocks(rows: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame, int]:
     """Rows of about `size` vectors each: `name`, ids, values (one after the other)."""
     n = rows.count()

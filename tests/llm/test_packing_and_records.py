@@ -77,6 +77,30 @@ def test_records_of_nothing(spark, documents, scratch):
     assert token_records.write_index(spark, s.path("records"), s.path("index")).collect() == []
 
 
+def test_many_rows_of_one_id(spark, documents, scratch, monkeypatch):
+    """They are dealt to several files, and `start` runs on over these."""
+    monkeypatch.setattr(token_records, "FILE_TEXT_BYTES", 2000)
+    s = scratch()
+    rows = [(None, f"word {i % 3}") for i in range(900)] + [(7, "the same")] * 900 + [(9, "last")]
+    token_records.write_records(documents(rows), s.path("records"), tokenizer_path(), end_id=1)
+    index = token_records.write_index(spark, s.path("records"), s.path("index")).collect()
+    assert len(index) == len(rows)
+    files = {}
+    for r in index:
+        files[r.file] = files.get(r.file, 0) + 1
+    assert len(files) >= 5 and max(files.values()) < 700
+    ends = sorted((r.start, r.start + r.n_tokens, r.doc_id) for r in index)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert [e[2] for e in ends] == [None] * 900 + [7] * 900 + [9]
+
+
+def test_files_go_by_number(spark):
+    names = [f"part-{n:05d}-x-c000.txt" for n in (99_999, 100_000, 7, 1_000_001)]
+    frame = spark.createDataFrame([(n,) for n in names], "file string")
+    ordered = [r.file for r in frame.orderBy(token_records.file_number("file")).collect()]
+    assert ordered == [names[2], names[0], names[1], names[3]]
+
+
 def test_damage_is_found():
     record = token_records.frame(token_records.pack_ids(7, np.array([1, 2, 70_000], np.uint32)))
     doc_id, ids = token_records.unpack_ids(token_records.unframe(record, 0))

@@ -1,12 +1,15 @@
 """The registered queries over the given tables: against DuckDB where SQL says it, else brute force."""
 
 import hashlib
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from starloom.llm import queries
+from starloom.llm import language_id, queries
 from tests.conftest import TESTDATA
 from tests.llm import test_credentials, test_jaccard_join, test_pii, test_substring_dedup
 from tests.test_oracle import rows_of
@@ -93,3 +96,64 @@ def test_op11(spark, documents_rows):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in spans) for k in ("assign", "access", "hex")]
         # these texts hold no credentials but those of the base kinds
         assert r.spans == listed
+
+
+@pytest.fixture(scope="module")
+def document_ids(documents_rows):
+    """doc_id -> token ids of the whole text, by the tokenizer itself."""
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    return {d: tokenizer.encode(t or "", add_special_tokens=False).ids for d, t in documents_rows}
+
+
+def crc32_of(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_op2(spark, document_ids):
+    want, start = [], 0
+    for doc_id, ids in sorted(document_ids.items()):
+        want.append((doc_id, start, len(ids) + 1, crc32_of([*ids, 1])))
+        start += len(ids) + 1
+    found = queries.op2_token_records(spark, SF_DIR).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in found) == want
+
+
+def test_op7(spark, document_ids):
+    want = []
+    for doc_id, ids in document_ids.items():
+        whole = [*ids, 0]
+        for k in range(0, len(whole), queries.CAPACITY):
+            part = whole[k : k + queries.CAPACITY]
+            want.append((doc_id, k // queries.CAPACITY, k, len(part), crc32_of(part)))
+    rows = queries.op7_best_fit_packing(spark, SF_DIR).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= queries.CAPACITY
+    assert len(ends) <= -(-sum(ends.values()) // queries.CAPACITY) * 1.02 + 1
+
+
+def test_op10(spark, documents_rows):
+    """Predictions against a loop over each text's positions."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = language_id.train(docs.filter(~language_id.held_out("doc_id")))
+    rows = {r.doc_id: r for r in queries.op10_language_id(spark, SF_DIR).collect()}
+    for doc_id, text in documents_rows[::25]:
+        raw = [b if 97 <= b <= 122 or b >= 128 else 0 for b in (" " + text.lower()).encode()] + [0] * 4
+        total, n = np.zeros(len(model.languages)), 0
+        for at in range(len(raw) - 4):
+            for size in language_id.SIZES:
+                gram = raw[at : at + size]
+                if 0 in gram[1:-1] or not (gram[0] or gram[-1]):
+                    continue
+                value = int.from_bytes(bytes(gram), "big")
+                hashed = (value * 0x9E3779B1 + size) * 0x85EBCA6B & 0xFFFFFFFF
+                total += model.weights[hashed >> 17]
+                n += 1
+        logits = (total / max(n, 1) + model.bias) / model.temperature
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        assert rows[doc_id].lang_pred == model.languages[int(p.argmax())]
+        assert rows[doc_id].score == pytest.approx(p.max(), abs=1e-6)

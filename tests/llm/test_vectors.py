@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from starloom.llm import metric_join, top_k
+from starloom.llm import metric_join, queries, top_k
 
 
 def clustered(seed, n=400, width=12):
@@ -116,3 +116,19 @@ def test_metric_join_of_odd_rows(spark, scratch):
     assert got[2] == got[12] == got[13] == (3, 1, False)
     assert got[None] == (0, None, True)
     assert metric_join.group_near(spark.createDataFrame([], schema), scratch(), 0.98).collect() == []
+
+
+def test_vectors_of_other_lengths(spark, tmp_path):
+    """Empty ones, and those of another length than most, take no part in the registered query."""
+    rows = [(k, [float(k % 7), 1.0, -float(k % 3)]) for k in range(120)] + [(500, []), (600, [1.0]), (700, [9.0] * 4), (800, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    frame.write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = queries.op4_exact_top_k(spark, str(tmp_path)).collect()
+    assert {r.query_id for r in found} == {0, 100}
+    assert {r.vec_id for r in found} <= set(range(120))
+    scores = lambda q: sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(rows[q][1], v, strict=True)), i) for i, v in rows[:120] if i != q)
+    for q in (0, 100):
+        got = [(-r.score, r.vec_id) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)]
+        assert got == scores(q)[:10]
+    spark.createDataFrame([(0, [])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "none" / "embeddings.parquet"))
+    assert queries.op4_exact_top_k(spark, str(tmp_path / "none")).collect() == []
