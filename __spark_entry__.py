@@ -29,6 +29,7 @@ from starloom.operators.cleaning import (  # noqa: E402
     within_box,
 )
 from starloom.operators.joins import join_many_to_one, left_join_one_to_many  # noqa: E402
+from starloom.operators.layout import clustered  # noqa: E402
 from starloom.plans import ask, bronze, gold, jobs, rollup, silver, star  # noqa: E402
 from starloom.sources.multiline_csv import multiline_csv  # noqa: E402
 from testbed import dirty, oracle  # noqa: E402
@@ -312,6 +313,15 @@ def rollup_query(build: Callable[..., DataFrame], *tables: str) -> Query:
     return run
 
 
+def fact_sales_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact laid out for filters on day, product and seller, as written."""
+    lake = new_lakehouse(spark, "clustered", sf_dir)
+    lake.create_layer("gold")
+    fact = loaded_lakehouse(spark, sf_dir).read("gold", "fact_sales")
+    lake.write("gold", "fact_sales", clustered(fact, ["date_key", "product_id", "seller_id"], files=8))
+    return lake.read("gold", "fact_sales")
+
+
 #: Star query -> how it is answered from roll-ups, with the same result.
 ROLLED_UP = {
     "revenue_by_month": (rollup.revenue_by_month, "sales_rollup", "dim_date"),
@@ -475,6 +485,7 @@ def queries() -> dict[str, Query]:
         # queries on the star schema
         "gold_sql": gold_sql,
         "gold_sql_literal": gold_sql_literal,
+        "fact_sales_clustered": fact_sales_clustered,
         "answer_rows": answer_rows,
         "answer_third_page": answer_third_page,
         "result_row_cap": result_row_cap,
@@ -611,6 +622,7 @@ def oracle_sql() -> dict[str, str]:
                         FROM s_items i LEFT JOIN s_orders so ON i.order_id = so.order_id)))"""),
         "gold_sql": sql(GOLD_SQL.format(gold="")),
         "gold_sql_literal": sql(LITERAL_SQL.format(gold="")),
+        "fact_sales_clustered": sql("SELECT * FROM fact_sales"),
         "answer_rows": sql(ROWS_SQL),
         "answer_third_page": sql(f"""
             SELECT * FROM ({ROWS_SQL})

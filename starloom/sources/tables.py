@@ -162,6 +162,16 @@ class Lakehouse:
             self.write(layer, table, self.read(layer, table), properties=properties)
         return record
 
+    def drop(self, layer: str, table: str) -> None:
+        """Drop a table, and all versions of a table of files."""
+        name = self.table_name(layer, table)
+        if self.fmt not in FILE_FORMATS:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            return
+        self.spark.sql(f"DROP VIEW IF EXISTS {name}")
+        for r in self.spark.sql(f"SHOW TABLES IN {self.schema_name(layer)} LIKE '{table}__v*'").collect():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table_name(layer, r['tableName'])}")
+
     def _properties(self, layer: str, table: str) -> dict[str, str]:
         """Of the view of a table of files; empty if there is none."""
         name = self.table_name(layer, table)
