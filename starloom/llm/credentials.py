@@ -14,7 +14,8 @@ Labelled are the values that the base patterns find in the documents, and exampl
 public formats below. One more automaton is learned from candidates of the documents, and these in capitals, as
 the format of ordinary tokens. A candidate is added as a span of the format that gives it the highest likelihood if this
 is above the ordinary format's by a margin, per sign and in all, and it is about as likely and as long as the
-format's own credentials. What the fit reads is bounded: PER_KIND values per kind and ORDINARY candidates, distinct ones
+format's own credentials. A format learned from a base kind's values has a name of its own (`like_hex`): what only
+resembles these values is not of the base kind. What the fit reads is bounded: PER_KIND values per kind and ORDINARY candidates, distinct ones
 of the smallest hashes. All texts are searched whole, and all candidates scored.
 
 A null text has no spans. Rows keep their doc_id, whatever it is; equal rows have equal spans.
@@ -41,6 +42,8 @@ from starloom.llm import words
 from starloom.llm.common import Scratch
 
 BASE = ("assign", "access", "hex")
+#: Base kind -> the kind of added spans in the format learned from its values.
+LIKE = {kind: f"like_{kind}" for kind in BASE}
 ASSIGN = re.compile(
     rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE
 )
@@ -372,7 +375,7 @@ def train(found: DataFrame, per_kind: int = PER_KIND, ordinary: int = ORDINARY)
     for kind in BASE:
         of_kind = values.filter(F.col("kind") == kind).select("value")
         chosen = of_kind.orderBy(F.xxhash64("value"), "value").limit(per_kind).collect()
-        labelled[kind] = [r.value for r in chosen]
+        labelled[LIKE[kind]] = [r.value for r in chosen]
     tokens = found.select(F.explode("candidates.token").alias("token")).distinct()
     usual = [r.token for r in tokens.orderBy(F.xxhash64("token"), "token").limit(ordinary).collect()]
     return Model.learn(labelled, usual)

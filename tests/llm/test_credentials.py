@@ -130,6 +130,22 @@ def test_detect(documents, scratch, ordinary):
     assert no_id == sorted([[], plain(TEXTS[4])])
 
 
+def test_lookalikes_are_not_of_a_base_kind(documents, scratch, ordinary):
+    """Values of the base kinds are learned; a candidate in their formats is an added span of another kind."""
+    rng = random.Random(9)
+    signs = {"hex": "0123456789abcdef", "capitals": string.ascii_uppercase + string.digits, "any": credentials.LETTERS_DIGITS}
+    draw = lambda kind, n: "".join(rng.choices(signs[kind], k=n))
+    texts = [f"saw {w} there" for w in ordinary]
+    texts += [f"é {draw('hex', 26)} AKIA{draw('capitals', 16)} token={draw('any', 20)}" for _ in range(60)]
+    lookalikes = [f"é {draw('hex', 22)} AKIA{draw('capitals', 15)} {draw('any', 20)}" for _ in range(40)]
+    rows = list(enumerate(texts + lookalikes))
+    got = {r.doc_id: [tuple(s)[:3] for s in r.spans] for r in credentials.detect(documents(rows), scratch()).collect()}
+    for i, text in rows:
+        assert [s for s in got[i] if s[0] in credentials.BASE] == plain(text)
+    added = {s[0] for i, _ in rows[len(texts) :] for s in got[i]}
+    assert set(credentials.LIKE.values()) <= added
+
+
 def test_clashing_names_and_empty(clashing, documents, scratch):
     assert credentials.detect(documents([]), scratch()).collect() == []
     (row,) = credentials.detect(clashing([(1, "token=abcdefgh")]), scratch()).collect()
