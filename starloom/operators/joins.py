@@ -15,13 +15,31 @@ from pyspark.sql import functions as F
 
 # A key with more rows than this is hot; it is split into parts of about this many rows.
 HOT_ROWS = 10_000_000
+#: Values are first counted by so many hash buckets per column.
+HOT_BUCKETS = 1 << 16
 
 
 def count_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """`key` (a column's name), `value` (as text) and `rows` of the values of these columns that have
-    more than `hot_rows` rows. One pass for all columns, exact counts."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])
-    counts = df.select(F.explode(pairs).alias("p")).groupBy("p.key", "p.value").agg(F.count("*").alias("rows"))
+    more than `hot_rows` rows. Exact counts.
+
+    A first pass, run at once, counts the rows per column and hash bucket. Only values of a bucket with more than
+    `hot_rows` rows can be hot, and only these are shuffled and counted one by one, in one pass more: on most data
+    there are none. `df` is best a written table."""
+    text = {k: F.col(k).cast("string") for k in keys}
+    bucket = {k: F.pmod(F.xxhash64(text[k]), F.lit(HOT_BUCKETS)).cast("int") for k in keys}
+    places = F.array(*[F.struct(F.lit(i).alias("key"), bucket[k].alias("bucket")) for i, k in enumerate(keys)])
+    sums = df.select(F.explode(places).alias("p")).groupBy("p.key", "p.bucket").agg(F.count("*").alias("rows"))
+    wide: dict[str, list[int]] = {}
+    for row in sums.filter(F.col("rows") > hot_rows).collect():
+        wide.setdefault(keys[row["key"]], []).append(row["bucket"])
+    if not wide:
+        return df.sparkSession.sql("SELECT '' AS key, '' AS value, 0L AS rows WHERE false")
+    pairs = [
+        F.when(bucket[k].isin(found), F.struct(F.lit(k).alias("key"), text[k].alias("value"))) for k, found in wide.items()
+    ]
+    pair = df.select(F.explode(F.array_compact(F.array(*pairs))).alias("p"))
+    counts = pair.groupBy("p.key", "p.value").agg(F.count("*").alias("rows"))
     return counts.filter((F.col("rows") > hot_rows) & F.col("value").isNotNull())
 
 

@@ -128,7 +128,7 @@ TABLES = {
 def hot_keys(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     """Keys that a large share of the items or orders has, for the joins of the fact; empty on most data.
 
-    One pass over the three keys of the items, and one over the customers of the orders.
+    One pass over the three keys of the items and one over the customers of the orders; one more where a key may be hot.
     """
     of_items = count_hot_keys(order_items, ["order_id", "product_id", "seller_id"])
     return of_items.union(count_hot_keys(orders, ["customer_id"]))

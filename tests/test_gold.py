@@ -248,6 +248,15 @@ def test_hot_keys_are_counted_in_one_pass(spark):
     assert HotKeys.of(counts.filter("false")) == {}
 
 
+def test_keys_that_cannot_be_hot_are_not_counted_one_by_one(spark):
+    """Only the values of buckets that are large enough are: here those of `a`, none of the 5,000 of `b`."""
+    items = spark.range(10_000).selectExpr("id % 2 AS a", "id % 5000 AS b")
+    counts = count_hot_keys(items, ["a", "b"], 1_000)
+    assert values(counts) == [("a", "0", 5_000), ("a", "1", 5_000)]
+    assert "AS b" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in count_hot_keys(items, ["a", "b"], 5_000)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_items_meet_the_orders_first(layers):
     build, inputs = gold.TABLES["fact_sales"]
     fact = build(*[layers[name] for name in inputs])
