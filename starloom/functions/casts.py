@@ -11,9 +11,10 @@ from pyspark.sql.types import StringType
 
 def int_from_text(text: Column | str) -> Column:
     """'5' -> 5, '3.9' -> 3, '.5' -> 0, 'abc' -> null."""
-    number = F.regexp_like(text, F.lit(r"^\s*[+-]?(\d+(\.\d*)?|\.\d*)\s*$"))
-    digits = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
-    return F.when(number, F.when(digits == "", 0).otherwise(digits.try_cast("int")))
+    # most values match the first pattern, and only the others are held against the second
+    digits = F.regexp_extract(text, r"^\s*([+-]?\d+)(?:\.\d*)?\s*$", 1)
+    fraction = F.regexp_like(text, F.lit(r"^\s*[+-]?\.\d*\s*$"))
+    return F.when(digits != "", digits.try_cast("int")).when(fraction, 0)
 
 
 def int_columns(df: DataFrame, names: Iterable[str]) -> dict[str, Column]:

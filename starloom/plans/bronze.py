@@ -5,9 +5,10 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.casts import typed_columns
@@ -131,6 +132,8 @@ def rejected_values(text: DataFrame, types: Mapping[str, str], file: bool = True
         return text.sparkSession.createDataFrame([], "column string, value string, reason string, row string, file string")
     name = F.col("_metadata.file_path") if file else F.lit(None).cast("string")
     row = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in text.columns]))
+    # most rows have none: they go before anything is made of the rest
+    text = text.filter(reduce(Column.__or__, [f.isNotNull() for f in found]))
     each = text.select(row.alias("row"), name.alias("file"), F.explode(F.array_compact(F.array(*found))).alias("r"))
     return each.select("r.column", "r.value", "r.reason", "row", "file")
 
@@ -157,14 +160,15 @@ def ingest_csv(
         return load("bronze", table_name_of(path), infer_csv(lake.spark, files or path, required, multiline), note=note)
     text = text_csv(lake.spark, files or path, required, multiline)
     typed = typed_columns(types or {}, text.columns)
-    rejected = {
-        c: F.count(F.when(F.col(f"`{c}`").isNotNull() & typed[c].isNull(), 1))
-        for c in text.columns
-        if (types or {}).get(c, "string") != "string"
-    }
-    record = load(
-        "bronze", table_name_of(path), text, count=rejected, then=[v.alias(c) for c, v in typed.items()], note=note
+    # values are cast once, in compiled code; what is counted while writing is evaluated row by row by the interpreter
+    marks = {c: f"_rejected {i}" for i, c in enumerate(text.columns) if (types or {}).get(c, "string") != "string"}
+    marked = text.select(
+        *[v.alias(c) for c, v in typed.items()],
+        *[F.when(F.col(f"`{c}`").isNotNull() & typed[c].isNull(), 1).alias(mark) for c, mark in marks.items()],
     )
+    rejected = {c: F.count(F.col(f"`{mark}`")) for c, mark in marks.items()}
+    columns = [F.col(f"`{c}`") for c in text.columns]
+    record = load("bronze", table_name_of(path), marked, count=rejected, then=columns, note=note)
     for column, n in record["rejected"].items():
         if n:
             logger.warning("%s: %d values of %s are not of type %s", path, n, column, types[column])

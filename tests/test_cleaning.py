@@ -131,6 +131,15 @@ def test_int_casts(spark, ansi):
     assert [tuple(r) for r in cast.collect()] == [(3, 2), (-3, None), (None, 0), (None, 1)]
 
 
+def test_int_casts_against_the_plain_patterns(spark, ansi):
+    texts = ["0", "00", " +1.\t", " -.", "5\n", "5.5\u2028", "1 2", "+-1", "007", "-0", "-5", "2147483647", "2147483648", "-2147483648", "+9", "1 ", "1\u00a0", "\x001", "1\x1f", "1e3", "١"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pattern = r"^\s*[+-]?(\d+(\.\d*)?|\.\d*)\s*$"
+    digits = F.regexp_extract("t", r"^\s*([+-]?\d+)", 1)
+    plain = F.when(F.regexp_like("t", F.lit(pattern)), F.when(digits == "", 0).otherwise(digits.try_cast("int")))
+    assert all(r.a == r.b for r in df.select(int_from_text("t").alias("a"), plain.alias("b")).collect())
+
+
 def test_calendar(spark):
     df = spark.sql("SELECT explode(array(date'2017-01-01', date'2018-12-31', date'2020-02-29')) AS d")
     rows = df.select(date_key("d").alias("k"), *[c.alias(n) for n, c in calendar_columns("d").items()]).collect()
