@@ -35,6 +35,7 @@ from starloom.sources.multiline_csv import multiline_csv  # noqa: E402
 from testbed import dirty, oracle  # noqa: E402
 from testbed.lake import (  # noqa: E402
     column_types,
+    in_files_of,
     incremental_lakehouse,
     loaded_lakehouse,
     new_lakehouse,
@@ -169,15 +170,20 @@ def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_ingest_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through a single file, which many tasks read."""
+    """The same through a single file, which many tasks read; of large inputs one file per `ONE_FILE_BYTES`, as one
+    task writes each."""
     documents = given(spark, sf_dir, "documents")
     path = f"{new_lakehouse(spark, 'csv_one', sf_dir).location}/csv/documents.csv"
-    write_csv(documents.coalesce(1), path)
+    write_csv(in_files_of(documents, ONE_FILE_BYTES), path)
     text = multiline_csv(spark, path, documents.columns, range_bytes=1 << 20)
     types = typed_columns(column_types(documents), documents.columns)
     return text.select(*[v.alias(c) for c, v in types.items()])
 
 
+#: One task reads so much of its input, and writes a file of it.
+ONE_FILE_BYTES = 128 << 20
+
+
 def bronze_query(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lake = new_lakehouse(spark, "bronze_only", sf_dir)
@@ -206,8 +212,9 @@ def load_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_table(layer: str, table: str) -> Query:
-    """A table of a lakehouse that was loaded in two steps."""
-    return lambda spark, sf_dir: incremental_lakehouse(spark, sf_dir).read(layer, table)
+    """A table of a lakehouse that was loaded in two steps; of silver, the table alone."""
+    alone = table if layer == "silver" else None
+    return lambda spark, sf_dir: incremental_lakehouse(spark, sf_dir, alone).read(layer, table)
 
 
 # ---- silver from the given tables, gold from the loaded tables

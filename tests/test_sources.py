@@ -6,13 +6,14 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.plans import bronze, gold, jobs, silver
 from starloom.session import scratch_dir, shuffle_partitions
 from starloom.sources import csv_files
 from starloom.sources.csv_files import infer_csv, read_csv, table_name_of
 from starloom.sources.tables import Lakehouse
-from testbed.lake import new_lakehouse, write_source
+from testbed.lake import in_files_of, new_lakehouse, write_source
 from testbed.raw import RAW
 
 SF = "/root/testdata/sf0.001"
@@ -117,6 +118,36 @@ def test_a_failed_load_leaves_the_old_table(spark, lake):
     assert lake.read("silver", "t").count() == 5
 
 
+def test_values_are_cast_once(spark, lake, tmp_path, monkeypatch):
+    """What is counted while a table is written, which Spark evaluates without compiling it, holds no casts."""
+    seen, write = [], Lakehouse.write
+
+    def spy(self, layer, table, df, **how):
+        seen.append((df, how.get("count")))
+        return write(self, layer, table, df, **how)
+
+    monkeypatch.setattr(Lakehouse, "write", spy)
+    lake.create_layer("bronze")
+    (tmp_path / "t.csv").write_text("a,b,c\n1,2.5,x\nbad,n/a,y\n")
+    record = bronze.ingest_csv(lake, str(tmp_path / "t.csv"), {"a": "int", "b": "double"})
+    assert record["rejected"] == {"a": 1, "b": 1}
+    df, count = seen[0]
+    counted = df.agg(*count.values())._jdf.queryExecution().analyzed().toString().splitlines()[0]
+    assert counted.startswith("Aggregate") and "cast" not in counted.lower() and "regexp" not in counted.lower()
+
+
+def test_one_file_per_so_much_input(spark, tmp_path):
+    """A large table's rows are not all read by one task."""
+    path = str(tmp_path / "t.parquet")
+    spark.range(0, 40_000, 1, 8).selectExpr("id", "uuid() AS u").write.parquet(path)
+    size = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
+    given = spark.read.option("maxPartitionBytes", 1).parquet(path)
+    assert in_files_of(given, size).rdd.getNumPartitions() == 1
+    assert in_files_of(given, -(-size // 4)).rdd.getNumPartitions() == 4
+    rows = in_files_of(given, -(-size // 4)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in rows) == 40_000 and max(r["count"] for r in rows) <= 15_000
+
+
 def test_rejected_values_are_counted(spark, lake, tmp_path, caplog):
     lake.create_layer("bronze")
     path = tmp_path / "t.csv"
