@@ -3,7 +3,8 @@
 Primitives and silver cleaners run lazily from the given tables. Like the load jobs, gold builders
 read the written silver (the fact: also gold) tables and star queries the written gold tables. The
 lakehouse they share is loaded from CSV into the folder of `spark.checkpoint.dir`, once per
-application and input folder.
+application and input folder. `fact_sales_clustered` loads silver and gold of its own from the
+given tables.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ from starloom.operators.cleaning import (  # noqa: E402
     within_box,
 )
 from starloom.operators.joins import join_many_to_one, left_join_one_to_many  # noqa: E402
-from starloom.operators.layout import clustered  # noqa: E402
 from starloom.plans import ask, bronze, gold, jobs, rollup, silver, star  # noqa: E402
 from starloom.sources.multiline_csv import multiline_csv  # noqa: E402
 from testbed import dirty, oracle  # noqa: E402
 from testbed.lake import (  # noqa: E402
     column_types,
+    fact_lakehouse,
     in_files_of,
     incremental_lakehouse,
     loaded_lakehouse,
@@ -321,12 +322,9 @@ def rollup_query(build: Callable[..., DataFrame], *tables: str) -> Query:
 
 
 def fact_sales_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact laid out for filters on day, product and seller, as written."""
-    lake = new_lakehouse(spark, "clustered", sf_dir)
-    lake.create_layer("gold")
-    fact = loaded_lakehouse(spark, sf_dir).read("gold", "fact_sales")
-    lake.write("gold", "fact_sales", clustered(fact, ["date_key", "product_id", "seller_id"], files=8))
-    return lake.read("gold", "fact_sales")
+    """The fact laid out for filters on day, product and seller, as its own load wrote it."""
+    by = ["date_key", "product_id", "seller_id"]
+    return fact_lakehouse(spark, sf_dir, "clustered", cluster_fact_by=by, fact_files=8).read("gold", "fact_sales")
 
 
 #: Star query -> how it is answered from roll-ups, with the same result.

@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 from starloom.operators.layout import clustered
 from starloom.plans import bronze, gold, rollup, silver
 from starloom.sources.tables import Lakehouse
@@ -41,13 +43,16 @@ def run_bronze(
     )
 
 
-def run_silver(lake: Lakehouse, order_buckets: int | None = None) -> LoadRecords:
-    """Clean the bronze tables.
+def run_silver(
+    lake: Lakehouse, order_buckets: int | None = None, read: Callable[[str], DataFrame] | None = None
+) -> LoadRecords:
+    """Clean the bronze tables, or the sources that `read` gives by name where they are no CSV files.
 
     `order_buckets` buckets the tables that have one row per order by it, so that gold joins them
     without a shuffle. Take the number of shuffle partitions, or none where files would be tiny.
     """
     lake.create_layer("silver")
+    read = read or (lambda source: lake.read("bronze", bronze.SOURCES[source].table))
 
     def load(table: str) -> dict[str, Any]:
         build, source = silver.TABLES[table]
@@ -55,7 +60,7 @@ def run_silver(lake: Lakehouse, order_buckets: int | None = None) -> LoadRecords
         return lake.write(
             "silver",
             table,
-            build(lake.read("bronze", bronze.SOURCES[source].table)),
+            build(read(source)),
             bucket_by=(order_buckets, "order_id") if bucketed else None,
         )
 

@@ -24,6 +24,9 @@ logger = logging.getLogger(__name__)
 #: Formats whose tables are plain files: replacing one in place would first drop it.
 FILE_FORMATS = ("parquet", "orc", "csv", "json")
 
+#: Parquet's own default, snappy, makes about a third more of the same tables.
+WRITE_OPTIONS = {"parquet": {"compression": "zstd"}}
+
 #: A table to which rows are appended is written as one again when it would have more parts.
 MOST_PARTS = 32
 _PARTS, _BEFORE, _OWN = "starloom.parts", "starloom.before", "starloom.own."
@@ -133,6 +136,7 @@ class Lakehouse:
         if bucket_by:
             df = df.repartition(*bucket_by)
         writer = df.write.format(self.fmt).mode("append" if present else "overwrite")
+        writer = writer.options(**WRITE_OPTIONS.get(self.fmt, {}))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         if bucket_by:
