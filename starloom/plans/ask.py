@@ -186,8 +186,9 @@ def page(
     Records come by the columns `order_by`, then by the others from left to right, nulls first; an ORDER BY of the
     query itself has no effect. The cursor holds the page's last row and how many equal ones were given, so each
     page is a query with a filter and a limit, whatever came before it, and all pages together are the result as
-    long as the tables stay the same. Equal rows are counted, not listed, until they are given. Columns must be of
-    types that have an order: no maps.
+    long as the tables stay the same. A task passes on no more rows than the page and its cursor have; only where more
+    than a page of rows equal to the cursor's was given, equal rows are grouped and counted instead, which shuffles
+    all that follow. Columns must be of types that have an order: no maps.
     """
     df = gold_sql(lake, sql)
     if size < 1:
@@ -196,8 +197,7 @@ def page(
         raise ValueError(f"pages need columns of different names, and an order by some of them: {df.columns}, {list(order_by)}")
     keys = [*order_by, *[c for c in df.columns if c not in order_by]]
     row = F.struct(*[F.col(f"`{c}`") for c in keys])
-    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
-    given = 0
+    rest, given = df, 0
     if cursor is not None:
         last = json.loads(cursor)
         given = last["given"]
@@ -205,7 +205,10 @@ def page(
         at = F.from_json(F.lit(last["row"]), schema, _TIMES)
         first = F.col(f"`{keys[0]}`")
         # the first column alone can be pushed down to the files
-        counted = counted.filter((at[keys[0]].isNull() | (first >= at[keys[0]])) & (row >= at))
+        rest = df.filter((at[keys[0]].isNull() | (first >= at[keys[0]])) & (row >= at))
+    if given <= size:
+        rest = rest.orderBy(row).limit(given + size)
+    counted = rest.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_copies"))
     shown = counted.select(row.alias("r"), "_copies", F.to_json(row, {**_TIMES, "ignoreNullFields": "false"}).alias("_text"))
     # the rows of the cursor may have been given all: one more
     found = shown.orderBy("r").limit(size + 1 if given else size).collect()
