@@ -19,6 +19,15 @@ HOT_ROWS = 10_000_000
 HOT_BUCKETS = 1 << 16
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the data, never to be broadcast.
+
+    Spark takes the bytes of a table's files for its size. Of compressed columns a few MB hold millions of rows, which
+    it would gather and hash in the driver's memory.
+    """
+    return df.hint("merge")
+
+
 def count_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """`key` (a column's name), `value` (as text) and `rows` of the values of these columns that have
     more than `hot_rows` rows. Exact counts.

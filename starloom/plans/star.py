@@ -1,7 +1,8 @@
 """Star queries on the gold tables.
 
 The fact is first summed per dimension key, in each task before anything is shuffled, and only
-those sums meet the dimension. So neither a hot key nor a large dimension moves fact rows.
+those sums meet the dimension. So neither a hot key nor a large dimension moves fact rows. The sums are
+dealt by key already, so a dimension that grows with the data is dealt alike, never broadcast.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.money import sum_money
+from starloom.operators.joins import shuffled
 
 
 def revenue_by_month(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def revenue_by_category(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
     )
     category = F.col("product_category_name_english").alias("category")
     return (
-        per_product.join(dim_product.select("product_id", category), "product_id")
+        per_product.join(shuffled(dim_product.select("product_id", category)), "product_id")
         .groupBy("category")
         .agg(sum_money("revenue").alias("revenue"), F.sum("items").alias("items"))
     )
@@ -38,7 +40,7 @@ def revenue_by_category(fact: DataFrame, dim_product: DataFrame) -> DataFrame:
 def revenue_by_payment_type(fact: DataFrame, dim_order: DataFrame) -> DataFrame:
     per_order = fact.groupBy("order_id").agg(sum_money("price").alias("revenue"))
     return (
-        per_order.join(dim_order.select("order_id", "payment_type"), "order_id")
+        per_order.join(shuffled(dim_order.select("order_id", "payment_type")), "order_id")
         .groupBy("payment_type")
         .agg(sum_money("revenue").alias("revenue"), F.count("*").alias("orders"))
     )
@@ -47,7 +49,7 @@ def revenue_by_payment_type(fact: DataFrame, dim_order: DataFrame) -> DataFrame:
 def revenue_by_customer_city(fact: DataFrame, dim_customer: DataFrame) -> DataFrame:
     per_customer = fact.groupBy("customer_id").agg(sum_money("price").alias("revenue"))
     return (
-        per_customer.join(dim_customer.select("customer_id", "customer_city"), "customer_id")
+        per_customer.join(shuffled(dim_customer.select("customer_id", "customer_city")), "customer_id")
         .groupBy("customer_city")
         .agg(sum_money("revenue").alias("revenue"), F.count("*").alias("customers"))
     )
@@ -56,7 +58,7 @@ def revenue_by_customer_city(fact: DataFrame, dim_customer: DataFrame) -> DataFr
 def freight_by_seller_city(fact: DataFrame, dim_seller: DataFrame) -> DataFrame:
     per_seller = fact.groupBy("seller_id").agg(sum_money("freight_value").alias("freight"))
     return (
-        per_seller.join(dim_seller.select("seller_id", "seller_city"), "seller_id")
+        per_seller.join(shuffled(dim_seller.select("seller_id", "seller_city")), "seller_id")
         .groupBy("seller_city")
         .agg(sum_money("freight").alias("freight"), F.count("*").alias("sellers"))
     )
@@ -70,7 +72,7 @@ def avg_score_by_category(
     score = dim_review.groupBy("review_id").agg(F.min("review_score").alias("review_score"))
     # a review has one row per product here, however many items it has
     per_product = (
-        per_pair.join(score, "review_id")
+        per_pair.join(shuffled(score), "review_id")
         .groupBy("product_id")
         .agg(
             F.sum(F.col("review_score") * F.col("items")).alias("scores"),
@@ -79,7 +81,7 @@ def avg_score_by_category(
     )
     category = F.col("product_category_name_english").alias("category")
     return (
-        per_product.join(dim_product.select("product_id", category), "product_id")
+        per_product.join(shuffled(dim_product.select("product_id", category)), "product_id")
         .groupBy("category")
         .agg((F.sum("scores") / F.sum("items")).alias("avg_score"), F.sum("items").alias("items"))
     )

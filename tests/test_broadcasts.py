@@ -1,0 +1,54 @@
+"""No side of a join that grows with the data is broadcast because its compressed files are small."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from starloom.plans import star
+from tests.test_gold import plan_after_run
+from testbed.lake import new_lakehouse
+
+N = 300_000  # rows that fill less than 10 MB of files, but more of memory
+
+
+@pytest.fixture(scope="module")
+def lake(spark):
+    """A fact and dimensions of N rows each, one row per key."""
+    lake = new_lakehouse(spark, "small_files")
+    lake.create_layer("silver")
+    lake.create_layer("gold")
+    ids = spark.range(0, N, 1, 4)
+    keys = [F.col("id").alias(k) for k in ("order_id", "customer_id", "product_id", "seller_id", "review_id")]
+    day = F.lit(20240101).alias("date_key")
+    fact = ids.select(*keys, day, F.lit(1.5).alias("price"), F.lit(0.5).alias("freight_value"), F.lit(2.0).alias("payment_value"))
+    lake.write("gold", "fact_sales", fact)
+    text = lambda values, name: F.element_at(F.array(*map(F.lit, values)), (F.col("id") % 3 + 1).cast("int")).alias(name)
+    for table, columns in {
+        "dim_order": [keys[0], text("ABC", "payment_type")],
+        "dim_customer": [keys[1], text("ABC", "customer_city")],
+        "dim_product": [keys[2], text("ABC", "product_category_name_english")],
+        "dim_seller": [keys[3], text("ABC", "seller_city")],
+        "dim_review": [keys[4], (F.col("id") % 3 + 1).alias("review_score")],
+    }.items():
+        lake.write("gold", table, ids.select(*columns))
+    lake.write("gold", "dim_date", spark.sql("SELECT 20240101 AS date_key, 2024 AS year, 1 AS month, 'January' AS month_name, false AS is_weekend"))
+    return lake
+
+
+def broadcasts(df):
+    return plan_after_run(df).count("BroadcastHashJoin")
+
+
+STAR = {
+    star.revenue_by_category: ["dim_product"],
+    star.revenue_by_payment_type: ["dim_order"],
+    star.revenue_by_customer_city: ["dim_customer"],
+    star.freight_by_seller_city: ["dim_seller"],
+    star.avg_score_by_category: ["dim_review", "dim_product"],
+}
+
+
+@pytest.mark.parametrize("query", STAR, ids=lambda q: q.__name__)
+def test_star_queries_deal_the_dimension_by_key(lake, query):
+    found = query(*[lake.read("gold", t) for t in ("fact_sales", *STAR[query])])
+    assert broadcasts(found) == 0
+    assert found.count() == 3
