@@ -7,7 +7,7 @@ they give on the fact. Counts of different things add up only where each thing f
 * a seller or a customer has many days: they are counted as the different keys of a roll-up that has one row, or a
   few, for each.
 
-Each roll-up is built anew with the fact.
+Each roll-up is built anew with the fact. No side of a join is broadcast: all but the days grow with the data.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.money import sum_money
-from starloom.operators.joins import join_many_to_one
+from starloom.operators.joins import join_many_to_one, shuffled
 
 
 def sales_rollup(fact: DataFrame, dim_order: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def sales_rollup(fact: DataFrame, dim_order: DataFrame) -> DataFrame:
     """
     grain = ["date_key", "product_id", "seller_id"]
     per_order = fact.groupBy("order_id", *grain).agg(*_sums("price", "freight_value", F.count("*")))
-    typed = join_many_to_one(per_order, dim_order.select("order_id", "payment_type"), "order_id")
+    typed = join_many_to_one(per_order, shuffled(dim_order.select("order_id", "payment_type")), "order_id")
     return typed.groupBy(*grain, "payment_type").agg(*_sums("revenue", "freight", F.sum("items")))
 
 
@@ -35,7 +35,7 @@ def order_rollup(fact: DataFrame, dim_order: DataFrame) -> DataFrame:
     per_order = fact.groupBy("order_id").agg(
         F.max("date_key").alias("date_key"), F.max("payment_value").alias("payment_value")
     )
-    typed = join_many_to_one(per_order, dim_order.select("order_id", "payment_type"), "order_id")
+    typed = join_many_to_one(per_order, shuffled(dim_order.select("order_id", "payment_type")), "order_id")
     return typed.groupBy("date_key", "payment_type").agg(
         sum_money("payment_value").alias("payments"), F.count("*").alias("orders")
     )
@@ -50,7 +50,7 @@ def score_rollup(fact: DataFrame, dim_review: DataFrame) -> DataFrame:
     """The sum of the scores of the items sold, and the items, by product. A review id counts with its lowest score."""
     per_pair = fact.groupBy("review_id", "product_id").agg(F.count("*").alias("items"))
     score = dim_review.groupBy("review_id").agg(F.min("review_score").alias("review_score"))
-    return per_pair.join(score, "review_id").groupBy("product_id").agg(
+    return per_pair.join(shuffled(score), "review_id").groupBy("product_id").agg(
         F.sum(F.col("review_score") * F.col("items")).alias("scores"), F.sum("items").alias("items")
     )
 
@@ -77,7 +77,7 @@ def _by(rollup: DataFrame, key: str, dimension: DataFrame, groups: list[str], su
     """Sum a roll-up per dimension key, look the groups up, and sum again."""
     per_key = rollup.groupBy(key).agg(*[c.alias(n) for n, c in sums.items()])
     again = {n: sum_money(n) if n in MONEY else F.sum(n) for n in sums}
-    joined = per_key.join(dimension.select(key, *groups), key)
+    joined = per_key.join(shuffled(dimension.select(key, *groups)), key)
     return joined.groupBy(*groups).agg(*[c.alias(n) for n, c in again.items()])
 
 
@@ -112,12 +112,13 @@ def freight_by_seller_city(sales: DataFrame, dim_seller: DataFrame) -> DataFrame
 
 
 def revenue_by_customer_city(customers: DataFrame, dim_customer: DataFrame) -> DataFrame:
-    per_city = customers.join(dim_customer.select("customer_id", "customer_city"), "customer_id").groupBy("customer_city")
+    city = shuffled(dim_customer.select("customer_id", "customer_city"))
+    per_city = customers.join(city, "customer_id").groupBy("customer_city")
     return per_city.agg(sum_money("revenue").alias("revenue"), F.count("*").alias("customers"))
 
 
 def avg_score_by_category(scores: DataFrame, dim_product: DataFrame) -> DataFrame:
-    per_category = scores.join(_with_category(dim_product), "product_id").groupBy("category")
+    per_category = scores.join(shuffled(_with_category(dim_product)), "product_id").groupBy("category")
     return per_category.agg((F.sum("scores") / F.sum("items")).alias("avg_score"), F.sum("items").alias("items"))
 
 

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.plans import star
-from tests.test_gold import plan_after_run
+from starloom.plans import rollup, star
+from tests.test_gold import plan_after_run, values
 from testbed.lake import new_lakehouse
 
 N = 300_000  # rows that fill less than 10 MB of files, but more of memory
@@ -52,3 +52,34 @@ def test_star_queries_deal_the_dimension_by_key(lake, query):
     found = query(*[lake.read("gold", t) for t in ("fact_sales", *STAR[query])])
     assert broadcasts(found) == 0
     assert found.count() == 3
+
+
+ROLLUPS = {
+    "sales_rollup": ["fact_sales", "dim_order"],
+    "order_rollup": ["fact_sales", "dim_order"],
+    "score_rollup": ["fact_sales", "dim_review"],
+}
+
+
+@pytest.mark.parametrize("table", ROLLUPS)
+def test_rollups_are_built_without_a_broadcast(lake, table):
+    assert broadcasts(rollup.TABLES[table][0](*[lake.read("gold", t) for t in ROLLUPS[table]])) == 0
+
+
+def test_queries_on_rollups_do_not_broadcast_either(lake):
+    build = {t: how(*[lake.read("gold", name) for name in names]) for t, (how, names) in rollup.TABLES.items()}
+    for table, rows in build.items():
+        lake.write("gold", table, rows)
+    read = lambda t: lake.read("gold", t)
+    fact = read("fact_sales")
+    for by, rolled, table, dimension in (
+        (star.revenue_by_category, rollup.revenue_by_category, "sales_rollup", "dim_product"),
+        (star.freight_by_seller_city, rollup.freight_by_seller_city, "sales_rollup", "dim_seller"),
+        (star.revenue_by_customer_city, rollup.revenue_by_customer_city, "customer_rollup", "dim_customer"),
+    ):
+        found = rolled(read(table), read(dimension))
+        assert broadcasts(found) == 0
+        assert values(found) == values(by(fact, read(dimension)))
+    scores = rollup.avg_score_by_category(read("score_rollup"), read("dim_product"))
+    assert broadcasts(scores) == 0
+    assert values(scores) == values(star.avg_score_by_category(fact, read("dim_review"), read("dim_product")))
