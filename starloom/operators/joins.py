@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 HOT_ROWS = 10_000_000
 #: Values are first counted by so many hash buckets per column.
 HOT_BUCKETS = 1 << 16
+#: A table of more rows is never broadcast. So many rows of a few numbers take some 55 MB of the driver's memory.
+BROADCAST_ROWS = 500_000
 
 
 def shuffled(df: DataFrame) -> DataFrame:
@@ -28,6 +30,12 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def by_rows(df: DataFrame) -> DataFrame:
+    """A side of a join, columns of a written table: left to Spark if it has at most `BROADCAST_ROWS` rows, else
+    `shuffled`. The rows are counted at once, from the ends of the files."""
+    return df if df.count() <= BROADCAST_ROWS else shuffled(df)
+
+
 def count_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """`key` (a column's name), `value` (as text) and `rows` of the values of these columns that have
     more than `hot_rows` rows. Exact counts.

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from starloom.functions.calendar import calendar_columns
 from starloom.functions.casts import zip_text
 from starloom.operators.cleaning import dedupe_by_key
-from starloom.operators.joins import HotKeys, join_many_to_one
+from starloom.operators.joins import HotKeys, by_rows, join_many_to_one, shuffled
 
 
 def dim_order(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """One row per paid order."""
     return orders.select("order_id", "order_status").join(
-        payments.select("order_id", "payment_type"), "order_id"
+        shuffled(payments.select("order_id", "payment_type")), "order_id"
     )
 
 
@@ -108,7 +108,8 @@ def fact_sales(
     dimension would filter nothing more than the join with payments does. Orders, payments and
     reviews, all one row per order, are joined first on one partitioning (none has to be shuffled
     where the tables are bucketed). The items meet these next, as that join keeps the fewest of them: products
-    and sellers are looked up for those left.
+    and sellers are looked up for those left. Whatever the size of their files, only the days and dimensions of few
+    rows, which are counted at once, may be broadcast.
 
     `hot_keys` is the silver table of that name: keys that are to be spread (`joins.HotKeys`).
     """
@@ -117,23 +118,23 @@ def fact_sales(
         orders.select(
             "order_id", "customer_id", F.col("order_purchase_timestamp").cast("date").alias("date")
         )
-        .join(order_reviews.select("order_id", "review_id"), "order_id")
+        .join(shuffled(order_reviews.select("order_id", "review_id")), "order_id")
         .join(
-            payments.select("order_id", "payment_value", "payment_installments", "payment_sequential"),
+            shuffled(payments.select("order_id", "payment_value", "payment_installments", "payment_sequential")),
             "order_id",
         )
     )
     placed = join_many_to_one(
-        placed, dim_customer.select("customer_id"), "customer_id", "left_semi", hot.get("customer_id")
+        placed, by_rows(dim_customer.select("customer_id")), "customer_id", "left_semi", hot.get("customer_id")
     )
     placed = placed.join(dim_date.select("date", "date_key"), "date").select("order_id", *PLACED)
     sold = order_items.select("order_id", *SOLD)
-    sold = join_many_to_one(sold, placed, "order_id", "inner", hot.get("order_id"))
+    sold = join_many_to_one(sold, shuffled(placed), "order_id", "inner", hot.get("order_id"))
     sold = join_many_to_one(
-        sold, dim_product.select("product_id"), "product_id", "inner", hot.get("product_id")
+        sold, by_rows(dim_product.select("product_id")), "product_id", "inner", hot.get("product_id")
     )
     sold = join_many_to_one(
-        sold, dim_seller.select("seller_id"), "seller_id", "left_semi", hot.get("seller_id")
+        sold, by_rows(dim_seller.select("seller_id")), "seller_id", "left_semi", hot.get("seller_id")
     )
     return sold.select(*FACT_COLUMNS)
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.plans import rollup, star
+from starloom.operators import joins
+from starloom.plans import gold, rollup, star
 from tests.test_gold import plan_after_run, values
 from testbed.lake import new_lakehouse
 
@@ -83,3 +84,43 @@ def test_queries_on_rollups_do_not_broadcast_either(lake):
     scores = rollup.avg_score_by_category(read("score_rollup"), read("dim_product"))
     assert broadcasts(scores) == 0
     assert values(scores) == values(star.avg_score_by_category(fact, read("dim_review"), read("dim_product")))
+
+
+def test_a_dimension_is_broadcast_by_its_rows(lake, monkeypatch):
+    many = lake.read("gold", "fact_sales").select("seller_id", "price")
+    seller = lake.read("gold", "dim_seller").select("seller_id")
+    joined = lambda: joins.join_many_to_one(many, joins.by_rows(seller), "seller_id", "left_semi")
+    assert broadcasts(joined()) == 1
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", N - 1)
+    assert broadcasts(joined()) == 0
+    assert joined().count() == N
+
+
+def test_the_fact_and_dim_order_broadcast_small_dimensions_only(spark, lake, monkeypatch):
+    """Orders, reviews, payments, customers and products of N rows, one day, and few enough sellers."""
+    ids = spark.range(0, N, 1, 4)
+    order, one = F.col("id").alias("order_id"), F.lit(1)
+    placed = F.expr("timestamp_ntz'2024-01-01 10:00:00'").alias("order_purchase_timestamp")
+    money = [F.lit(1.5).alias("price"), F.lit(0.5).alias("freight_value")]
+    item = [one.alias("order_item_id"), F.col("id").alias("product_id"), (F.col("id") % 100).alias("seller_id"), *money]
+    paid = [F.lit("A").alias("payment_type"), F.lit(2.0).alias("payment_value")]
+    for table, columns in {
+        "orders": [order, F.col("id").alias("customer_id"), F.lit("ok").alias("order_status"), placed],
+        "order_items": [order, *item],
+        "payments": [order, *paid, one.alias("payment_installments"), one.alias("payment_sequential")],
+        "order_reviews": [order, F.col("id").alias("review_id")],
+        "sellers": [F.col("id").alias("seller_id")],
+    }.items():
+        lake.write("silver", table, (ids.filter("id < 100") if table == "sellers" else ids).select(*columns))
+    silver = lambda t: lake.read("silver", t)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", N - 1)
+    orders = gold.dim_order(silver("orders"), silver("payments"))
+    assert broadcasts(orders) == 0
+    assert orders.count() == N
+    day = spark.sql("SELECT DATE'2024-01-01' AS date, 20240101 AS date_key")
+    lake.write("gold", "days", day)
+    dims = [lake.read("gold", t) for t in ("dim_customer", "dim_product")]
+    tables = [silver(t) for t in ("orders", "order_items", "payments", "order_reviews")]
+    fact = gold.fact_sales(*tables, *dims, silver("sellers"), lake.read("gold", "days"))
+    assert broadcasts(fact) == 2  # the day and the sellers
+    assert fact.count() == N
