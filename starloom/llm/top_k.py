@@ -13,23 +13,28 @@ a score is the sum of a candidate's part scores. Per query:
    highest sums are the answer.
 
 Equal vectors are searched once, with their k + 1 smallest ids; that is all of them that a list of k
-can hold. Queries and candidates meet in blocks: each row of the joined input is one block of
-queries with one block of candidates, so memory is bounded and the work is dealt evenly, whatever
-the number of either.
+can hold. Queries and candidates meet in blocks: each row of the joined input is
+some blocks of queries with one of candidates. The blocks of candidates are dealt one by one; those of the queries are
+broadcast, about `PASS_BYTES` of them at a time, in as many passes as that takes. So the memory of the driver and of
+the tasks is bounded and the work is dealt evenly, whatever the number of either.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch
+from starloom.llm.common import PARTS, Scratch
+from starloom.operators.joins import shuffled
 
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
+#: So many bytes of queries (8 a component) meet the candidates in one pass.
+PASS_BYTES = 16 << 20
 
 
 def usable(vectors: DataFrame, column: str) -> DataFrame:
@@ -56,11 +61,32 @@ def _blocks(rows: DataFrame, key: str, size: int, name: str) -> tuple[DataFrame,
     return packed.select(name, F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("values")), blocks
 
 
+def passes(query_blocks: DataFrame, n: int) -> list[DataFrame]:
+    """The `n` blocks of queries, written ones, in parts of about `PASS_BYTES`; a block at least."""
+    width = query_blocks.agg(F.max(F.size("values") / F.size("ids"))).first()[0] or 0
+    each = max(1, int(PASS_BYTES // max(1, QUERY_BLOCK * width * 8)))
+    return [query_blocks.filter(F.col("qb").between(first, min(n, first + each) - 1)) for first in range(0, n, each)]
+
+
 def _matrix(column: pa.Array, row: int, n: int) -> np.ndarray:
     flat = column.slice(row, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return flat.reshape(n, -1) if n else flat.reshape(0, 1)
 
 
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list | None]]:
+    """Of each block of candidates with each of the queries' blocks in its row: ids and vectors of the candidates,
+    then of the queries, and the queries' cutoffs, if there are."""
+    for row in range(batch.num_rows):
+        reps = np.array(batch.column("ids")[row].as_py(), np.int64)
+        x = _matrix(batch.column("values"), row, len(reps))
+        asked = batch.column("asked").slice(row, 1).flatten()
+        columns = dict(zip([field.name for field in asked.type], asked.flatten(), strict=True))
+        for at in range(len(asked)):
+            q_ids = np.array(columns["ids"][at].as_py(), np.int64)
+            q = _matrix(columns["values"], at, len(q_ids))
+            yield reps, x, q_ids, q, columns["cutoffs"][at].as_py() if "cutoffs" in columns else None
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in doubles where they hold every sum exactly."""
     largest = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
@@ -87,12 +113,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int, list
     vector_blocks, n_vector = _blocks(classes.select("rep", "v"), "rep", VECTOR_BLOCK, "vb")
     query_blocks = scratch.keep(query_blocks, "query_blocks")
     vector_blocks = scratch.keep(vector_blocks, "vector_blocks")
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-    def meet(query_blocks: DataFrame) -> DataFrame:
-        """Each block of queries with each of candidates, a row per pair, dealt by pair."""
-        asking = query_blocks.withColumnsRenamed({"ids": "q_ids", "values": "q_values"}).withColumn("vb", upto(n_vector))
-        return vector_blocks.withColumn("qb", upto(n_query)).join(asking, ["qb", "vb"])
+    def meet(query_blocks: DataFrame, score: Callable, schema: str) -> list[DataFrame]:
+        """`score` of each block of candidates with the blocks of queries (`asked`) of a pass; one for each pass."""
+        parts = min(n_vector, PARTS)
+        dealt = vector_blocks.repartitionById(parts, F.pmod("vb", F.lit(parts)).cast("int"))
+        asked = [some.agg(F.collect_list(F.struct(*some.columns)).alias("asked")) for some in passes(query_blocks, n_query)]
+        return [dealt.crossJoin(F.broadcast(some)).mapInArrow(score, schema) for some in asked]
+
+    def kept(scored: list[DataFrame], name: str) -> DataFrame:
+        """Pass after pass is run and written, so that the queries of one at a time are broadcast."""
+        return reduce(DataFrame.unionAll, [scratch.keep(some, f"{name}_{i}") for i, some in enumerate(scored)])
 
     # the query's own class can take one of the places
     deep = k + 1
@@ -104,11 +135,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int, list
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per query and part: the highest scores of this block, and its lowest (rep null)."""
         for batch in batches:
-            for row in range(batch.num_rows):
-                q_ids = np.array(batch.column("q_ids")[row].as_py(), np.int64)
-                reps = np.array(batch.column("ids")[row].as_py(), np.int64)
-                q = _matrix(batch.column("q_values"), row, len(q_ids))
-                x = _matrix(batch.column("values"), row, len(reps))
+            for reps, x, q_ids, q, _ in _pairs(batch):
                 for p, of in enumerate(parts(x.shape[1])):
                     score = _product(q[:, of], x[:, of])
                     few = min(deep, len(reps))
@@ -126,9 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int, list
                         names=["query_id", "part", "rep", "score"],
                     )
 
-    gathered = scratch.keep(
-        meet(query_blocks).mapInArrow(local, "query_id long, part int, rep long, score long"), "local_scores"
-    )
+    gathered = kept(meet(query_blocks, local, "query_id long, part int, rep long, score long"), "local_scores")
     lowest = gathered.filter("rep IS NULL").groupBy("query_id", "part").agg(F.min("score").alias("lowest"))
     shifts = lowest.groupBy("query_id").agg(
         F.sum("lowest").alias("all_lowest"),
@@ -147,7 +172,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int, list
     cut = kth.groupBy("query_id").agg(F.when(F.count("*") == deep, F.min("above")).otherwise(0).alias("bound"))
     cutoffs = scratch.keep(shifts.join(cut, "query_id"), "cutoffs")
     per_block = (
-        cutoffs.join(asked.select(F.col("vec_id").alias("query_id")), "query_id")
+        cutoffs.join(shuffled(asked.select(F.col("vec_id").alias("query_id"))), "query_id")
         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query)))
         .groupBy("qb")
         .agg(F.collect_list(F.struct("query_id", "bound", "lowests")).alias("cutoffs"))
@@ -157,20 +182,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int, list
         """Per query: the candidates of this block with an entry at or above the cutoff in some
         part, their other parts added, and of these the highest."""
         for batch in batches:
-            for row in range(batch.num_rows):
-                q_ids = np.array(batch.column("q_ids")[row].as_py(), np.int64)
-                reps = np.array(batch.column("ids")[row].as_py(), np.int64)
-                q = _matrix(batch.column("q_values"), row, len(q_ids))
-                x = _matrix(batch.column("values"), row, len(reps))
-                by_id = {c["query_id"]: c for c in batch.column("cutoffs")[row].as_py()}
+            for reps, x, q_ids, q, cutoffs in _pairs(batch):
+                by_id = {c["query_id"]: c for c in cutoffs}
                 bound = np.array([by_id[i]["bound"] for i in q_ids.tolist()], np.int64)
                 least = np.array([by_id[i]["lowests"] for i in q_ids.tolist()], np.int64).reshape(len(q_ids), lists)
                 scores = [_product(q[:, of], x[:, of]) for of in parts(x.shape[1])]
                 enough = np.zeros((len(q_ids), len(reps)), bool)
                 for p, score in enumerate(scores):
                     enough |= (score - least[:, p : p + 1]) * lists >= bound[:, None]
-                q_at, x_at = np.nonzero(enough)
-                total = sum(score[q_at, x_at] for score in scores)
+                sums = np.where(enough, sum(scores), np.iinfo(np.int64).min)
+                at = len(reps) - min(deep, len(reps))
+                # at or above a query's last place: the places, and ties with the last
+                q_at, x_at = np.nonzero(enough & (sums >= np.partition(sums, at, axis=1)[:, at : at + 1]))
+                total = sums[q_at, x_at]
                 order = np.lexsort((reps[x_at], -total, q_at))
                 q_at, x_at, total = q_at[order], x_at[order], total[order]
                 starts = np.searchsorted(q_at, np.arange(len(q_ids)))
@@ -180,7 +204,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int, list
                     names=["query_id", "rep", "score"],
                 )
 
-    found = meet(query_blocks.join(per_block, "qb")).mapInArrow(resolve, "query_id long, rep long, score long")
+    with_cutoffs = scratch.keep(query_blocks.join(shuffled(per_block), "qb"), "query_blocks_with_cutoffs")
+    scored = meet(with_cutoffs, resolve, "query_id long, rep long, score long")
+    found = scored[0] if len(scored) == 1 else kept(scored, "found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     found = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= deep)
     members = found.join(classes.select("rep", "vec_ids"), "rep").select(

@@ -132,3 +132,38 @@ def test_vectors_of_other_lengths(spark, tmp_path):
         assert got == scores(q)[:10]
     spark.createDataFrame([(0, [])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "none" / "embeddings.parquet"))
     assert queries.op4_exact_top_k(spark, str(tmp_path / "none")).collect() == []
+
+
+@pytest.mark.parametrize("pass_bytes", [1, 3 * 7 * 12 * 8])
+def test_top_k_in_passes(spark, scratch, monkeypatch, pass_bytes):
+    """Queries that do not fit one broadcast meet the candidates pass after pass."""
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(top_k, "VECTOR_BLOCK", 50)
+    monkeypatch.setattr(top_k, "PASS_BYTES", pass_bytes)
+    x = np.floor(clustered(3) * 30).astype(np.int64)
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    schema = "vec_id long, v array<long>"
+    frame = spark.createDataFrame(vectors, schema)
+    found = top_k.top_k(frame, frame.filter("vec_id % 4 = 0"), scratch(), 5).collect()
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in found}
+    as_arrays = [(i, np.array(v)) for i, v in vectors]
+    assert len(got) == len(found)
+    assert got == neighbours(as_arrays, as_arrays[::4], 5)
+
+
+def test_top_k_copies_no_queries(spark, scratch, monkeypatch):
+    """The queries' blocks were copied for each block of candidates, and the copies gathered in the driver."""
+    monkeypatch.setattr(top_k, "VECTOR_BLOCK", 50)
+    plans, held = [], scratch()
+    keep = type(held).keep
+
+    def watched(self, df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(self, df, name)
+
+    monkeypatch.setattr(type(held), "keep", watched)
+    vectors = [(i, [i, -i, 7]) for i in range(300)]
+    frame = spark.createDataFrame(vectors, "vec_id long, v array<long>")
+    assert top_k.top_k(frame, frame.filter("vec_id < 20"), held, 3).count() == 60
+    met = [plan for plan in plans if "MapInArrow" in plan]
+    assert met and not any("explode(" in plan for plan in met)
